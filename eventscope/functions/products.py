@@ -62,7 +62,7 @@ def categories_unknown(products: Column) -> Column:
 
 def product_count(products: Column) -> Column:
     """Number of (non-NULL) products of a normalised array."""
-    return F.size(F.coalesce(products, F.array().cast(PRODUCTS_TYPE)))
+    return F.size(F.coalesce(products, F.array().cast(PRODUCTS_TYPE))).cast("long")
 
 
 def first_category(categories: Column) -> Column:

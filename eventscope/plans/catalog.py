@@ -187,3 +187,75 @@ def q_recent_60s(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in dict(globals()).items() if name.startswith("q_") and callable(fn)
 }
+
+
+# ---- shapes, codec, contracts ----------------------------------------------------
+
+def shape_frames(spark, sf_dir) -> list[DataFrame]:
+    """The bridge events rendered in the three producer shapes (v2, v1, v0)."""
+    r = raw(spark, sf_dir)
+    first = F.get(F.col("products"), 0)["product_category"]
+    v2 = r.select(F.lit("v2").alias("shape"), "row_id", "event_id", "event_type", "timestamp", "ip",
+                  "device", "user_type", "products")
+    v1 = r.select(F.lit("v1").alias("shape"), "row_id", F.col("event_id").alias("user_id"), "event_type",
+                  F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "ip", "device",
+                  "user_type", "products")
+    v0 = r.select(F.lit("v0").alias("shape"), "row_id",
+                  F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+                  F.col("event_id").alias("user_id"), "event_type",
+                  F.lower(first).alias("product_category"))
+    return [v2, v1, v0]
+
+
+def q_union_shapes(spark, sf_dir):
+    u = N.union_shapes(*shape_frames(spark, sf_dir), keep=["shape", "row_id"])
+    p = N.prepare(u)
+    return p.select("shape", "row_id", "event_id", "event_type", "ts", "product_count",
+                    F.get(F.col("products"), 0)["product_category"].alias("first_category"))
+
+
+def q_json_roundtrip_parse(spark, sf_dir):
+    from eventscope.sources.kafka import parse_records, to_records
+    records = to_records(raw(spark, sf_dir), key="row_id")
+    parsed = parse_records(records, keep=["key"]).withColumn("row_id", F.col("key").cast("string").cast("long"))
+    p = N.prepare(parsed.drop("key", "_corrupt_record"))
+    return p.select("row_id", "event_id", "event_type", "timestamp", "product_count",
+                    P.categories_text(F.col("product_categories")).alias("product_categories"))
+
+
+def q_contract_event(spark, sf_dir):
+    from eventscope.operators import contracts as C
+    return C.rule_counts(prepared(spark, sf_dir), C.event_rules())
+
+
+def q_contract_products(spark, sf_dir):
+    from eventscope.operators import contracts as C
+    p = prepared(spark, sf_dir)
+    per_event = C.rule_counts(p, C.product_count_rules())
+    per_product = C.rule_counts(C.exploded_products(p), C.product_field_rules())
+    return per_event.unionByName(per_product)
+
+
+def q_contract_taxonomy(spark, sf_dir):
+    from eventscope.operators import contracts as C
+    prods = C.exploded_products(prepared(spark, sf_dir))
+    flagged = C.with_taxonomy_flags(prods, C.taxonomy_frame(spark))
+    return C.rule_counts(flagged, C.taxonomy_rules())
+
+
+def q_contract_violations(spark, sf_dir):
+    """Row-level V1–V3: one row per (event, violated rule)."""
+    from eventscope.operators import contracts as C
+    p = prepared(spark, sf_dir)
+    ev = C.violations(p, {**C.event_rules(), **C.product_count_rules()}, ["row_id"])
+    pr = C.violations(C.exploded_products(p, ["row_id"]), C.product_field_rules(), ["row_id"])
+    return ev.unionByName(pr).groupBy("row_id", "rule").agg(F.count(F.lit(1)).alias("count"))
+
+
+def q_missing_fields(spark, sf_dir):
+    from eventscope.operators import contracts as C
+    return C.missing_fields(raw(spark, sf_dir))
+
+
+QUERIES.update({name[2:]: fn for name, fn in dict(globals()).items()
+                if name.startswith("q_") and callable(fn) and name[2:] not in QUERIES})

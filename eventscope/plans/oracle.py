@@ -250,3 +250,78 @@ SELECT row_id, event_id, event_type, ts FROM x_events WHERE event_type IN ('purc
     "recent_60s": _sql(f"""
 SELECT row_id, event_id, event_type, ts FROM x_events WHERE {_win("60 SECOND")}"""),
 }
+
+
+def _in(values: list[str]) -> str:
+    return "(" + ", ".join(_q(v) for v in values) + ")"
+
+
+_NOT_LIKE = "({c} IS NULL OR NOT regexp_matches({c}, '{p}'))"
+_EVENT_RULES = [
+    ("event_type_domain", f"event_type IS NULL OR event_type NOT IN {_in(S.EVENT_TYPES)}"),
+    ("event_id_format", _NOT_LIKE.format(c="event_id", p=S.EVENT_ID_PATTERN)),
+    ("device_domain", f"device IS NOT NULL AND device NOT IN {_in(S.DEVICES)}"),
+    ("user_type_domain", f"user_type IS NOT NULL AND user_type NOT IN {_in(S.USER_TYPES)}"),
+]
+_COUNT_RULES = [
+    ("products_on_login_logout", f"event_type IN {_in(S.NO_PRODUCT_EVENT_TYPES)} AND product_count > 0"),
+    ("product_count_range", f"event_type IS NOT NULL AND event_type NOT IN {_in(S.NO_PRODUCT_EVENT_TYPES)}"
+                            " AND (product_count < 1 OR product_count > 3)"),
+]
+_FIELD_RULES = [
+    ("product_id_format", _NOT_LIKE.format(c="product_id", p=S.PRODUCT_ID_PATTERN)),
+    ("price_format", _NOT_LIKE.format(c="price", p=S.PRICE_PATTERN)),
+]
+_XE = """
+, xe AS (SELECT e.*, k.product_count, CAST(NULL AS VARCHAR) AS ip, CAST(NULL AS VARCHAR) AS device,
+                CAST(NULL AS VARCHAR) AS user_type
+         FROM x_events e JOIN x_counts k ON k.row_id = e.row_id)"""
+_TAXONOMY = f"""
+, tax_c AS (SELECT * FROM (VALUES {", ".join(f"({_q(c)})" for c in S.CATEGORIES)}) t(c)),
+tax_t AS (SELECT * FROM (VALUES {_taxonomy_values(S.PRODUCT_TYPES)}) t(c, v)),
+tax_b AS (SELECT * FROM (VALUES {_taxonomy_values(S.BRANDS)}) t(c, v))"""
+_TAX_RULES = [
+    ("category_domain", "product_category IS NULL OR product_category NOT IN (SELECT c FROM tax_c)"),
+    ("product_type_for_category", "product_type IS NOT NULL AND NOT EXISTS "
+                                  "(SELECT 1 FROM tax_t WHERE tax_t.c = product_category AND tax_t.v = product_type)"),
+    ("brand_for_category", "brand IS NOT NULL AND NOT EXISTS "
+                           "(SELECT 1 FROM tax_b WHERE tax_b.c = product_category AND tax_b.v = brand)"),
+]
+
+
+def _violation_rows(pairs, source, key="row_id") -> list[str]:
+    return [f"SELECT {key}, {_q(n)} AS rule FROM {source} WHERE {c}" for n, c in pairs]
+
+
+ORACLE.update({
+    # U1/U2
+    "union_shapes": _sql(f"""
+SELECT 'v2' AS shape, e.row_id, e.event_id, e.event_type, e.ts, k.product_count, k.first_raw AS first_category
+FROM {_EVENTS_WITH_COUNTS}
+UNION ALL
+SELECT 'v1', e.row_id, e.event_id, e.event_type, date_trunc('second', e.ts), k.product_count, k.first_raw
+FROM {_EVENTS_WITH_COUNTS}
+UNION ALL
+SELECT 'v0', e.row_id, e.event_id, e.event_type, e.ts,
+       CAST(CASE WHEN k.first_raw IS NULL THEN 0 ELSE 1 END AS BIGINT), lower(k.first_raw)
+FROM {_EVENTS_WITH_COUNTS}"""),
+    # N1–N3 + K6
+    "json_roundtrip_parse": _sql(f"""
+SELECT e.row_id, e.event_id, e.event_type, epoch_us(e.ts) / 1e6 AS timestamp,
+       k.product_count, k.product_categories
+FROM {_EVENTS_WITH_COUNTS}"""),
+    # V1–V5
+    "contract_event": _sql(_XE + _rule_counts(_EVENT_RULES, "xe")),
+    "contract_products": _sql(_XE + _rule_counts(_COUNT_RULES, "xe") + "\nUNION ALL"
+                              + _rule_counts(_FIELD_RULES, "x_products")),
+    "contract_taxonomy": _sql(_TAXONOMY + _rule_counts(_TAX_RULES, "x_products")),
+    "contract_violations": _sql(_XE + "\n, v AS (\n"
+                                + "\nUNION ALL\n".join(_violation_rows(_EVENT_RULES + _COUNT_RULES, "xe")
+                                                       + _violation_rows(_FIELD_RULES, "x_products"))
+                                + ")\nSELECT row_id, rule, count(*) AS count FROM v GROUP BY 1, 2"),
+    "missing_fields": _sql(_XE + "\n" + "\nUNION ALL\n".join(
+        f"SELECT {_q(f)} AS field, CAST(count(*) FILTER (WHERE {c}) AS BIGINT) AS missing FROM xe"
+        for f, c in [("event_id", "event_id IS NULL"), ("event_type", "event_type IS NULL"),
+                     ("timestamp", "ts IS NULL"), ("ip", "ip IS NULL"), ("device", "device IS NULL"),
+                     ("user_type", "user_type IS NULL"), ("products", "product_count = 0")])),
+})

@@ -47,7 +47,11 @@ def _mapped_type(c):
 
 def bridge_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``x_events``: one row per event (row_id, event_id, event_type, ts)."""
-    ev = read_table(spark, sf_dir, "events")
+    return flat_from(read_table(spark, sf_dir, "events"))
+
+
+def flat_from(ev: DataFrame) -> DataFrame:
+    """``x_events`` from an ``events`` frame (batch or streaming)."""
     return ev.select(
         F.col("event_id").alias("row_id"),
         F.concat(F.lit("U"), (F.col("user_id") + F.lit(USER_OFFSET)).cast("string")).alias("event_id"),
@@ -59,9 +63,18 @@ def bridge_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bridge_products(spark: SparkSession, sf_dir: str, flat: DataFrame | None = None) -> DataFrame:
     """``x_products``: one row per product (row_id, event_id, event_type, ts, pos, fields)."""
     x = flat if flat is not None else bridge_flat(spark, sf_dir)
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type",
-                                                    "p_retailprice")
-    n_parts = part.select(F.count(F.lit(1))).scalar()
+    return products_from(x, read_table(spark, sf_dir, "part"))
+
+
+def products_from(x: DataFrame, part: DataFrame, n_parts=None) -> DataFrame:
+    """``x_products`` from ``x_events`` (batch or streaming) and the static ``part``.
+
+    The part count is a scalar subquery unless given (streams pass the number, as
+    a stream-static join is re-planned per micro-batch).
+    """
+    part = part.select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
+    if n_parts is None:
+        n_parts = part.select(F.count(F.lit(1))).scalar()
     items = (x.where(~F.col("event_type").isin("login", "logout"))
               .withColumn("pos", F.explode(F.sequence(F.lit(1), (F.col("row_id") % 3 + 1).cast("int"))))
               .withColumn("pk", (F.col("row_id") * 3 + F.col("pos") * 7) % n_parts))
@@ -100,3 +113,17 @@ def bridge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                        ts_to_epoch(F.col("ts")).alias("timestamp"), "ts",
                        *[F.lit(None).cast("string").alias(c) for c in CONTEXT_FIELDS],
                        "products")
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
+    """A driver table as a file stream (the directory, filtered to the table's file)."""
+    static = read_table(spark, sf_dir, name)
+    r = spark.readStream.schema(static.schema).option("pathGlobFilter", f"{name}.parquet")
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return r.parquet(sf_dir.rstrip("/"))
+
+
+def stream_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``x_events`` as a stream."""
+    return flat_from(stream_table(spark, sf_dir, "events"))
