@@ -325,3 +325,50 @@ FROM {_EVENTS_WITH_COUNTS}"""),
                      ("timestamp", "ts IS NULL"), ("ip", "ip IS NULL"), ("device", "device IS NULL"),
                      ("user_type", "user_type IS NULL"), ("products", "product_count = 0")])),
 })
+
+
+def _closed(bucket: str, length: str, delay: str) -> str:
+    """Windows the watermark has passed: end ≤ latest event time − delay."""
+    return (f"time_bucket(INTERVAL '{bucket}', ts) + INTERVAL '{length}' "
+            f"<= (SELECT as_of FROM x_max) - INTERVAL '{delay}'")
+
+
+_PER_TYPE = f"""
+SELECT e.event_type, count(*) AS events, CAST(sum(k.product_count) AS BIGINT) AS products
+FROM {_EVENTS_WITH_COUNTS} GROUP BY 1"""
+
+ORACLE.update({
+    # R4
+    "stream_tumbling": _sql(f"""
+SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS count
+FROM x_events WHERE ts IS NOT NULL AND {_closed("1 hour", "1 hour", "10 minutes")}
+GROUP BY 1, 2"""),
+    # R5
+    "stream_sliding": _sql("""
+, s AS (SELECT time_bucket(INTERVAL '5 seconds', ts) - to_seconds(5 * r.k) AS window_start
+        FROM x_events CROSS JOIN (SELECT range AS k FROM range(12)) r WHERE ts IS NOT NULL)
+SELECT window_start, count(*) AS count FROM s
+WHERE window_start + INTERVAL '60 seconds' <= (SELECT as_of FROM x_max) - INTERVAL '1 minute'
+GROUP BY 1"""),
+    # R6
+    "stream_journey": _sql(f"""
+, w AS (SELECT event_id, event_type, time_bucket(INTERVAL '1 day', ts) AS window_start FROM x_events
+        WHERE ts IS NOT NULL AND {_closed("1 day", "1 day", "1 hour")})""" + _journey("w", "event_id, window_start") + """
+SELECT window_start, journey_type, count(*) AS count FROM j GROUP BY 1, 2"""),
+    # R7
+    "stream_top_categories": _sql(f"""
+, c AS (SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, product_category AS category,
+               count(*) AS count
+        FROM x_products
+        WHERE ts IS NOT NULL AND product_category IS NOT NULL AND product_category <> ''
+          AND {_closed("1 day", "1 day", "1 hour")}
+        GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY count DESC, category) AS rank FROM c)
+SELECT window_start, category, count, rank FROM r WHERE rank <= 5"""),
+    # R1–R3, K1, S4 / S5, K7, K2
+    "stream_ingest": _sql(_PER_TYPE),
+    "stream_log_ingest": _sql(_PER_TYPE),
+    # R8, K3, K4
+    "stream_fanout": _sql("""
+SELECT event_type, count(*) AS json_events, count(*) AS csv_events FROM x_events GROUP BY 1"""),
+})
