@@ -21,6 +21,14 @@ def latest_ts(df: DataFrame, ts: str = "ts") -> Column:
     return df.select(F.max(ts)).scalar()
 
 
+def latest_ts_value(df: DataFrame, ts: str = "ts"):
+    """The latest event time as a Python value (one single-row aggregate job), or None.
+
+    Use it when the window predicate should reach the scan as a literal.
+    """
+    return df.select(F.max(ts)).first()[0]
+
+
 def _anchor(df: DataFrame, as_of, ts: str) -> Column:
     if as_of is None:
         return latest_ts(df, ts)
@@ -36,6 +44,10 @@ def window_predicate(df: DataFrame, window: str | None, as_of=None, ts: str = "t
     us = duration_us(window)
     if us is None:
         return None
+    if as_of is not None and not isinstance(as_of, Column) and hasattr(as_of, "year"):
+        # a known anchor: a plain literal comparison, pushed down to the scan
+        lo = as_of.replace(tzinfo=None) - _dt.timedelta(microseconds=us)
+        return F.col(ts) > F.lit(lo).cast("timestamp_ntz")
     anchor = _anchor(df, as_of, ts)
     # No valid time at all → anchor is NULL → no filter; otherwise NULL ts is dropped.
     return F.coalesce(F.col(ts) > anchor - interval_of(us), anchor.isNull())
@@ -112,6 +124,6 @@ def dashboard_filters(df: DataFrame, window: str | None = "All", selected: list[
     Both relative filters share one anchor ("now"): ``as_of`` or the latest event
     time of the unfiltered frame.
     """
-    anchor = _anchor(df, as_of, "ts")
+    anchor = as_of if as_of is not None and not isinstance(as_of, Column) else _anchor(df, as_of, "ts")
     out = event_types(time_window(df, window, anchor), selected)
     return recent(out, 60, anchor) if recent_only else out

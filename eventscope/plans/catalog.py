@@ -1,7 +1,8 @@
 """Named queries: each maps (spark, sf_dir) to a lazy DataFrame.
 
-Every query reads the driver's tables through the bridge (so its work grows with
-them) and applies the operators of ``eventscope.operators``.  The DuckDB twin of each
+Every query reads the canonical event table that Spark builds from the driver's
+tables (``eventscope.plans.tables``; its work grows with them) and applies the
+operators of ``eventscope.operators``.  The DuckDB twin of each
 query is in ``eventscope.plans.oracle``.
 """
 
@@ -17,14 +18,14 @@ from eventscope.operators import filters as FL
 from eventscope.operators import metrics as M
 from eventscope.operators import normalize as N
 from eventscope.operators import timeseries as TS
-from eventscope.sources.bridge import bridge_events, bridge_flat
+from eventscope.plans.tables import canonical_events, latest_event_time
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical nested events as stored by the ingest (bridge of the driver tables)."""
-    return bridge_events(spark, sf_dir)
+    """Canonical nested events as stored by the ingest (built from the driver tables)."""
+    return canonical_events(spark, sf_dir)
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,9 +33,13 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchor(spark: SparkSession, sf_dir: str):
-    """'Now' of the relative windows: the latest event time (scalar subquery over the
-    flat events scan, which Catalyst prunes to the single ``ts`` column)."""
-    return FL.latest_ts(bridge_flat(spark, sf_dir))
+    """'Now' of the relative windows: the latest stored event time, as a literal.
+
+    One single-value aggregate (reads only the ``ts`` column, max combined per task);
+    as a literal the window predicate is pushed into the Parquet scan, where the
+    ts-sorted files let it skip row groups outside the window.
+    """
+    return latest_event_time(spark, sf_dir)
 
 
 def _windowed(spark, sf_dir, window: str) -> DataFrame:

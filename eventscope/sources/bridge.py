@@ -102,8 +102,10 @@ def bridge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = bridge_flat(spark, sf_dir)
     prods = bridge_products(spark, sf_dir, x)
     item = F.struct(F.col("pos"), F.struct(*[F.col(f) for f in PRODUCTS_TYPE.elementType.fieldNames()]).alias("p"))
-    nested = (prods.groupBy("row_id", "event_id", "event_type", "ts")
-                   .agg(F.sort_array(F.collect_list(item)).alias("items"))
+    # event_id, event_type and ts depend on row_id alone: shuffle on the one key
+    nested = (prods.groupBy("row_id")
+                   .agg(F.any_value("event_id").alias("event_id"), F.any_value("event_type").alias("event_type"),
+                        F.any_value("ts").alias("ts"), F.sort_array(F.collect_list(item)).alias("items"))
                    .select("row_id", "event_id", "event_type", "ts",
                            F.transform("items", lambda s: s["p"]).cast(PRODUCTS_TYPE).alias("products")))
     bare = (x.where(F.col("event_type").isin("login", "logout"))
