@@ -107,8 +107,13 @@ def valid_records(df: DataFrame, corrupt_col: str = "_corrupt_record") -> DataFr
 
 
 def malformed_records(df: DataFrame, corrupt_col: str = "_corrupt_record") -> DataFrame:
+    """Rows that did not parse, raw text in ``corrupt_col``.
+
+    All columns are kept: Spark refuses a raw JSON scan that reads only the corrupt
+    record column.
+    """
     if corrupt_col in df.columns:
-        return df.where(F.col(corrupt_col).isNotNull()).select(corrupt_col)
+        return df.where(F.col(corrupt_col).isNotNull())
     return df.where(F.lit(False))
 
 

@@ -16,11 +16,15 @@ from eventscope.sources.kafka import parse_records, read_kafka_events
 
 
 def split_malformed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows without the corrupt column, malformed raw text)."""
+    """(good rows without the corrupt column, malformed rows with their raw text).
+
+    Malformed rows keep every column: a raw JSON file scan may not read the corrupt
+    record column alone.
+    """
     if CORRUPT not in parsed.columns:
         return parsed, parsed.where(F.lit(False))
     good = parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = parsed.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    bad = parsed.where(F.col(CORRUPT).isNotNull())
     return good, bad
 
 
