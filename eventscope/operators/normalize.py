@@ -52,14 +52,20 @@ def prepare(df: DataFrame, precision: str = "micro") -> DataFrame:
 
     Adds ``ts``, normalises ``products`` (N6) and derives ``product_categories``
     (N7, drop variant), ``categories_unknown`` (N7b) and ``product_count`` (N8).
-    Higher-order functions only; columns a metric does not use are pruned by Catalyst.
+    Higher-order functions only, in two projections (each DataFrame step is analysed
+    eagerly, so one wide select beats a chain of ``withColumn``); columns a metric
+    does not use are pruned by Catalyst.
     """
-    df = with_event_time(ensure_columns(df), precision)
-    prods = P.normalize_products(F.col("products"), _dtype(df, "products"))
-    df = df.withColumn("products", prods)
-    return (df.withColumn("product_categories", P.categories_dropping(F.col("products")))
-              .withColumn("categories_unknown", P.categories_unknown(F.col("products")))
-              .withColumn("product_count", P.product_count(F.col("products"))))
+    df = ensure_columns(df)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    ts = F.col("ts") if "ts" in types else coerce_ts(F.col("timestamp"), types["timestamp"], precision)
+    prods = P.normalize_products(F.col("products"), types["products"])
+    base = df.select(*[c for c in df.columns if c not in ("ts", "products")],
+                     ts.alias("ts"), prods.alias("products"))
+    p = F.col("products")
+    return base.select("*", P.categories_dropping(p).alias("product_categories"),
+                       P.categories_unknown(p).alias("categories_unknown"),
+                       P.product_count(p).alias("product_count"))
 
 
 def fold_event_types(df: DataFrame, drop_null: bool = True) -> DataFrame:

@@ -18,7 +18,7 @@ from eventscope.operators import filters as FL
 from eventscope.operators import metrics as M
 from eventscope.operators import normalize as N
 from eventscope.operators import timeseries as TS
-from eventscope.plans.tables import canonical_events, latest_event_time
+from eventscope.plans.tables import canonical_events, latest_event_time, prepared_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +29,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.prepare(raw(spark, sf_dir))
+    return prepared_events(spark, sf_dir)
 
 
 def anchor(spark: SparkSession, sf_dir: str):

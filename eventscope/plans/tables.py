@@ -18,7 +18,7 @@ from eventscope.session import work_path
 from eventscope.sources.bridge import bridge_events
 from eventscope.sources.files import read_event_table
 
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 _BUILT: dict[tuple[str, str], str] = {}
 _LATEST: dict[str, object] = {}
 
@@ -43,9 +43,30 @@ def canonical_table_path(spark: SparkSession, sf_dir: str) -> str:
         return path
 
 
+_PLANS: dict[tuple[int, str, str], DataFrame] = {}
+
+
+def _plan(spark: SparkSession, path: str, kind: str, make) -> DataFrame:
+    # DataFrames are immutable plans and the table never changes once written, so one
+    # analysed read (file listing, footer schema) serves every query of the session.
+    key = (id(spark), path, kind)
+    with _LOCK:
+        if key not in _PLANS:
+            _PLANS[key] = make()
+        return _PLANS[key]
+
+
 def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored canonical events (S4 scan; ``event_type`` is a partition column)."""
-    return read_event_table(spark, canonical_table_path(spark, sf_dir))
+    path = canonical_table_path(spark, sf_dir)
+    return _plan(spark, path, "raw", lambda: read_event_table(spark, path))
+
+
+def prepared_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``prepare()`` of the stored canonical events (plan built once per session)."""
+    from eventscope.operators.normalize import prepare
+    path = canonical_table_path(spark, sf_dir)
+    return _plan(spark, path, "prepared", lambda: prepare(canonical_events(spark, sf_dir)))
 
 
 def latest_event_time(spark: SparkSession, sf_dir: str):
