@@ -98,8 +98,35 @@ def with_taxonomy_flags(products: DataFrame, taxonomy: DataFrame, bounded: bool
     return p
 
 
+def _pair(a: Column, b: Column) -> Column:
+    return F.concat_ws("\u0001", a, b)
+
+
+def builtin_taxonomy_rules(extended: bool = False) -> dict[str, Column]:
+    """V4 against the built-in vocabularies, as in-set lookups (no join, no shuffle).
+
+    The vocabularies are fixed and small (≤ ~130 values), so they travel inside the
+    expression (a hash set) instead of as a broadcast join side.
+    """
+    cats = S.EXTENDED_CATEGORIES if extended else S.CATEGORIES
+    types = S.EXTENDED_PRODUCT_TYPES if extended else S.PRODUCT_TYPES
+    brands = S.EXTENDED_BRANDS if extended else S.BRANDS
+    c = F.col("product_category")
+
+    def pairs(d):
+        return [f"{k}\u0001{v}" for k, vs in d.items() for v in vs]
+
+    return {
+        "category_domain": F.coalesce(~c.isin(cats), F.lit(True)),
+        "product_type_for_category": F.col("product_type").isNotNull()
+        & F.coalesce(~_pair(c, F.col("product_type")).isin(pairs(types)) | c.isNull(), F.lit(True)),
+        "brand_for_category": F.col("brand").isNotNull()
+        & F.coalesce(~_pair(c, F.col("brand")).isin(pairs(brands)) | c.isNull(), F.lit(True)),
+    }
+
+
 def taxonomy_rules() -> dict[str, Column]:
-    """V4 over a flagged product frame."""
+    """V4 over a frame flagged by ``with_taxonomy_flags`` (user-supplied taxonomy)."""
     return {
         "category_domain": F.col("_ok_category").isNull(),
         "product_type_for_category": F.col("product_type").isNotNull() & F.col("_ok_product_type").isNull(),

@@ -242,6 +242,12 @@ def q_contract_products(spark, sf_dir):
 
 
 def q_contract_taxonomy(spark, sf_dir):
+    from eventscope.operators import contracts as C
+    return C.rule_counts(C.exploded_products(prepared(spark, sf_dir)), C.builtin_taxonomy_rules())
+
+
+def q_contract_taxonomy_table(spark, sf_dir):
+    """V4 with the taxonomy given as a table (joined; broadcast as it is bounded)."""
     from eventscope.operators import contracts as C
     prods = C.exploded_products(prepared(spark, sf_dir))
     flagged = C.with_taxonomy_flags(prods, C.taxonomy_frame(spark))

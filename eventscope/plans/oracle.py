@@ -315,6 +315,7 @@ FROM {_EVENTS_WITH_COUNTS}"""),
     "contract_products": _sql(_XE + _rule_counts(_COUNT_RULES, "xe") + "\nUNION ALL"
                               + _rule_counts(_FIELD_RULES, "x_products")),
     "contract_taxonomy": _sql(_TAXONOMY + _rule_counts(_TAX_RULES, "x_products")),
+    "contract_taxonomy_table": _sql(_TAXONOMY + _rule_counts(_TAX_RULES, "x_products")),
     "contract_violations": _sql(_XE + "\n, v AS (\n"
                                 + "\nUNION ALL\n".join(_violation_rows(_EVENT_RULES + _COUNT_RULES, "xe")
                                                        + _violation_rows(_FIELD_RULES, "x_products"))
