@@ -55,6 +55,16 @@ def categories_dropping(products: Column) -> Column:
                     lambda c: c.isNotNull() & (c != F.lit("")))
 
 
+def categories_dropping_fields(products: Column) -> Column:
+    """N7 on a raw array of structs, as a field extraction (nested-prunable).
+
+    NULL elements and NULL/empty categories are dropped; NULL array → ``[]``.
+    """
+    cats = products["product_category"]
+    return F.coalesce(F.filter(cats, lambda c: c.isNotNull() & (c != F.lit(""))),
+                      F.array().cast("array<string>"))
+
+
 def categories_unknown(products: Column) -> Column:
     """Categories of the products, a missing category becomes ``'Unknown'``."""
     return F.transform(products, lambda p: F.coalesce(p["product_category"], F.lit(UNKNOWN_CATEGORY)))

@@ -96,9 +96,11 @@ def share_of_total(counts: DataFrame, count: str = "count", name: str = "pct") -
     exact integer arithmetic: ``(2000·n + T) div (2·T) / 10``.
     """
     total = counts.select(F.sum(count)).scalar()
-    n = F.col(count).cast("long")
-    return counts.withColumn(
-        name, _div(n * 2000 + total, total * 2).cast("double") / F.lit(10.0))
+    # project the subquery once; the percentage then refers to the column
+    with_total = counts.select("*", total.cast("long").alias("_total"))
+    n, t = F.col(count).cast("long"), F.col("_total")
+    return with_total.select(*counts.columns,
+                             (_div(n * 2000 + t, t * 2).cast("double") / F.lit(10.0)).alias(name))
 
 
 # ---- A6, A7, A8 ----------------------------------------------------------------

@@ -55,16 +55,25 @@ def prepare(df: DataFrame, precision: str = "micro") -> DataFrame:
     Higher-order functions only, in two projections (each DataFrame step is analysed
     eagerly, so one wide select beats a chain of ``withColumn``); columns a metric
     does not use are pruned by Catalyst.
+
+    For stored struct products the drop-variant categories are a field extraction
+    of the raw array, so a category-only query reads just
+    ``products.product_category`` from Parquet (nested column pruning).
     """
     df = ensure_columns(df)
     types = {f.name: f.dataType for f in df.schema.fields}
     ts = F.col("ts") if "ts" in types else coerce_ts(F.col("timestamp"), types["timestamp"], precision)
-    prods = P.normalize_products(F.col("products"), types["products"])
-    base = df.select(*[c for c in df.columns if c not in ("ts", "products")],
-                     ts.alias("ts"), prods.alias("products"))
+    raw_type = types["products"]
+    direct = (isinstance(raw_type, T.ArrayType) and isinstance(raw_type.elementType, T.StructType)
+              and "product_category" in raw_type.elementType.fieldNames())
+    first = [*[c for c in df.columns if c not in ("ts", "products")], ts.alias("ts"),
+             P.normalize_products(F.col("products"), raw_type).alias("products")]
+    if direct:
+        first.append(P.categories_dropping_fields(F.col("products")).alias("product_categories"))
+    base = df.select(*first)
     p = F.col("products")
-    return base.select("*", P.categories_dropping(p).alias("product_categories"),
-                       P.categories_unknown(p).alias("categories_unknown"),
+    later = [] if direct else [P.categories_dropping(p).alias("product_categories")]
+    return base.select("*", *later, P.categories_unknown(p).alias("categories_unknown"),
                        P.product_count(p).alias("product_count"))
 
 

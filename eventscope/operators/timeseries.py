@@ -100,10 +100,20 @@ def categories_over_time_filled(df: DataFrame, bucket: str | int = "15min",
     return crosstab_long(x, "timestamp", "category")
 
 
-def gated(series: DataFrame, min_buckets: int = 2, col: str = "timestamp") -> DataFrame:
+def gated(series: DataFrame, min_buckets: int = 2, col: str = "timestamp",
+          basis: DataFrame | None = None, bucket: str | int | None = None,
+          key: str | None = None) -> DataFrame:
     """The series only when it spans at least ``min_buckets`` distinct buckets.
 
     The bucket count is a scalar subquery; the series is not collected to decide.
+    With ``basis``/``bucket`` (and the series ``key``) the count is taken from the
+    source rows, one aggregate, instead of re-deriving the whole series.
     """
-    n = series.select(F.count_distinct(col)).scalar()
+    if basis is not None and bucket is not None:
+        b = _with_bucket(basis, bucket)
+        if key:
+            b = b.where(F.col(key).isNotNull())
+        n = b.select(F.count_distinct("timestamp")).scalar()
+    else:
+        n = series.select(F.count_distinct(col)).scalar()
     return series.where(n >= F.lit(min_buckets))

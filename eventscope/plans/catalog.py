@@ -174,7 +174,8 @@ def q_categories_over_time_filled(spark, sf_dir):
 
 
 def q_event_types_over_time_gated(spark, sf_dir):
-    return TS.gated(TS.event_types_over_time_filled(prepared(spark, sf_dir), "1h"), 2)
+    df = prepared(spark, sf_dir)
+    return TS.gated(TS.event_types_over_time_filled(df, "1h"), 2, basis=df, bucket="1h", key="event_type")
 
 
 def q_window_filter(spark, sf_dir):

@@ -73,3 +73,14 @@ def test_dense_grid_does_not_collect(spark):
                                "event_id string, event_type string, ts timestamp_ntz")
     p = plan(dense_counts(df, "1s"))
     assert "Generate explode(sequence" in p and "RoundRobinPartitioning" in p
+
+
+@pytest.mark.parametrize("name", ["category_counts", "top_categories", "category_matrix"])
+def test_category_queries_read_only_the_category_field(spark, sf_small, name):
+    p = plan(queries()[name](spark, sf_small))
+    assert "ReadSchema: struct<products:array<struct<product_category:string>>>" in p
+
+
+def test_share_total_is_one_subquery(spark, sf_small):
+    p = plan(queries()["category_share"](spark, sf_small))
+    assert p.count("Subquery subquery") == 1
