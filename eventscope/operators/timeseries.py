@@ -93,6 +93,12 @@ def event_types_over_time_filled(df: DataFrame, bucket: str | int = "5s") -> Dat
     return crosstab_long(_with_bucket(df, bucket), "timestamp", "event_type")
 
 
+def event_types_over_time_wide(df: DataFrame, bucket: str | int = "15min") -> DataFrame:
+    """T5, wide form: one row per observed bucket, one zero-filled column per type."""
+    x = _with_bucket(df, bucket).where(F.col("event_type").isNotNull())
+    return x.groupBy("timestamp").pivot("event_type").agg(F.count(F.lit(1))).na.fill(0)
+
+
 def categories_over_time_filled(df: DataFrame, bucket: str | int = "15min",
                                 col: str = "product_category") -> DataFrame:
     """Observed buckets × all scalar categories present, zero-filled, long form."""

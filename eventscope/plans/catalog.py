@@ -169,6 +169,10 @@ def q_event_types_over_time_filled(spark, sf_dir):
     return TS.event_types_over_time_filled(prepared(spark, sf_dir), "15min")
 
 
+def q_event_types_over_time_wide(spark, sf_dir):
+    return TS.event_types_over_time_wide(prepared(spark, sf_dir), "15min")
+
+
 def q_categories_over_time_filled(spark, sf_dir):
     return TS.categories_over_time_filled(prepared(spark, sf_dir), "15min")
 

@@ -235,6 +235,14 @@ FROM x_events WHERE ts IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2"""),
     "event_types_over_time_filled": _sql("""
 , tb AS (SELECT time_bucket(INTERVAL '15 minutes', ts) AS timestamp, event_type FROM x_events
          WHERE ts IS NOT NULL)""" + _crosstab("tb", "timestamp", "event_type")),
+    "event_types_over_time_wide": _sql("""
+SELECT time_bucket(INTERVAL '15 minutes', ts) AS timestamp,
+       count(*) FILTER (WHERE event_type = 'add_to_cart') AS add_to_cart,
+       count(*) FILTER (WHERE event_type = 'login') AS login,
+       count(*) FILTER (WHERE event_type = 'logout') AS logout,
+       count(*) FILTER (WHERE event_type = 'purchase') AS purchase,
+       count(*) FILTER (WHERE event_type = 'view_product') AS view_product
+FROM x_events WHERE ts IS NOT NULL AND event_type IS NOT NULL GROUP BY 1"""),
     "categories_over_time_filled": _sql(f"""
 , tc AS (SELECT time_bucket(INTERVAL '15 minutes', e.ts) AS timestamp, k.first_raw AS category
          FROM {_EVENTS_WITH_COUNTS} WHERE e.ts IS NOT NULL)""" + _crosstab("tc", "timestamp", "category")),

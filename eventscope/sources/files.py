@@ -55,3 +55,10 @@ def stream_event_log(spark: SparkSession, directory: str, schema: T.StructType =
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.json(directory)
+
+
+def load_events_strict(spark: SparkSession, path: str, schema: T.StructType = EVENT_LOG_SCHEMA) -> DataFrame:
+    """S3: strict NDJSON load for the JSON dashboard — a bad line fails the job;
+    epoch seconds become ``ts`` and categories are extracted (N5, N7/N7b)."""
+    from eventscope.operators.normalize import prepare
+    return prepare(read_event_log(spark, path, "FAILFAST", schema))

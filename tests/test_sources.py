@@ -88,3 +88,25 @@ def test_shapes_and_union(spark):
     assert c1.device == "Mobile" and c1.products == [] and c1.ts.second == 7
     u = union_batches(v0.select("user_id"), v1.select("user_id", "device"))
     assert u.count() == 2 and u.columns == ["user_id", "device"]
+
+
+def test_strict_load_and_projection(spark):
+    from eventscope.operators.normalize import project
+    from eventscope.sources.files import load_events_strict
+    d = _log(spark, [json.dumps({"event_id": "U1000", "event_type": "view_product", "timestamp": 1704067207.5,
+                                 "products": [{"product_id": "P100"}]})])
+    r = load_events_strict(spark, d).first()
+    assert r.product_count == 1 and r.categories_unknown == ["Unknown"] and r.ts.microsecond == 500000
+    flat = project(load_events_strict(spark, d), ["timestamp", "user_id", "event_type", "product_category"])
+    assert flat.columns == ["timestamp", "user_id", "event_type", "product_category"]
+    assert flat.first().user_id is None
+
+
+def test_console_preview_stream(spark, capsys):
+    from eventscope.sources.files import stream_event_log
+    from eventscope.streaming.ingest import preview_stream
+    d = _log(spark, [json.dumps({"event_id": "U1000", "event_type": "login", "timestamp": 1.0})])
+    q = preview_stream(stream_event_log(spark, d))
+    q.processAllAvailable()
+    q.stop()
+    assert q.exception() is None
