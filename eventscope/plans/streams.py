@@ -2,7 +2,8 @@
 ``availableNow`` trigger and returns the written output as a batch DataFrame.
 
 The live metrics stream the ``events`` table itself; the ingest queries first write
-the bridge events as a topic dump (Kafka records) or an NDJSON log, then stream that.
+the canonical events as a topic dump (Kafka records) or an NDJSON log, then stream
+that.
 All outputs, inputs and checkpoints live under the shared checkpoint folder.
 """
 
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 from eventscope.operators.normalize import prepare
 from eventscope.operators.sinks import write_event_log
+from eventscope.plans.tables import canonical_events
 from eventscope.session import work_path
-from eventscope.sources.bridge import bridge_events, products_from, read_table, stream_flat
+from eventscope.sources.bridge import products_from, read_table, stream_flat
 from eventscope.sources.files import read_event_table, stream_event_log
 from eventscope.sources.kafka import to_records
 from eventscope.streaming import fanout, ingest, live
@@ -62,7 +64,7 @@ def _per_type(events: DataFrame) -> DataFrame:
 def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic dump → parse → partitioned table → read back."""
     base = work_path(spark, "streams", "ingest")
-    to_records(bridge_events(spark, sf_dir), key="row_id").write.parquet(f"{base}/topic")
+    to_records(canonical_events(spark, sf_dir), key="row_id").write.parquet(f"{base}/topic")
     records = spark.readStream.schema("key binary, value binary").parquet(f"{base}/topic")
     qs = ingest.ingest_records(records, f"{base}/table", f"{base}/checkpoint",
                                quarantine_path=f"{base}/quarantine", trigger=NOW)
@@ -72,7 +74,7 @@ def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_log(spark: SparkSession, sf_dir: str, base: str) -> str:
-    stored = bridge_events(spark, sf_dir).drop("row_id", "ts")
+    stored = canonical_events(spark, sf_dir).drop("row_id", "ts")
     write_event_log(stored, f"{base}/log", mode="overwrite")
     return f"{base}/log"
 
