@@ -24,10 +24,16 @@ _LATEST: dict[str, object] = {}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
+    """Whether the table's commit marker exists (any Hadoop file system)."""
+    try:
+        sc = spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+        return bool(p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p))
+    except Exception:  # noqa: BLE001 - no JVM gateway: ask Spark to list the marker
+        try:
+            return spark.read.format("binaryFile").load(path + "/_SUCCESS").limit(1).count() == 1
+        except Exception:  # noqa: BLE001
+            return False
 
 
 def canonical_table_path(spark: SparkSession, sf_dir: str) -> str:
