@@ -6,6 +6,7 @@ zone is pinned to UTC, so casts between ``timestamp`` and ``timestamp_ntz`` are
 
 from __future__ import annotations
 
+import datetime as _dt
 import re
 
 from pyspark.sql import Column
@@ -72,6 +73,18 @@ def coerce_ts(col: Column, dtype: T.DataType, precision: str = "micro") -> Colum
     return F.lit(None).cast("timestamp_ntz")
 
 
+def ntz_lit(value) -> Column:
+    """A ``timestamp_ntz`` literal holding exactly the wall-clock of ``value``.
+
+    Built from text: ``F.lit(datetime)`` would read a naive datetime in the Python
+    process's local zone and shift it whenever that zone is not UTC.
+    """
+    if hasattr(value, "tzinfo") and value.tzinfo is not None:
+        value = value.astimezone(_dt.timezone.utc).replace(tzinfo=None)
+    text = value.isoformat(sep=" ") if hasattr(value, "isoformat") else str(value)
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def ts_micros(ts: Column) -> Column:
     """``timestamp_ntz`` → epoch microseconds (bigint)."""
     return F.unix_micros(ts.cast("timestamp"))

@@ -13,7 +13,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventscope.functions.timefn import duration_us, interval_of
+from eventscope.functions.timefn import duration_us, interval_of, ntz_lit
 
 
 def latest_ts(df: DataFrame, ts: str = "ts") -> Column:
@@ -34,9 +34,7 @@ def _anchor(df: DataFrame, as_of, ts: str) -> Column:
         return latest_ts(df, ts)
     if isinstance(as_of, Column):
         return as_of
-    if isinstance(as_of, _dt.datetime):
-        return F.lit(as_of.replace(tzinfo=None)).cast("timestamp_ntz")
-    return F.lit(as_of).cast("timestamp_ntz")
+    return ntz_lit(as_of)
 
 
 def window_predicate(df: DataFrame, window: str | None, as_of=None, ts: str = "ts") -> Column | None:
@@ -46,8 +44,9 @@ def window_predicate(df: DataFrame, window: str | None, as_of=None, ts: str = "t
         return None
     if as_of is not None and not isinstance(as_of, Column) and hasattr(as_of, "year"):
         # a known anchor: a plain literal comparison, pushed down to the scan
-        lo = as_of.replace(tzinfo=None) - _dt.timedelta(microseconds=us)
-        return F.col(ts) > F.lit(lo).cast("timestamp_ntz")
+        if as_of.tzinfo is not None:
+            as_of = as_of.astimezone(_dt.timezone.utc).replace(tzinfo=None)
+        return F.col(ts) > ntz_lit(as_of - _dt.timedelta(microseconds=us))
     anchor = _anchor(df, as_of, ts)
     # No valid time at all → anchor is NULL → no filter; otherwise NULL ts is dropped.
     return F.coalesce(F.col(ts) > anchor - interval_of(us), anchor.isNull())

@@ -46,7 +46,9 @@ def write_event_table_batch(df: DataFrame, path: str, partition_by: str = "event
     a type holding a third of all rows is split over many tasks and every file covers
     a narrow time range: its row-group min/max let a time-window predicate skip it.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartitionByRange(n, F.col(partition_by).asc_nulls_last(), F.col(order_by).asc_nulls_last())
-       .sortWithinPartitions(partition_by, order_by)
-       .write.mode(mode).partitionBy(partition_by).parquet(path))
+    keys = [F.col(partition_by).asc_nulls_last(), F.col(order_by).asc_nulls_last()]
+    # without an explicit count AQE sizes the range partitions from the data
+    # (advisory partition size); give ``partitions`` to pin the file count
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    (ranged.sortWithinPartitions(partition_by, order_by)
+           .write.mode(mode).partitionBy(partition_by).parquet(path))

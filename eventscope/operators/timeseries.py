@@ -30,15 +30,15 @@ def bucket_grid(lo_hi: DataFrame, bucket_us: int, partitions: int | None = None)
     """Every bucket start (epoch µs) from ``lo`` to ``hi`` of a one-row (lo, hi) frame.
 
     Lazy and distributed: the one row expands to coarse rows of ``GRID_SPAN``
-    buckets, those are spread round-robin over the cluster, and each task expands its
-    coarse rows to buckets.  No task generates more than ``GRID_SPAN`` buckets per
-    coarse row, and nothing returns to the driver.
+    buckets, those are hash-spread over the cluster (AQE coalesces the spread to the
+    grid's size unless ``partitions`` pins it), and each task expands its coarse rows
+    to buckets.  No task generates more than ``GRID_SPAN`` buckets per coarse row, and
+    nothing returns to the driver.
     """
     span = bucket_us * GRID_SPAN
     coarse = lo_hi.where(F.col("lo").isNotNull()).select(
         "hi", F.explode(F.sequence(F.col("lo"), F.col("hi"), F.lit(span))).alias("c"))
-    n = partitions or int(lo_hi.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    coarse = coarse.repartition(n)
+    coarse = coarse.repartition(partitions, "c") if partitions else coarse.repartition("c")
     return coarse.select(F.explode(F.sequence(
         F.col("c"), F.least(F.col("c") + F.lit(span - bucket_us), F.col("hi")), F.lit(bucket_us))).alias("b"))
 

@@ -55,3 +55,20 @@ def test_valid_categories_and_time(spark):
     df = spark.createDataFrame([("a", T0), ("", T0), (None, None)], "category string, ts timestamp_ntz")
     assert FL.valid_categories(df).count() == 1
     assert FL.with_time(df).count() == 2
+
+
+def test_window_literal_ignores_local_time_zone(spark, monkeypatch):
+    """The anchor literal keeps its wall-clock even if the Python process is not on UTC."""
+    import time
+    rows = [("U1", "login", T0), ("U1", "view_product", T0 - dt.timedelta(hours=5))]
+    df = _events(spark, rows)
+    monkeypatch.setenv("TZ", "America/Los_Angeles")
+    time.tzset()
+    try:
+        assert FL.time_window(df, "6h", as_of=T0).count() == 2
+        assert FL.time_window(df, "4h", as_of=T0).count() == 1
+        aware = T0.replace(tzinfo=dt.timezone.utc)
+        assert FL.time_window(df, "4h", as_of=aware).count() == 1
+    finally:
+        monkeypatch.delenv("TZ")
+        time.tzset()

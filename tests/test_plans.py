@@ -72,7 +72,7 @@ def test_dense_grid_does_not_collect(spark):
     df = spark.createDataFrame([("U1", "login", t), ("U1", "login", t + dt.timedelta(hours=30))],
                                "event_id string, event_type string, ts timestamp_ntz")
     p = plan(dense_counts(df, "1s"))
-    assert "Generate explode(sequence" in p and "RoundRobinPartitioning" in p
+    assert "Generate explode(sequence" in p and "Exchange hashpartitioning(c#" in p
 
 
 @pytest.mark.parametrize("name", ["category_counts", "top_categories", "category_matrix"])
