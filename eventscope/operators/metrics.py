@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from eventscope.functions import products as P
 from eventscope.functions.timefn import bucket_micros
 from eventscope.operators.filters import window_predicate
-from eventscope.schema import (JOURNEY_ABANDONED, JOURNEY_BROWSING, JOURNEY_COMPLETED,
-                               JOURNEY_OTHER, UNKNOWN_CATEGORY)
+from eventscope.schema import JOURNEY_ABANDONED, JOURNEY_BROWSING, JOURNEY_COMPLETED, JOURNEY_OTHER
 
 
 def _counts(df: DataFrame, key: str, name: str = "count") -> DataFrame:

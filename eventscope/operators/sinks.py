@@ -39,7 +39,7 @@ def write_event_log(df: DataFrame, path: str, mode: str = "append",
 
 def write_event_table_batch(df: DataFrame, path: str, partition_by: str = "event_type",
                             order_by: str = "ts", partitions: int | None = None,
-                            mode: str = "overwrite") -> None:
+                            mode: str = "overwrite", ranged: bool = False) -> None:
     """Batch twin of the stream sink K1: Parquet partitioned by event type.
 
     Rows are range-partitioned on (event type, time) and sorted inside each task, so
@@ -48,7 +48,9 @@ def write_event_table_batch(df: DataFrame, path: str, partition_by: str = "event
     """
     keys = [F.col(partition_by).asc_nulls_last(), F.col(order_by).asc_nulls_last()]
     # without an explicit count AQE sizes the range partitions from the data
-    # (advisory partition size); give ``partitions`` to pin the file count
-    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
-    (ranged.sortWithinPartitions(partition_by, order_by)
-           .write.mode(mode).partitionBy(partition_by).parquet(path))
+    # (advisory partition size); give ``partitions`` to pin the file count.
+    # ``ranged=True``: the frame already is range-partitioned on these keys.
+    if not ranged:
+        df = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    (df.sortWithinPartitions(partition_by, order_by)
+       .write.mode(mode).partitionBy(partition_by).parquet(path))

@@ -23,7 +23,13 @@ from eventscope.operators.sinks import csv_ready
 
 @dataclass
 class Dashboard:
-    """Controls of the dashboard; ``as_of`` defaults to the latest event time."""
+    """Controls of the dashboard; ``as_of`` defaults to the latest event time.
+
+    ``persist=None`` persists the filtered frame only when a filter narrows it (a
+    window, a type selection or the last 60 s): caching an unfiltered table would copy
+    all of it, and Spark would also serve that cache to any other query with the same
+    plan (without its column pruning).  Call ``release()`` when the page is done.
+    """
 
     window: str = "All"
     event_types: list[str] | None = None
@@ -31,13 +37,28 @@ class Dashboard:
     bucket: str = "5s"
     as_of: object = None
     top_k: int = 5
-    persist: bool = True
+    persist: bool | None = None
+
+    def __post_init__(self):
+        self._cached: list[DataFrame] = []
+
+    def _narrowing(self) -> bool:
+        return (self.window not in (None, "All")) or self.event_types is not None or self.recent_only
 
     def filtered(self, raw: DataFrame) -> DataFrame:
         events = prepare(raw)
         as_of = self.as_of if self.as_of is not None else FL.latest_ts_value(events)
         out = FL.dashboard_filters(events, self.window, self.event_types, self.recent_only, as_of)
-        return out.persist(StorageLevel.MEMORY_AND_DISK) if self.persist else out
+        if self.persist or (self.persist is None and self._narrowing()):
+            out = out.persist(StorageLevel.MEMORY_AND_DISK)
+            self._cached.append(out)
+        return out
+
+    def release(self) -> None:
+        """Drop the persisted filtered frames."""
+        for df in self._cached:
+            df.unpersist()
+        self._cached.clear()
 
     def metrics(self, raw: DataFrame) -> dict[str, DataFrame]:
         """Every chart of the page, as lazy DataFrames over one filtered frame."""

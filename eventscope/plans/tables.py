@@ -44,7 +44,7 @@ def canonical_table_path(spark: SparkSession, sf_dir: str) -> str:
         if path and _exists(spark, path):
             return path
         path = work_path(spark, "tables", "events")
-        write_event_table_batch(bridge_events(spark, sf_dir), path)
+        write_event_table_batch(bridge_events(spark, sf_dir, ranged=True), path, ranged=True)
         _BUILT[key] = path
         return path
 

@@ -13,8 +13,8 @@ events are derived deterministically from ``events`` and ``part``:
 The same rules are written in SQL in ``eventscope.plans.oracle`` (DuckDB side).
 
 Plan: events ⋈ part on the product key (broadcast when Spark's size estimate of
-``part`` is under the threshold, sort-merge otherwise), then one shuffle by event to
-nest the ≤3 products of each event back into an array.
+``part`` is under the threshold, sort-merge otherwise), then one shuffle that both
+groups each event's ≤3 products and range-partitions the table for its write.
 """
 
 from __future__ import annotations
@@ -93,28 +93,37 @@ def products_from(x: DataFrame, part: DataFrame, n_parts=None) -> DataFrame:
     )
 
 
-def bridge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bridge_events(spark: SparkSession, sf_dir: str, ranged: bool = False) -> DataFrame:
     """Canonical nested events, as the ingest job would have stored them.
 
     Columns: row_id, event_id, event_type, timestamp (epoch double), ts, ip, device,
     user_type (absent context → NULL), products (NULL for login/logout).
+
+    Products are joined per item, unioned with the product-less events (so no NULL
+    join key piles up in one task), then nested per event.  With ``ranged=True`` the
+    rows are range-partitioned on (event_type, ts, row_id) first: that partitioning
+    already clusters every event's items, so the nesting aggregate needs no shuffle of
+    its own, and the output is ready for a ts-sorted, type-partitioned write.
     """
     x = bridge_flat(spark, sf_dir)
     prods = bridge_products(spark, sf_dir, x)
-    item = F.struct(F.col("pos"), F.struct(*[F.col(f) for f in PRODUCTS_TYPE.elementType.fieldNames()]).alias("p"))
-    # event_id, event_type and ts depend on row_id alone: shuffle on the one key
-    nested = (prods.groupBy("row_id")
-                   .agg(F.any_value("event_id").alias("event_id"), F.any_value("event_type").alias("event_type"),
-                        F.any_value("ts").alias("ts"), F.sort_array(F.collect_list(item)).alias("items"))
-                   .select("row_id", "event_id", "event_type", "ts",
-                           F.transform("items", lambda s: s["p"]).cast(PRODUCTS_TYPE).alias("products")))
+    fields = PRODUCTS_TYPE.elementType.fieldNames()
+    item_type = f"struct<pos:int,p:struct<{','.join(f + ':string' for f in fields)}>>"
+    items = prods.select("row_id", "event_id", "event_type", "ts",
+                         F.struct(F.col("pos"), F.struct(*[F.col(f) for f in fields]).alias("p")).alias("item"))
     bare = (x.where(F.col("event_type").isin("login", "logout"))
-             .withColumn("products", F.lit(None).cast(PRODUCTS_TYPE)))
-    both = nested.unionByName(bare)
-    return both.select("row_id", "event_id", "event_type",
-                       ts_to_epoch(F.col("ts")).alias("timestamp"), "ts",
-                       *[F.lit(None).cast("string").alias(c) for c in CONTEXT_FIELDS],
-                       "products")
+             .withColumn("item", F.lit(None).cast(item_type)))
+    rows = items.unionByName(bare)
+    if ranged:
+        rows = rows.repartitionByRange(F.col("event_type").asc_nulls_last(), F.col("ts").asc_nulls_last(),
+                                       F.col("row_id").asc_nulls_last())
+    nested = rows.groupBy("row_id", "event_id", "event_type", "ts").agg(
+        F.sort_array(F.collect_list("item")).alias("items"))  # NULL items are skipped
+    products = F.when(F.size("items") > 0, F.transform("items", lambda s: s["p"])).cast(PRODUCTS_TYPE)
+    return nested.select("row_id", "event_id", "event_type",
+                         ts_to_epoch(F.col("ts")).alias("timestamp"), "ts",
+                         *[F.lit(None).cast("string").alias(c) for c in CONTEXT_FIELDS],
+                         products.alias("products"))
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:

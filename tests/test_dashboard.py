@@ -11,11 +11,16 @@ def _rows(df):
 
 def test_dashboard_matches_named_queries(spark, sf_small):
     raw = canonical_events(spark, sf_small)
-    m = Dashboard(window="24h", bucket="1h").metrics(raw)
+    page = Dashboard(window="24h", bucket="1h")
+    m = page.metrics(raw)
     q = queries()
     assert _rows(m["kpis"]) == _rows(q["kpis"](spark, sf_small))
     assert _rows(m["journey_funnel"]) == _rows(q["journey_funnel"](spark, sf_small))
-    full = Dashboard(bucket="1h").metrics(raw)
+    assert len(page._cached) == 1
+    page.release()
+    whole = Dashboard(bucket="1h")
+    full = whole.metrics(raw)
+    assert whole._cached == []  # an unfiltered page is not cached
     assert _rows(full["events_over_time"]) == _rows(q["events_over_time_dense"](spark, sf_small))
     assert _rows(full["top_categories_over_time"]) == _rows(q["top_categories_over_time"](spark, sf_small))
     assert full["preview"].count() == 100
@@ -24,7 +29,9 @@ def test_dashboard_matches_named_queries(spark, sf_small):
 
 def test_dashboard_type_selection_and_recent(spark, sf_small):
     raw = canonical_events(spark, sf_small)
-    none = Dashboard(event_types=[]).metrics(raw)
-    assert none["kpis"].first().total_events == 0
-    recent = Dashboard(recent_only=True).metrics(raw)
-    assert recent["kpis"].first().total_events >= 1
+    page = Dashboard(event_types=[])
+    assert page.metrics(raw)["kpis"].first().total_events == 0
+    page.release()
+    page = Dashboard(recent_only=True)
+    assert page.metrics(raw)["kpis"].first().total_events >= 1
+    page.release()
