@@ -115,12 +115,15 @@ def ordered_steps(df: DataFrame, key: str = "event_id", order: tuple[str, ...] =
     the rows; a hot key is spread over as many tasks as it has chunks.
     """
     order = tuple(c for c in order if c in df.columns)
-    x = df.where(F.col(key).isNotNull()).withColumn("_chunk", bucket_micros(F.col(order[0]), chunk_us))
+    # rows without time form the first chunk (sorted first, as NULLS FIRST)
+    chunk = F.coalesce(bucket_micros(F.col(order[0]), chunk_us), F.lit(-(2 ** 63)))
+    x = df.where(F.col(key).isNotNull()).withColumn("_chunk", chunk)
+    local = Window.partitionBy(key, "_chunk").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    numbered = x.withColumn("_local", F.row_number().over(local))
+    # chunk sizes are counted map-side first: only (key, chunk, n) rows are shuffled
     per_chunk = x.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_chunk.select(key, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = Window.partitionBy(key, "_chunk").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    numbered = x.withColumn("_local", F.row_number().over(local))
     return (numbered.join(offsets, [key, "_chunk"])
                     .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
                     .drop("_chunk", "_off", "_local"))

@@ -192,7 +192,7 @@ FROM x_events e JOIN x_counts k ON k.row_id = e.row_id
 WHERE first_raw IS NOT NULL AND e.event_type IS NOT NULL GROUP BY 1"""),
     # A6, A7, A8
     "user_paths": _sql("""
-SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY ts, row_id) AS step,
+SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY ts NULLS FIRST, row_id NULLS FIRST) AS step,
        row_id, ts, event_type
 FROM x_events WHERE event_id IS NOT NULL"""),
     "journey_by_user": _sql(f"""

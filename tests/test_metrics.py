@@ -86,6 +86,13 @@ def test_user_paths_are_ordered_across_chunks(spark):
     assert got == [(1, "login"), (2, "logout"), (3, "view_product"), (4, "purchase")]
 
 
+def test_user_paths_keep_rows_without_time(spark):
+    rows = [("U1", "login", T0, None), ("U1", "purchase", None, None), ("U2", "logout", None, None)]
+    df = _frame(spark, rows).withColumn("row_id", F.monotonically_increasing_id())
+    got = sorted((r.event_id, r.step, r.event_type) for r in M.user_paths(df).collect())
+    assert got == [("U1", 1, "purchase"), ("U1", 2, "login"), ("U2", 1, "logout")]
+
+
 def test_crosstab_matches_pandas(spark):
     rows = [("a", "x"), ("a", "y"), ("b", "x"), ("b", "x"), ("c", None)]
     df = spark.createDataFrame(rows, "category string, event_type string")
