@@ -19,6 +19,13 @@ DEFAULT_CONF = {
 }
 
 
+CLUSTER_STREAMING_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 def build_session(master: str | None = None, app_name: str = "eventscope",
                   shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """A session with the settings every operator assumes (UTC, AQE on).
@@ -30,6 +37,10 @@ def build_session(master: str | None = None, app_name: str = "eventscope",
     if master:
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
+    if not (master or "").startswith("local"):
+        # on a cluster keep streaming state (per-user journey flags, window counts)
+        # off-heap in RocksDB with changelog checkpoints instead of JVM hash maps
+        conf.update(CLUSTER_STREAMING_CONF)
     if shuffle_partitions is None and master and master.startswith("local"):
         n = master[master.find("[") + 1:-1] if "[" in master else "1"
         shuffle_partitions = os.cpu_count() if n == "*" else int(n)

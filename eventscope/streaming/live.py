@@ -29,6 +29,8 @@ def _bounds(w: str = "window") -> list:
 def live_counts(stream: DataFrame, length: str = "1 hour", delay: str = "10 minutes",
                 by: tuple[str, ...] = ("event_type",), slide: str | None = None) -> DataFrame:
     """R4 (tumbling) / R5 (``slide`` given: sliding) event counts per window."""
+    for k in by:  # NULL keys are not a group, as in the batch counts
+        stream = stream.where(F.col(k).isNotNull())
     x = with_watermark(stream, delay)
     w = F.window(ET, length, slide) if slide else F.window(ET, length)
     agg = x.groupBy(w.alias("window"), *by).agg(F.count(F.lit(1)).alias("count"))
