@@ -80,14 +80,17 @@ def taxonomy_frame(spark: SparkSession, extended: bool = False) -> DataFrame:
 def with_taxonomy_flags(products: DataFrame, taxonomy: DataFrame, bounded: bool = True) -> DataFrame:
     """Mark each product with the V4 rules via three left joins to the taxonomy.
 
-    ``bounded=True`` (the built-in vocabularies, ≤ ~130 rows) broadcasts the
-    taxonomy; a user-supplied taxonomy is left to Spark's size-based join choice.
+    ``bounded=True`` (the built-in vocabularies, ≤ ~130 unique rows) broadcasts the
+    taxonomy; a user-supplied taxonomy (``bounded=False``) is de-duplicated and left
+    to Spark's size-based join choice.
     """
     def side(kind: str, value_col: str | None):
         t = taxonomy.where(F.col("kind") == kind)
-        t = t.select(F.col("category").alias("_c"), *( [F.col("value").alias("_v")] if value_col else []),
-                     F.lit(True).alias(f"_ok_{kind}")).distinct()
-        return F.broadcast(t) if bounded else t
+        t = t.select(F.col("category").alias("_c"), *([F.col("value").alias("_v")] if value_col else []),
+                     F.lit(True).alias(f"_ok_{kind}"))
+        # the built-in rows are unique; a user table is de-duplicated so the left
+        # joins cannot multiply products
+        return F.broadcast(t) if bounded else t.distinct()
 
     p = products
     c = side("category", None)

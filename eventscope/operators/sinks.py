@@ -54,3 +54,19 @@ def write_event_table_batch(df: DataFrame, path: str, partition_by: str = "event
         df = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
     (df.sortWithinPartitions(partition_by, order_by)
        .write.mode(mode).partitionBy(partition_by).parquet(path))
+
+
+def compact_event_table(spark, source: str, target: str, partition_by: str = "event_type",
+                        order_by: str = "ts") -> None:
+    """Rewrite an appended (many small files) event table into sized, sorted files.
+
+    The stream sink writes a few files per micro-batch and partition value; this
+    batch job reads the table (partition discovery), range-partitions it on
+    (event type, time) — AQE sizes the output partitions — and writes it to ``target``.
+    Readers switch to ``target`` once it is committed (the source is left intact).
+    ``order_by`` falls back to ``timestamp`` when the table stores only epoch seconds.
+    """
+    df = spark.read.parquet(source)
+    if order_by not in df.columns:
+        order_by = "timestamp"
+    write_event_table_batch(df, target, partition_by, order_by)

@@ -119,3 +119,20 @@ def test_stream_equals_batch_on_closed_windows(spark, sf_small):
              for r in event_types_over_time(prepared_events(spark, sf_small), "1h").collect()
              if r.timestamp <= closed_before}
     assert stream == batch and len(stream) > 0
+
+
+def test_compaction_keeps_rows_and_reduces_files(spark):
+    import glob
+    from eventscope.operators.sinks import compact_event_table
+    d = _local(spark, "compact")
+    for i in range(6):  # six micro-batches → many small files
+        _write_lines(f"{d}/in", f"{i}.json", [_ev(f"U100{i}", t, 1.0 + i + j / 10)
+                                               for j, t in enumerate(["login", "purchase", "login"])])
+    good, _ = ingest.split_malformed(stream_event_log(spark, f"{d}/in", max_files_per_trigger=1))
+    await_done(ingest.write_event_table(good, f"{d}/table", f"{d}/ck", trigger=NOW))
+    before = glob.glob(f"{d}/table/event_type=*/*.parquet")
+    compact_event_table(spark, f"{d}/table", f"{d}/compact")
+    after = glob.glob(f"{d}/compact/event_type=*/*.parquet")
+    rows = lambda p: sorted(tuple(r) for r in spark.read.parquet(p).select("event_id", "event_type", "timestamp").collect())
+    assert rows(f"{d}/table") == rows(f"{d}/compact")
+    assert len(after) < len(before)
