@@ -13,14 +13,7 @@ from pyspark.sql import types as T
 
 from eventscope.functions import products as P
 from eventscope.functions.timefn import coerce_ts, ts_to_epoch
-from eventscope.schema import (CANONICAL_COLUMNS, CONTEXT_FIELDS, PRODUCTS_TYPE, UNKNOWN_ID)
-
-
-def _dtype(df: DataFrame, name: str) -> T.DataType | None:
-    for f in df.schema.fields:
-        if f.name == name:
-            return f.dataType
-    return None
+from eventscope.schema import CONTEXT_FIELDS, PRODUCTS_TYPE, UNKNOWN_ID
 
 
 def ensure_columns(df: DataFrame) -> DataFrame:
@@ -40,13 +33,6 @@ def ensure_columns(df: DataFrame) -> DataFrame:
     return df
 
 
-def with_event_time(df: DataFrame, precision: str = "micro") -> DataFrame:
-    """Derive ``ts`` (timestamp_ntz) from ``timestamp`` unless present."""
-    if "ts" in df.columns:
-        return df
-    return df.withColumn("ts", coerce_ts(F.col("timestamp"), _dtype(df, "timestamp"), precision))
-
-
 def prepare(df: DataFrame, precision: str = "micro") -> DataFrame:
     """The prepared event frame all metrics read.
 
@@ -125,33 +111,41 @@ def detect_shape(df: DataFrame) -> str:
     return "v2"
 
 
-def _context(df: DataFrame) -> list[Column]:
-    return [(F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")).alias(c)
-            for c in CONTEXT_FIELDS]
+def _canonical_select(df: DataFrame, keep, key: str, products: Column | None) -> DataFrame:
+    """One projection to the canonical columns (each DataFrame step is analysed, so
+    the shape mappings are built as expressions and applied once)."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    if "ts" in types:
+        ts = F.col("ts").cast("timestamp_ntz")
+    elif "timestamp" in types:
+        ts = coerce_ts(F.col("timestamp"), types["timestamp"])
+    else:
+        ts = F.lit(None).cast("timestamp_ntz")
+    if isinstance(types.get("timestamp"), T.NumericType):
+        epoch = F.col("timestamp").cast("double")
+    else:  # absent or text: the stored form is epoch seconds
+        epoch = ts_to_epoch(ts)
 
+    def text(name, default=None):
+        return F.col(name).cast("string") if name in types else F.lit(default).cast("string")
 
-def _finish(df: DataFrame, extra: list[str]) -> DataFrame:
-    keep = [c for c in extra if c in df.columns]
-    return df.select(*keep, *CANONICAL_COLUMNS)
+    if products is None:
+        products = (P.normalize_products(F.col("products"), types["products"]) if "products" in types
+                    else F.array().cast(PRODUCTS_TYPE))
+    return df.select(*[c for c in keep if c in types],
+                     text(key, UNKNOWN_ID).alias("event_id"), text("event_type", UNKNOWN_ID).alias("event_type"),
+                     epoch.alias("timestamp"), ts.alias("ts"),
+                     *[text(c).alias(c) for c in CONTEXT_FIELDS], products.alias("products"))
 
 
 def from_v2(df: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Canonical nested events (optionally with context fields) → canonical columns."""
-    df = with_event_time(ensure_columns(df))
-    if isinstance(_dtype(df, "timestamp"), T.NumericType):
-        df = df.withColumn("timestamp", F.col("timestamp").cast("double"))
-    else:  # absent or text: the stored form is epoch seconds
-        df = df.withColumn("timestamp", ts_to_epoch(F.col("ts")))
-    df = df.select(*[c for c in keep if c in df.columns], "event_id", "event_type", "timestamp", "ts",
-                   *_context(df),
-                   P.normalize_products(F.col("products"), _dtype(df, "products")).alias("products"))
-    return _finish(df, list(keep))
+    return _canonical_select(df, keep, "event_id", None)
 
 
 def from_v1(df: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Early nested events: ``user_id`` is the key, ``timestamp`` is ISO text."""
-    df = df.withColumnRenamed("user_id", "event_id")
-    return from_v2(df, keep)
+    return _canonical_select(df, keep, "user_id", None)
 
 
 def from_v0(df: DataFrame, keep: list[str] = ()) -> DataFrame:
@@ -160,8 +154,8 @@ def from_v0(df: DataFrame, keep: list[str] = ()) -> DataFrame:
     prods = F.when(cat.isNotNull(),
                    F.array(F.struct(*[(cat if f == "product_category" else F.lit(None).cast("string")).alias(f)
                                       for f in PRODUCTS_TYPE.elementType.fieldNames()])))
-    df = df.withColumnRenamed("user_id", "event_id").withColumn("products", prods.cast(PRODUCTS_TYPE))
-    return from_v2(df.drop("product_category"), keep)
+    return _canonical_select(df, keep, "user_id",
+                             F.coalesce(prods, F.array()).cast(PRODUCTS_TYPE))
 
 
 def to_canonical(df: DataFrame, keep: list[str] = ()) -> DataFrame:
