@@ -38,10 +38,12 @@ def kpis(df: DataFrame) -> DataFrame:
     )
 
 
-def data_status(df: DataFrame, window: str | None = "All", as_of=None) -> DataFrame:
+def data_status(df: DataFrame, window: str | None = "All", as_of=None,
+                source_columns: int | None = None) -> DataFrame:
     """A2: total rows, rows inside the window, source column count, window label.
 
     One pass: the window predicate is evaluated as a ``count_if`` next to ``count``.
+    ``source_columns`` defaults to the column count of ``df``.
     """
     p = window_predicate(df, window, as_of)
     in_window = F.count_if(p) if p is not None else F.count(F.lit(1))
@@ -49,7 +51,8 @@ def data_status(df: DataFrame, window: str | None = "All", as_of=None) -> DataFr
         F.count(F.lit(1)).alias("total_rows"),
         in_window.cast("long").alias("rows_in_window"),
     ).select("total_rows", "rows_in_window",
-             F.lit(len(df.columns)).cast("long").alias("source_columns"),
+             F.lit(len(df.columns) if source_columns is None else source_columns)
+             .cast("long").alias("source_columns"),
              F.lit(window or "All").alias("time_window"))
 
 

@@ -66,7 +66,7 @@ class Dashboard:
         b = self.bucket
         return {
             "kpis": M.kpis(f),
-            "data_status": M.data_status(f),
+            "data_status": M.data_status(f, source_columns=len(raw.columns)),
             "preview": preview(f, 100, PREVIEW_COLUMNS),
             "download": csv_ready(f),
             "event_type_distribution": M.ranked(M.event_type_counts(f), "event_type"),

@@ -24,6 +24,7 @@ def test_dashboard_matches_named_queries(spark, sf_small):
     assert _rows(full["events_over_time"]) == _rows(q["events_over_time_dense"](spark, sf_small))
     assert _rows(full["top_categories_over_time"]) == _rows(q["top_categories_over_time"](spark, sf_small))
     assert full["preview"].count() == 100
+    assert full["data_status"].first().source_columns == len(raw.columns)
     assert [r.column for r in full["source_columns"].orderBy("position").collect()] == raw.columns
 
 
