@@ -68,10 +68,17 @@ def ingest_records(records: DataFrame, table_path: str, checkpoint: str,
 
 def kafka_to_table(spark: SparkSession, servers: str, topic: str, table_path: str,
                    checkpoint: str, quarantine_path: str | None = None,
-                   starting: str = "earliest") -> list[StreamingQuery]:
-    """The ingest job: S1 + R1 with the default trigger."""
-    return ingest_records(read_kafka_events(spark, servers, topic, starting), table_path,
-                          checkpoint, quarantine_path)
+                   starting: str = "earliest", trigger: dict | None = None,
+                   max_offsets_per_trigger: int | None = None) -> list[StreamingQuery]:
+    """The ingest job: S1 + R1, default trigger (R3) unless ``trigger`` is given.
+
+    On a busy topic prefer ``trigger={"processingTime": "1 minute"}`` (fewer, larger
+    files; compact later with ``compact_event_table``) and bound each micro-batch
+    with ``max_offsets_per_trigger``.
+    """
+    opts = {"maxOffsetsPerTrigger": str(max_offsets_per_trigger)} if max_offsets_per_trigger else None
+    return ingest_records(read_kafka_events(spark, servers, topic, starting, opts), table_path,
+                          checkpoint, quarantine_path, trigger=trigger)
 
 
 def preview_stream(stream: DataFrame, rows: int = 20) -> StreamingQuery:
