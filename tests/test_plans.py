@@ -60,10 +60,14 @@ def test_share_of_total_has_no_global_window(spark, sf_small):
 
 
 @pytest.mark.parametrize("name", [n for n in queries() if not n.startswith("stream_")])
-def test_no_python_in_batch_plans(spark, sf_small, name):
+def test_no_python_or_pairwise_joins_in_batch_plans(spark, sf_small, name):
     df = queries()[name](spark, sf_small)
     p = df._jdf.queryExecution().toString()
     assert not any(n in p for n in PY_NODES), name
+    executed = plan(df)
+    assert "CartesianProduct" not in executed and "BroadcastNestedLoopJoin" not in executed, name
+    # no window without a partition key (it would move every row into one task)
+    assert "Window [" not in executed or "windowspecdefinition(specifiedwindowframe" not in executed, name
 
 
 def test_dense_grid_does_not_collect(spark):
