@@ -8,10 +8,14 @@ from the bridge: the files are the source.
 
 from __future__ import annotations
 
+import datetime as _dt
 import os
 import threading
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventscope.operators.sinks import write_event_table_batch
 from eventscope.session import work_path
@@ -75,11 +79,48 @@ def prepared_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, path, "prepared", lambda: prepare(canonical_events(spark, sf_dir)))
 
 
+def _epoch_to_wall_clock(x: float) -> _dt.datetime:
+    # the exact twin of epoch_to_ts: round(x * 1e6) half-up, as UTC wall-clock
+    us = int(Decimal(x * 1e6).quantize(Decimal(1), rounding=ROUND_HALF_UP))
+    return _dt.datetime(1970, 1, 1) + _dt.timedelta(microseconds=us)
+
+
+def latest_from_footers(spark: SparkSession, path: str):
+    """``max(timestamp)`` of a Parquet table answered from file footers, or None.
+
+    Runs in an isolated session (shared context, own SQL settings) with the V2
+    Parquet reader and aggregate push-down, so only footer statistics are read —
+    O(files), not O(rows).  Returns None when that is not possible (no statistics,
+    no epoch column); callers then scan.
+    """
+    try:
+        iso = spark.newSession()
+        v1 = [x for x in iso.conf.get("spark.sql.sources.useV1SourceList").split(",")
+               if x.strip().lower() != "parquet"]
+        iso.conf.set("spark.sql.sources.useV1SourceList", ",".join(v1))
+        iso.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+        df = iso.read.parquet(path)
+        if "timestamp" not in df.columns or not isinstance(df.schema["timestamp"].dataType, T.DoubleType):
+            return None
+        agg = df.agg(F.max("timestamp"))
+        if "PushedAggregation: [MAX(timestamp)]" not in agg._jdf.queryExecution().executedPlan().toString():
+            return None
+        x = agg.first()[0]
+        return None if x is None else _epoch_to_wall_clock(x)
+    except Exception:  # noqa: BLE001 - fall back to a scan
+        return None
+
+
 def latest_event_time(spark: SparkSession, sf_dir: str):
-    """Latest ``ts`` of the (immutable) canonical table; one aggregate, then memoized."""
+    """Latest ``ts`` of the (immutable) canonical table, then memoized.
+
+    From Parquet footers when possible (the stored epoch seconds map exactly to
+    ``ts``), else one single-column aggregate.
+    """
     path = canonical_table_path(spark, sf_dir)
     with _LOCK:
         if path not in _LATEST:
             from eventscope.operators.filters import latest_ts_value
-            _LATEST[path] = latest_ts_value(read_event_table(spark, path))
+            latest = latest_from_footers(spark, path)
+            _LATEST[path] = latest if latest is not None else latest_ts_value(read_event_table(spark, path))
         return _LATEST[path]

@@ -89,3 +89,14 @@ def test_category_queries_read_only_the_category_field(spark, sf_small, name):
 def test_share_total_is_one_subquery(spark, sf_small):
     p = plan(queries()["category_share"](spark, sf_small))
     assert p.count("Subquery subquery") == 1
+
+
+def test_anchor_from_footers_equals_scan(spark, sf_small):
+    from eventscope.operators.filters import latest_ts_value
+    from eventscope.plans.tables import canonical_table_path, latest_from_footers
+    path = canonical_table_path(spark, sf_small)
+    footers = latest_from_footers(spark, path)
+    assert footers is not None
+    assert footers == latest_ts_value(canonical_events(spark, sf_small))
+    # the caller's session keeps its own reader settings
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
