@@ -44,7 +44,8 @@ def prepare(df: DataFrame, precision: str = "micro") -> DataFrame:
 
     For stored struct products the drop-variant categories are a field extraction
     of the raw array, so a category-only query reads just
-    ``products.product_category`` from Parquet (nested column pruning).
+    ``products.product_category`` from Parquet (nested column pruning); a stored
+    ``product_count`` column (written with the canonical table) is used as is.
     """
     df = ensure_columns(df)
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -56,11 +57,16 @@ def prepare(df: DataFrame, precision: str = "micro") -> DataFrame:
              P.normalize_products(F.col("products"), raw_type).alias("products")]
     if direct:
         first.append(P.categories_dropping_fields(F.col("products")).alias("product_categories"))
+    stored_count = "product_count" in types  # written with the table: no product fields read
+    if stored_count:
+        first = [c for c in first if not (isinstance(c, str) and c == "product_count")]
+        first.append(F.coalesce(F.col("product_count").cast("long"), F.lit(0).cast("long")).alias("product_count"))
     base = df.select(*first)
     p = F.col("products")
     later = [] if direct else [P.categories_dropping(p).alias("product_categories")]
-    return base.select("*", *later, P.categories_unknown(p).alias("categories_unknown"),
-                       P.product_count(p).alias("product_count"))
+    if not stored_count:
+        later.append(P.product_count(p).alias("product_count"))
+    return base.select("*", *later, P.categories_unknown(p).alias("categories_unknown"))
 
 
 def fold_event_types(df: DataFrame, drop_null: bool = True) -> DataFrame:

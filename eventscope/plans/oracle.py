@@ -138,7 +138,7 @@ FROM x_events"""),
     "data_status": _sql(f"""
 SELECT count(*) AS total_rows,
        CAST(count(*) FILTER (WHERE {W24}) AS BIGINT) AS rows_in_window,
-       CAST(9 AS BIGINT) AS source_columns,
+       CAST(10 AS BIGINT) AS source_columns,
        '24h' AS time_window
 FROM x_events"""),
     # A3, L3, L4

@@ -97,7 +97,7 @@ def bridge_events(spark: SparkSession, sf_dir: str, ranged: bool = False) -> Dat
     """Canonical nested events, as the ingest job would have stored them.
 
     Columns: row_id, event_id, event_type, timestamp (epoch double), ts, ip, device,
-    user_type (absent context → NULL), products (NULL for login/logout).
+    user_type (absent context → NULL), products (NULL for login/logout), product_count.
 
     Products are joined per item, unioned with the product-less events (so no NULL
     join key piles up in one task), then nested per event.  With ``ranged=True`` the
@@ -123,7 +123,9 @@ def bridge_events(spark: SparkSession, sf_dir: str, ranged: bool = False) -> Dat
     return nested.select("row_id", "event_id", "event_type",
                          ts_to_epoch(F.col("ts")).alias("timestamp"), "ts",
                          *[F.lit(None).cast("string").alias(c) for c in CONTEXT_FIELDS],
-                         products.alias("products"))
+                         products.alias("products"),
+                         # stored count (N8): counting later needs no product fields
+                         F.size("items").cast("long").alias("product_count"))
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:

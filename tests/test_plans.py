@@ -100,3 +100,8 @@ def test_anchor_from_footers_equals_scan(spark, sf_small):
     assert footers == latest_ts_value(canonical_events(spark, sf_small))
     # the caller's session keeps its own reader settings
     assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+
+
+def test_kpis_read_no_product_fields(spark, sf_small):
+    p = plan(queries()["kpis_all"](spark, sf_small))
+    assert "ReadSchema: struct<event_id:string,product_count:bigint>" in p
