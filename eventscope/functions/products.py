@@ -65,6 +65,13 @@ def categories_dropping_fields(products: Column) -> Column:
                       F.array().cast("array<string>"))
 
 
+def categories_unknown_fields(products: Column) -> Column:
+    """N7b on a stored array without NULL elements, as a field extraction."""
+    return F.coalesce(F.transform(products["product_category"],
+                                  lambda c: F.coalesce(c, F.lit(UNKNOWN_CATEGORY))),
+                      F.array().cast("array<string>"))
+
+
 def categories_unknown(products: Column) -> Column:
     """Categories of the products, a missing category becomes ``'Unknown'``."""
     return F.transform(products, lambda p: F.coalesce(p["product_category"], F.lit(UNKNOWN_CATEGORY)))

@@ -76,7 +76,8 @@ def flat_category(df: DataFrame, name: str = "product_category") -> DataFrame:
     """The scalar category of the flat shape: the first product's category, or NULL."""
     if name in df.columns:
         return df
-    return df.withColumn(name, F.get(F.col("products"), 0)["product_category"])
+    # category field first, then the element: a prunable field extraction
+    return df.withColumn(name, F.get(F.col("products")["product_category"], 0))
 
 
 def scalar_category_counts(df: DataFrame, col: str = "product_category") -> DataFrame:

@@ -42,10 +42,11 @@ def prepare(df: DataFrame, precision: str = "micro") -> DataFrame:
     eagerly, so one wide select beats a chain of ``withColumn``); columns a metric
     does not use are pruned by Catalyst.
 
-    For stored struct products the drop-variant categories are a field extraction
-    of the raw array, so a category-only query reads just
-    ``products.product_category`` from Parquet (nested column pruning); a stored
-    ``product_count`` column (written with the canonical table) is used as is.
+    Stored struct products: the drop-variant categories are a field extraction of the
+    raw array, so a category query reads just ``products.product_category`` (nested
+    column pruning).  A canonical table (written with ``product_count``; its products
+    are normalised at write time) is used as stored: no normalising ``transform``,
+    every derived column a field extraction, the count read as is.
     """
     df = ensure_columns(df)
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -53,20 +54,23 @@ def prepare(df: DataFrame, precision: str = "micro") -> DataFrame:
     raw_type = types["products"]
     direct = (isinstance(raw_type, T.ArrayType) and isinstance(raw_type.elementType, T.StructType)
               and "product_category" in raw_type.elementType.fieldNames())
-    first = [*[c for c in df.columns if c not in ("ts", "products")], ts.alias("ts"),
-             P.normalize_products(F.col("products"), raw_type).alias("products")]
+    canonical = direct and "product_count" in types and raw_type == PRODUCTS_TYPE
+    raw = F.col("products")
+    prods = raw if canonical else P.normalize_products(raw, raw_type)
+    first = [*[c for c in df.columns if c not in ("ts", "products", "product_count")],
+             ts.alias("ts"), prods.alias("products")]
     if direct:
-        first.append(P.categories_dropping_fields(F.col("products")).alias("product_categories"))
-    stored_count = "product_count" in types  # written with the table: no product fields read
-    if stored_count:
-        first = [c for c in first if not (isinstance(c, str) and c == "product_count")]
-        first.append(F.coalesce(F.col("product_count").cast("long"), F.lit(0).cast("long")).alias("product_count"))
+        first.append(P.categories_dropping_fields(raw).alias("product_categories"))
+    if canonical:
+        first += [P.categories_unknown_fields(raw).alias("categories_unknown"),
+                  F.coalesce(F.col("product_count").cast("long"), F.lit(0).cast("long")).alias("product_count")]
     base = df.select(*first)
+    if canonical:
+        return base
     p = F.col("products")
     later = [] if direct else [P.categories_dropping(p).alias("product_categories")]
-    if not stored_count:
-        later.append(P.product_count(p).alias("product_count"))
-    return base.select("*", *later, P.categories_unknown(p).alias("categories_unknown"))
+    return base.select("*", *later, P.categories_unknown(p).alias("categories_unknown"),
+                       P.product_count(p).alias("product_count"))
 
 
 def fold_event_types(df: DataFrame, drop_null: bool = True) -> DataFrame:

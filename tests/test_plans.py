@@ -80,7 +80,9 @@ def test_dense_grid_does_not_collect(spark):
     assert "Generate explode(sequence" in p and "Exchange hashpartitioning(c#" in p
 
 
-@pytest.mark.parametrize("name", ["category_counts", "top_categories", "category_matrix"])
+@pytest.mark.parametrize("name", ["category_counts", "top_categories", "category_matrix",
+                                  "category_counts_unknown", "first_category_matrix",
+                                  "scalar_category_counts", "category_matrix_wide", "category_share"])
 def test_category_queries_read_only_the_category_field(spark, sf_small, name):
     p = plan(queries()[name](spark, sf_small))
     assert "ReadSchema: struct<products:array<struct<product_category:string>>>" in p
