@@ -83,8 +83,10 @@ def cmd_contracts(spark, args) -> None:
     checks = {
         "events": C.rule_counts(p, C.event_rules()),
         "product_counts": C.rule_counts(p, C.product_count_rules()),
-        "product_fields": C.rule_counts(C.exploded_products(p), C.product_field_rules()),
-        "taxonomy": C.rule_counts(C.exploded_products(p), C.builtin_taxonomy_rules(args.extended)),
+        "product_fields": C.rule_counts(C.exploded_products(p, fields=C.FIELD_RULE_FIELDS),
+                                        C.product_field_rules()),
+        "taxonomy": C.rule_counts(C.exploded_products(p, fields=C.TAXONOMY_FIELDS),
+                                  C.builtin_taxonomy_rules(args.extended)),
         "missing_fields": C.missing_fields(raw),
     }
     for name, df in checks.items():

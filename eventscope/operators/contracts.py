@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventscope import schema as S
 
@@ -59,13 +60,25 @@ def product_field_rules() -> dict[str, Column]:
     }
 
 
-def exploded_products(prepared: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """One row per product with its fields (inner explode of normalised products)."""
+def exploded_products(prepared: DataFrame, keys: list[str] = (), fields: list[str] | None = None) -> DataFrame:
+    """One row per product with its fields (inner explode of normalised products).
+
+    With ``fields`` only those product fields are zipped and exploded: each is a field
+    extraction of the array, so Parquet reads just those nested columns.
+    """
     keys = [k for k in keys if k in prepared.columns]
-    x = prepared.select(*keys, "event_type", F.explode("products").alias("p"))
+    if fields:
+        zipped = F.arrays_zip(*[F.col("products")[f].alias(f) for f in fields])
+        x = prepared.select(*keys, "event_type", F.explode(zipped).alias("p"))
+    else:
+        x = prepared.select(*keys, "event_type", F.explode("products").alias("p"))
     return x.select(*keys, "event_type", "p.*")
 
 
+FIELD_RULE_FIELDS = ["product_id", "price"]
+TAXONOMY_FIELDS = ["product_category", "product_type", "brand"]
+
+
 def taxonomy_frame(spark: SparkSession, extended: bool = False) -> DataFrame:
     """Legal (category, kind, value) rows; kind ∈ {category, product_type, brand}."""
     cats = S.EXTENDED_CATEGORIES if extended else S.CATEGORIES
@@ -142,6 +155,17 @@ MISSING_FIELDS = ["event_id", "event_type", "timestamp", "ip", "device", "user_t
 
 def missing_fields(raw: DataFrame, fields: list[str] = MISSING_FIELDS) -> DataFrame:
     """V5: NULL (or absent) count per required field of the raw stored events."""
-    rules = {f: (F.col(f).isNull() if f in raw.columns else F.lit(True)) for f in fields}
+    types = {f.name: f.dataType for f in raw.schema.fields}
+
+    def missing(f):
+        if f not in types:
+            return F.lit(True)
+        t = types[f]
+        if isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StructType):
+            # a field extraction is NULL exactly when the array is: reads one nested field
+            return F.col(f)[t.elementType.fieldNames()[0]].isNull()
+        return F.col(f).isNull()
+
+    rules = {f: missing(f) for f in fields}
     return rule_counts(raw, rules).withColumnRenamed("rule", "field").withColumnRenamed(
         "violations", "missing")

@@ -242,19 +242,20 @@ def q_contract_products(spark, sf_dir):
     from eventscope.operators import contracts as C
     p = prepared(spark, sf_dir)
     per_event = C.rule_counts(p, C.product_count_rules())
-    per_product = C.rule_counts(C.exploded_products(p), C.product_field_rules())
+    per_product = C.rule_counts(C.exploded_products(p, fields=C.FIELD_RULE_FIELDS), C.product_field_rules())
     return per_event.unionByName(per_product)
 
 
 def q_contract_taxonomy(spark, sf_dir):
     from eventscope.operators import contracts as C
-    return C.rule_counts(C.exploded_products(prepared(spark, sf_dir)), C.builtin_taxonomy_rules())
+    prods = C.exploded_products(prepared(spark, sf_dir), fields=C.TAXONOMY_FIELDS)
+    return C.rule_counts(prods, C.builtin_taxonomy_rules())
 
 
 def q_contract_taxonomy_table(spark, sf_dir):
     """V4 with the taxonomy given as a table (joined; broadcast as it is bounded)."""
     from eventscope.operators import contracts as C
-    prods = C.exploded_products(prepared(spark, sf_dir))
+    prods = C.exploded_products(prepared(spark, sf_dir), fields=C.TAXONOMY_FIELDS)
     flagged = C.with_taxonomy_flags(prods, C.taxonomy_frame(spark))
     return C.rule_counts(flagged, C.taxonomy_rules())
 
@@ -264,7 +265,7 @@ def q_contract_violations(spark, sf_dir):
     from eventscope.operators import contracts as C
     p = prepared(spark, sf_dir)
     ev = C.violations(p, {**C.event_rules(), **C.product_count_rules()}, ["row_id"])
-    pr = C.violations(C.exploded_products(p, ["row_id"]), C.product_field_rules(), ["row_id"])
+    pr = C.violations(C.exploded_products(p, ["row_id"], C.FIELD_RULE_FIELDS), C.product_field_rules(), ["row_id"])
     return ev.unionByName(pr).groupBy("row_id", "rule").agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -107,3 +107,13 @@ def test_anchor_from_footers_equals_scan(spark, sf_small):
 def test_kpis_read_no_product_fields(spark, sf_small):
     p = plan(queries()["kpis_all"](spark, sf_small))
     assert "ReadSchema: struct<event_id:string,product_count:bigint>" in p
+
+
+@pytest.mark.parametrize("name,fields", [
+    ("contract_products", "product_id:string,price:string"),
+    ("contract_taxonomy", "product_category:string,product_type:string,brand:string"),
+    ("missing_fields", "product_id:string"),
+])
+def test_contracts_read_only_needed_product_fields(spark, sf_small, name, fields):
+    p = plan(queries()[name](spark, sf_small))
+    assert f"products:array<struct<{fields}>>" in p
