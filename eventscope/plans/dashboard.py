@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from eventscope.operators import filters as FL
 from eventscope.operators import metrics as M
@@ -80,3 +81,63 @@ class Dashboard:
             "source_columns": raw.sparkSession.createDataFrame(
                 [(i, c) for i, c in enumerate(raw.columns)], "position int, column string"),
         }
+
+    # ---- the other dashboard pages, as presets over the same filtered frame ----------
+
+    def json_page(self, raw: DataFrame) -> dict[str, DataFrame]:
+        """The JSON-log page: 'Unknown' categories, 1 s dense series, 5 s top
+        categories, first-category heatmap, event types zero-filled per 5 s."""
+        f = self.filtered(raw)
+        return {
+            "kpis": M.kpis(f).select("total_events", "unique_event_types", "total_products"),
+            "data_status": M.data_status(f, self.window, source_columns=len(raw.columns)),
+            "event_type_distribution": M.ranked(M.event_type_counts(f), "event_type"),
+            "category_distribution": M.ranked(M.category_counts(f, "unknown"), "category"),
+            "events_per_second": TS.dense_counts(f, "1s"),
+            "top_categories_over_time": TS.keyed_counts(
+                FL.in_top_k(f.select("ts", F.explode("categories_unknown").alias("category")),
+                            "category", self.top_k), "category", "5s"),
+            "journey_funnel": M.ranked(M.journey_funnel(f), "journey_type"),
+            "top_ids": M.top_ids(f, self.top_k),
+            "category_event_matrix": M.first_category_matrix(f),
+            "event_types_over_time": TS.event_types_over_time_filled(f, "5s"),
+        }
+
+    def scan_page(self, raw: DataFrame) -> dict[str, DataFrame]:
+        """The Spark-scan page: case-folded journeys, scalar-category share and wide
+        heatmap, 5 min series, 15 min wide series shown only with > 1 bucket."""
+        f = self.filtered(raw)
+        events = prepare(raw)
+        as_of = self.as_of if self.as_of is not None else FL.latest_ts_value(events)
+        types_wide = TS.event_types_over_time_wide(f, "15min")
+        cats = TS.categories_over_time_filled(f, "15min")
+        return {
+            # total events of the source and events inside the window
+            "data_status": M.data_status(events, self.window, as_of, source_columns=len(raw.columns)),
+            "journey_funnel": M.ranked(M.journey_funnel(f, fold_case=True), "journey_type"),
+            "event_frequency": M.ranked(M.event_type_counts(f), "event_type"),
+            "category_share": M.share_of_total(M.scalar_category_counts(f)),
+            "events_over_time": TS.dense_counts(f, "5min"),
+            "top_ids": M.top_ids(f, self.top_k),
+            "category_event_matrix": M.scalar_category_matrix(f),
+            "event_types_over_time": TS.gated(types_wide, 2, basis=f, bucket="15min", key="event_type"),
+            "categories_over_time": TS.gated(cats, 2, basis=M.flat_category(f), bucket="15min",
+                                             key="product_category"),
+        }
+
+    def last_minute_page(self, raw: DataFrame) -> dict[str, DataFrame]:
+        """The last-60-seconds page: every chart over the last minute, 500 ms series."""
+        page = Dashboard(window="All", event_types=self.event_types, recent_only=True,
+                         as_of=self.as_of, top_k=self.top_k, persist=self.persist)
+        f = page.filtered(raw)
+        self._cached.extend(page._cached)
+        return {
+            "journey_funnel": M.ranked(M.journey_funnel(f, fold_case=True), "journey_type"),
+            "event_frequency": M.ranked(M.event_type_counts(f), "event_type"),
+            "category_share": M.share_of_total(M.scalar_category_counts(f)),
+            "events_per_half_second": TS.dense_counts(f, "500ms", count_col="event_id"),
+            "top_ids": M.top_ids(f, self.top_k),
+            "category_event_matrix": M.scalar_category_matrix(f),
+            "event_types_over_time": TS.gated(TS.event_types_over_time_filled(f, "5s"), 2),
+            "categories_over_time": TS.gated(TS.categories_over_time_filled(f, "5s"), 2),
+        }

@@ -36,3 +36,21 @@ def test_dashboard_type_selection_and_recent(spark, sf_small):
     page = Dashboard(recent_only=True)
     assert page.metrics(raw)["kpis"].first().total_events >= 1
     page.release()
+
+
+def test_other_pages_run(spark, sf_small):
+    raw = canonical_events(spark, sf_small)
+    q = queries()
+    page = Dashboard(window="24h")
+    for name, df in page.json_page(raw).items():
+        df.collect()
+    scan = page.scan_page(raw)
+    assert _rows(scan["journey_funnel"]) == _rows(q["journey_funnel_folded"](spark, sf_small))
+    for df in scan.values():
+        df.collect()
+    last = page.last_minute_page(raw)
+    for df in last.values():
+        df.collect()
+    page.release()
+    full = Dashboard(bucket="1h")
+    assert _rows(full.scan_page(raw)["category_share"]) == _rows(q["category_share"](spark, sf_small))
