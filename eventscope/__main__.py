@@ -61,15 +61,17 @@ def cmd_dashboard(spark, args) -> None:
     raw = read_event_table(spark, args.table)
     page = Dashboard(window=args.window, event_types=args.types, recent_only=args.recent,
                      bucket=args.bucket, top_k=args.top_k)
-    metrics = page.metrics(raw)
+    build = {"parquet": page.metrics, "json": page.json_page, "scan": page.scan_page,
+             "last-minute": page.last_minute_page}[args.page]
+    metrics = build(raw)
     try:
         for name, df in metrics.items():
             if name == "download":
                 df.write.mode("overwrite").option("header", True).csv(f"{args.out}/{name}")
             else:
                 df.write.mode("overwrite").parquet(f"{args.out}/{name}")
-        kpis = metrics["kpis"].first().asDict()
-        print(json.dumps({"kpis": kpis, "out": args.out}))
+        kpis = metrics["kpis"].first().asDict() if "kpis" in metrics else None
+        print(json.dumps({"page": args.page, "kpis": kpis, "out": args.out, "metrics": list(metrics)}))
     finally:
         page.release()
 
@@ -134,6 +136,7 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--recent", action="store_true")
     d.add_argument("--bucket", default="5s")
     d.add_argument("--top-k", type=int, default=5)
+    d.add_argument("--page", choices=["parquet", "json", "scan", "last-minute"], default="parquet")
 
     v = sub.add_parser("contracts")
     v.add_argument("--table", required=True)

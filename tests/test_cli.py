@@ -26,6 +26,9 @@ def test_dashboard_and_contracts_commands(spark, sf_small, capsys):
     assert printed["kpis"]["total_events"] > 0
     for name in ("kpis", "journey_funnel", "events_over_time", "category_event_matrix", "download"):
         assert os.path.isdir(f"{out}/dash/{name}")
+    _run(spark, ["dashboard", "--table", table, "--out", f"{out}/scan", "--page", "scan"])
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["page"] == "scan"
+    assert os.path.isdir(f"{out}/scan/category_share")
     _run(spark, ["contracts", "--table", table, "--out", f"{out}/checks"])
     t = spark.read.parquet(f"{out}/checks/taxonomy")
     assert sorted(r.rule for r in t.collect()) == ["brand_for_category", "category_domain",
