@@ -19,10 +19,17 @@ DEFAULT_CONF = {
 }
 
 
-CLUSTER_STREAMING_CONF = {
+CLUSTER_CONF = {
+    # streaming state (per-user journey flags, window counts) off-heap in RocksDB,
+    # committed as changelogs instead of full snapshots
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # ~128 MB input splits; AQE targets ~128 MB shuffle partitions and splits skewed
+    # join partitions above 5x the median
+    "spark.sql.files.maxPartitionBytes": "134217728",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "134217728",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
 }
 
 
@@ -38,9 +45,7 @@ def build_session(master: str | None = None, app_name: str = "eventscope",
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
     if not (master or "").startswith("local"):
-        # on a cluster keep streaming state (per-user journey flags, window counts)
-        # off-heap in RocksDB with changelog checkpoints instead of JVM hash maps
-        conf.update(CLUSTER_STREAMING_CONF)
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions is None and master and master.startswith("local"):
         n = master[master.find("[") + 1:-1] if "[" in master else "1"
         shuffle_partitions = os.cpu_count() if n == "*" else int(n)
