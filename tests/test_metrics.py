@@ -143,3 +143,20 @@ def test_top_categories_over_time(spark):
     got = {(r.timestamp.second, r.category): r["count"]
            for r in TS.top_categories_over_time(_frame(spark, rows), "5s", 2).collect()}
     assert got == {(0, "a"): 2, (5, "a"): 1, (5, "b"): 1}
+
+
+def test_user_paths_spread_a_hot_user_over_tasks(spark):
+    """A user with a third of all rows is numbered in many tasks, and exactly."""
+    iso = spark.newSession()
+    iso.conf.set("spark.sql.shuffle.partitions", "8")
+    iso.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    iso.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # keep the window's partitioning visible
+    iso.conf.set("spark.sql.session.timeZone", "UTC")
+    hot = [("HOT", "view_product", T0 + dt.timedelta(minutes=7 * i)) for i in range(600)]
+    cold = [(f"U{i % 300}", "login", T0 + dt.timedelta(minutes=i)) for i in range(1200)]
+    df = prepare(iso.createDataFrame(hot + cold, "event_id string, event_type string, ts timestamp_ntz"))
+    df = df.withColumn("row_id", F.monotonically_increasing_id())
+    steps = M.ordered_steps(df, chunk_us=3_600_000_000).withColumn("pid", F.spark_partition_id())
+    hot_rows = steps.where(F.col("event_id") == "HOT")
+    assert hot_rows.select("pid").distinct().count() >= 4
+    assert sorted(r.step for r in hot_rows.select("step").collect()) == list(range(1, 601))

@@ -110,3 +110,18 @@ def test_console_preview_stream(spark, capsys):
     q.processAllAvailable()
     q.stop()
     assert q.exception() is None
+
+
+def test_hot_event_type_is_split_over_files(spark):
+    import datetime as dt
+    import glob
+    from eventscope.operators.sinks import write_event_table_batch
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("view_product" if i % 10 else "login", t0 + dt.timedelta(seconds=i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "event_type string, ts timestamp_ntz")
+    d = _local(spark, "hot_type")
+    write_event_table_batch(df, d, partitions=8)
+    hot_files = glob.glob(f"{d}/event_type=view_product/*.parquet")
+    assert len(hot_files) >= 4  # the hot type spans many range partitions (one file each)
+    back = spark.read.parquet(d)
+    assert back.count() == 3000 and back.where("event_type = 'view_product'").count() == 2700
