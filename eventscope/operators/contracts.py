@@ -90,12 +90,12 @@ def taxonomy_frame(spark: SparkSession, extended: bool = False) -> DataFrame:
     return spark.createDataFrame(rows, "category string, kind string, value string")
 
 
-def with_taxonomy_flags(products: DataFrame, taxonomy: DataFrame, bounded: bool = True) -> DataFrame:
+def with_taxonomy_flags(products: DataFrame, taxonomy: DataFrame, bounded: bool = False) -> DataFrame:
     """Mark each product with the V4 rules via three left joins to the taxonomy.
 
-    ``bounded=True`` (the built-in vocabularies, ≤ ~130 unique rows) broadcasts the
-    taxonomy; a user-supplied taxonomy (``bounded=False``) is de-duplicated and left
-    to Spark's size-based join choice.
+    ``bounded=True`` is for the built-in vocabularies (``taxonomy_frame``, ≤ ~130
+    unique rows) and broadcasts them; any other taxonomy (the default) is
+    de-duplicated and left to Spark's size-based join choice.
     """
     def side(kind: str, value_col: str | None):
         t = taxonomy.where(F.col("kind") == kind)

@@ -256,7 +256,7 @@ def q_contract_taxonomy_table(spark, sf_dir):
     """V4 with the taxonomy given as a table (joined; broadcast as it is bounded)."""
     from eventscope.operators import contracts as C
     prods = C.exploded_products(prepared(spark, sf_dir), fields=C.TAXONOMY_FIELDS)
-    flagged = C.with_taxonomy_flags(prods, C.taxonomy_frame(spark))
+    flagged = C.with_taxonomy_flags(prods, C.taxonomy_frame(spark), bounded=True)
     return C.rule_counts(flagged, C.taxonomy_rules())
 
 
