@@ -9,7 +9,7 @@ with map-side partial aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventscope.operators.metrics import journey_class
@@ -76,6 +76,5 @@ def top_per_window(batch: DataFrame, k: int = 5) -> DataFrame:
 
     Runs on the batch of closed windows (bounded by the categories per window).
     """
-    from pyspark.sql import Window
     w = Window.partitionBy("window_start").orderBy(F.col("count").desc(), F.col("category").asc())
     return batch.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
