@@ -119,3 +119,26 @@ def test_canonical_table_fast_path_equals_normalising_path(spark):
     slow = prepare(df.drop("product_count")).select("product_categories", "categories_unknown",
                                                     "product_count").collect()
     assert [tuple(r) for r in fast] == [tuple(r) for r in slow]
+
+
+def test_fold_explode_and_source_columns(spark):
+    from eventscope.operators.normalize import explode_categories, fold_event_types, source_columns
+    df = spark.createDataFrame([("U1", "LOGIN", ["a", "b"]), ("U2", None, []), ("U3", "Purchase", None)],
+                               "event_id string, event_type string, product_categories array<string>")
+    assert sorted(r.event_type for r in fold_event_types(df).collect()) == ["login", "purchase"]
+    assert fold_event_types(df, drop_null=False).count() == 3
+    ex = explode_categories(df)
+    assert sorted((r.event_id, r.category) for r in ex.collect()) == [("U1", "a"), ("U1", "b")]
+    assert "product_categories" not in ex.columns
+    assert source_columns(df) == ["event_id", "event_type", "product_categories"]
+
+
+def test_kafka_source_needs_the_connector(spark):
+    import pytest
+    from eventscope.sources.kafka import read_kafka_events
+    try:
+        read_kafka_events(spark, "localhost:9092", "test-events")
+    except Exception as e:  # noqa: BLE001 - the jar is not bundled in this environment
+        assert "kafka" in str(e).lower()
+    else:  # a classpath with the connector builds the source lazily
+        pytest.skip("Kafka connector present")
