@@ -354,11 +354,12 @@ FROM x_events WHERE ts IS NOT NULL AND {_closed("1 hour", "1 hour", "10 minutes"
 GROUP BY 1, 2"""),
     # R5
     "stream_sliding": _sql("""
-, s AS (SELECT time_bucket(INTERVAL '5 seconds', ts) - to_seconds(5 * r.k) AS window_start
-        FROM x_events CROSS JOIN (SELECT range AS k FROM range(12)) r WHERE ts IS NOT NULL)
-SELECT window_start, count(*) AS count FROM s
+, s AS (SELECT time_bucket(INTERVAL '5 seconds', ts) - to_seconds(5 * r.k) AS window_start, event_type
+        FROM x_events CROSS JOIN (SELECT range AS k FROM range(12)) r
+        WHERE ts IS NOT NULL AND event_type IS NOT NULL)
+SELECT window_start, event_type, count(*) AS count FROM s
 WHERE window_start + INTERVAL '60 seconds' <= (SELECT as_of FROM x_max) - INTERVAL '1 minute'
-GROUP BY 1"""),
+GROUP BY 1, 2"""),
     # R6
     "stream_journey": _sql(f"""
 , w AS (SELECT event_id, event_type, time_bucket(INTERVAL '1 day', ts) AS window_start FROM x_events

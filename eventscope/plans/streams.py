@@ -33,9 +33,11 @@ def q_stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """60 s windows sliding every 5 s, 1 min watermark."""
-    s = live.live_counts(stream_flat(spark, sf_dir), "60 seconds", "1 minute", by=(), slide="5 seconds")
-    return read_output(spark, run_available_now(s, "sliding")).select("window_start", "count")
+    """Event frequency per type over the last 60 s, refreshed every 5 s (sliding
+    windows), 1 min watermark."""
+    s = live.live_counts(stream_flat(spark, sf_dir), "60 seconds", "1 minute", by=("event_type",),
+                         slide="5 seconds")
+    return read_output(spark, run_available_now(s, "sliding")).select("window_start", "event_type", "count")
 
 
 def q_stream_journey(spark: SparkSession, sf_dir: str) -> DataFrame:
