@@ -38,27 +38,34 @@ def live_counts(stream: DataFrame, length: str = "1 hour", delay: str = "10 minu
 
 
 def live_journeys(stream: DataFrame, length: str = "1 day", delay: str = "1 hour",
-                  key: str = "event_id") -> DataFrame:
-    """Journey classes per window, as two chained stateful aggregations.
-
-    First (window, user) → membership flags; then, keyed by the first window's
-    ``window_time``, users per class.  Both operators run in append mode.
+                  key: str = "event_id", slide: str | None = None) -> DataFrame:
+    """R6 (and R5's live funnel with ``slide``): journey classes per window, as two
+    chained stateful aggregations.
+
+    First (window, user) → membership flags; then users per class, keyed by a
+    tumbling window of the slide length over the first window's ``window_time``:
+    that window ends where the first one ends, so each (sliding) window is counted
+    once.  Both operators run in append mode.
     """
     x = with_watermark(stream.where(F.col(key).isNotNull()), delay)
     t = F.col("event_type")
+    step = slide or length
 
     def has(v):
         return F.bool_or(t == F.lit(v)).alias(v)
 
-    flags = x.groupBy(F.window(ET, length).alias("window"), key).agg(
+    first = F.window(ET, length, slide) if slide else F.window(ET, length)
+    flags = x.groupBy(first.alias("window"), key).agg(
         has("login"), has("purchase"), has("add_to_cart"))
     classes = flags.select(F.window_time("window").alias("wt"),
                            journey_class(F.coalesce(F.col("login"), F.lit(False)),
                                          F.coalesce(F.col("purchase"), F.lit(False)),
                                          F.coalesce(F.col("add_to_cart"), F.lit(False))).alias("journey_type"))
-    counts = classes.groupBy(F.window("wt", length).alias("window"), "journey_type").agg(
+    counts = classes.groupBy(F.window("wt", step).alias("window"), "journey_type").agg(
         F.count(F.lit(1)).alias("count"))
-    return counts.select(*_bounds(), "journey_type", "count")
+    end = F.col("window.end")
+    return counts.select((end - F.expr(f"INTERVAL {length}")).cast("timestamp_ntz").alias("window_start"),
+                         end.cast("timestamp_ntz").alias("window_end"), "journey_type", "count")
 
 
 def live_category_counts(stream_products: DataFrame, length: str = "1 day",

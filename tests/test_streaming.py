@@ -136,3 +136,34 @@ def test_compaction_keeps_rows_and_reduces_files(spark):
     rows = lambda p: sorted(tuple(r) for r in spark.read.parquet(p).select("event_id", "event_type", "timestamp").collect())
     assert rows(f"{d}/table") == rows(f"{d}/compact")
     assert len(after) < len(before)
+
+
+def test_sliding_journeys_equal_brute_force(spark):
+    """R5 live funnel: 60 s windows sliding by 5 s, chained in append mode."""
+    d = _local(spark, "slide_journey")
+    base = dt.datetime(2024, 1, 1, 10, 0).replace(tzinfo=dt.timezone.utc).timestamp()
+    evs = [("U1000", "login", 1), ("U1000", "purchase", 20), ("U1001", "login", 33), ("U1001", "add_to_cart", 70),
+           ("U1002", "view_product", 71), ("U1000", "login", 200)]
+    _write_lines(f"{d}/in", "a.json", [_ev(u, t, base + s) for u, t, s in evs])
+    good, _ = ingest.split_malformed(stream_event_log(spark, f"{d}/in"))
+    x = good.withColumn("ts", F.timestamp_seconds("timestamp").cast("timestamp_ntz"))
+    out = run_available_now(live.live_journeys(x, "60 seconds", "0 seconds", slide="5 seconds"), "sj")
+    got = {(r.window_start, r.journey_type): r["count"] for r in read_output(spark, out).collect()}
+    # brute force: every 60 s window (start multiple of 5 s) closed by the watermark
+    t0 = dt.datetime(2024, 1, 1, 10, 0)
+    latest = max(s for _, _, s in evs)
+    want = {}
+    for start in range(-60, latest, 5):
+        if start + 60 > latest:  # not closed: the watermark is the latest event time
+            continue
+        users = {}
+        for u, t, s in evs:
+            if start <= s < start + 60:
+                users.setdefault(u, set()).add(t)
+        for types in users.values():
+            cls = ("Completed Purchase" if "login" in types and "purchase" in types else
+                   "Abandoned Cart" if "login" in types and "add_to_cart" in types else
+                   "Browsing Only" if "login" in types else "Other")
+            k = (t0 + dt.timedelta(seconds=start), cls)
+            want[k] = want.get(k, 0) + 1
+    assert got == want and len(got) > 5
