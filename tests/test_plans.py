@@ -119,3 +119,9 @@ def test_contracts_read_only_needed_product_fields(spark, sf_small, name, fields
     # the formatted explain prints the whole ReadSchema (the one-line plan truncates it)
     p = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     assert f"products:array<struct<{fields}>>" in p
+
+
+def test_share_total_reuses_the_counts_shuffle(spark, sf_small):
+    df = queries()["category_share"](spark, sf_small)
+    df.collect()  # the final adaptive plan shows what ran
+    assert "ReusedExchange" in plan(df)
