@@ -31,16 +31,19 @@ def read_event_log(spark: SparkSession, path: str, mode: str = "PERMISSIVE",
     return r.schema(schema).json(path)
 
 
-def read_event_table(spark: SparkSession, path: str) -> DataFrame:
+def read_event_table(spark: SparkSession, path: str, merge_schema: bool = False) -> DataFrame:
     """Parquet event table with partition discovery (``event_type=…/``).
 
     A predicate on a partition column prunes directories; nested columns are pruned
-    to the fields a query reads.
+    to the fields a query reads.  ``merge_schema=True`` unions the file schemas (a
+    table whose producer gained fields over time); absent columns then read as NULL
+    and ``prepare()`` fills the defaults.  It reads every footer, so it stays opt-in.
     """
     clean = (path or "").strip()
     if not clean:
         raise ValueError("Parquet path cannot be empty.")
-    return spark.read.parquet(clean)
+    r = spark.read.option("mergeSchema", "true") if merge_schema else spark.read
+    return r.parquet(clean)
 
 
 def stream_event_log(spark: SparkSession, directory: str, schema: T.StructType = EVENT_LOG_SCHEMA,

@@ -125,3 +125,15 @@ def test_hot_event_type_is_split_over_files(spark):
     assert len(hot_files) >= 4  # the hot type spans many range partitions (one file each)
     back = spark.read.parquet(d)
     assert back.count() == 3000 and back.where("event_type = 'view_product'").count() == 2700
+
+
+def test_read_event_table_merges_evolving_schemas(spark):
+    d = _local(spark, "evolving")
+    spark.createDataFrame([("U1000", 1.0)], "event_id string, timestamp double") \
+        .write.parquet(f"{d}/event_type=login")
+    spark.createDataFrame([("U1001", 2.0, "Mobile")], "event_id string, timestamp double, device string") \
+        .write.parquet(f"{d}/event_type=purchase")
+    merged = read_event_table(spark, d, merge_schema=True)
+    assert "device" in merged.columns
+    rows = {r.event_id: r.device for r in merged.collect()}
+    assert rows == {"U1000": None, "U1001": "Mobile"}
