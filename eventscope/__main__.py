@@ -58,7 +58,7 @@ def cmd_compact(spark, args) -> None:
 def cmd_dashboard(spark, args) -> None:
     from eventscope.plans.dashboard import Dashboard
     from eventscope.sources.files import read_event_table
-    raw = read_event_table(spark, args.table)
+    raw = read_event_table(spark, args.table, args.merge_schema)
     page = Dashboard(window=args.window, event_types=args.types, recent_only=args.recent,
                      bucket=args.bucket, top_k=args.top_k)
     build = {"parquet": page.metrics, "json": page.json_page, "scan": page.scan_page,
@@ -80,7 +80,7 @@ def cmd_contracts(spark, args) -> None:
     from eventscope.operators import contracts as C
     from eventscope.operators.normalize import prepare
     from eventscope.sources.files import read_event_table
-    raw = read_event_table(spark, args.table)
+    raw = read_event_table(spark, args.table, args.merge_schema)
     p = prepare(raw)
     checks = {
         "events": C.rule_counts(p, C.event_rules()),
@@ -137,11 +137,13 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--bucket", default="5s")
     d.add_argument("--top-k", type=int, default=5)
     d.add_argument("--page", choices=["parquet", "json", "scan", "last-minute"], default="parquet")
+    d.add_argument("--merge-schema", action="store_true", help="union evolving file schemas")
 
     v = sub.add_parser("contracts")
     v.add_argument("--table", required=True)
     v.add_argument("--out", required=True)
     v.add_argument("--extended", action="store_true", help="use the wider taxonomy")
+    v.add_argument("--merge-schema", action="store_true", help="union evolving file schemas")
     return ap
 
 
