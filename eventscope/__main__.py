@@ -57,10 +57,9 @@ def cmd_compact(spark, args) -> None:
 
 def cmd_dashboard(spark, args) -> None:
     from eventscope.plans.dashboard import Dashboard
-    from eventscope.sources.files import read_event_table
-    raw = read_event_table(spark, args.table, args.merge_schema)
-    page = Dashboard(window=args.window, event_types=args.types, recent_only=args.recent,
-                     bucket=args.bucket, top_k=args.top_k)
+    page, raw = Dashboard.for_table(spark, args.table, args.merge_schema, window=args.window,
+                                    event_types=args.types, recent_only=args.recent,
+                                    bucket=args.bucket, top_k=args.top_k)
     build = {"parquet": page.metrics, "json": page.json_page, "scan": page.scan_page,
              "last-minute": page.last_minute_page}[args.page]
     metrics = build(raw)

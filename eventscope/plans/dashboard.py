@@ -43,6 +43,17 @@ class Dashboard:
     def __post_init__(self):
         self._cached: list[DataFrame] = []
 
+    @classmethod
+    def for_table(cls, spark, path: str, merge_schema: bool = False, **controls):
+        """(page, raw events) for a stored table; unless ``as_of`` is given, "now" is
+        the latest event time read from the Parquet footers (no column scan)."""
+        from eventscope.plans.tables import latest_from_footers
+        from eventscope.sources.files import read_event_table
+        raw = read_event_table(spark, path, merge_schema)
+        if controls.get("as_of") is None:
+            controls["as_of"] = latest_from_footers(spark, path)
+        return cls(**controls), raw
+
     def _narrowing(self) -> bool:
         return (self.window not in (None, "All")) or self.event_types is not None or self.recent_only
 

@@ -54,3 +54,11 @@ def test_other_pages_run(spark, sf_small):
     page.release()
     full = Dashboard(bucket="1h")
     assert _rows(full.scan_page(raw)["category_share"]) == _rows(q["category_share"](spark, sf_small))
+
+
+def test_for_table_takes_now_from_footers(spark, sf_small):
+    from eventscope.plans.tables import canonical_table_path, latest_event_time
+    page, raw = Dashboard.for_table(spark, canonical_table_path(spark, sf_small), window="24h")
+    assert page.as_of == latest_event_time(spark, sf_small)
+    assert _rows(page.metrics(raw)["kpis"]) == _rows(queries()["kpis"](spark, sf_small))
+    page.release()
