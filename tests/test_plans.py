@@ -125,3 +125,10 @@ def test_share_total_reuses_the_counts_shuffle(spark, sf_small):
     df = queries()["category_share"](spark, sf_small)
     df.collect()  # the final adaptive plan shows what ran
     assert "ReusedExchange" in plan(df)
+
+
+def test_canonical_build_is_one_range_shuffle(spark, sf_small):
+    from eventscope.sources.bridge import bridge_events
+    p = plan(bridge_events(spark, sf_small, ranged=True).sortWithinPartitions("event_type", "ts"))
+    assert p.count("Exchange rangepartitioning") == 1
+    assert "Exchange hashpartitioning" not in p  # the nesting aggregate reuses the range partitioning
