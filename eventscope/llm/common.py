@@ -183,3 +183,30 @@ def segment_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray,
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(
         columns[f.name], pa.Array) else columns[f.name] for f in schema], schema=schema)
+
+
+def hash_filter(hashes: DataFrame, column: str, bits: int = 26):
+    """A fixed-size bit filter (2^bits bits, 8 MB by default) of 64-bit hashes, broadcast.
+
+    Its size depends on ``bits`` alone, not on the data; it may let others through, never
+    holds a member back.  Spark ORs the bits of each 4 KB page; the driver lays out pages.
+    """
+    from pyspark.sql import functions as F
+    spark = hashes.sparkSession
+    slot = F.shiftrightunsigned(F.col(column), 64 - bits)
+    pages = (hashes.select(slot.alias("slot"))
+             .groupBy(F.bitmap_bucket_number("slot").alias("page"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")))
+    whole = np.zeros(max(1 << bits >> 3, 4096) + 4096, np.uint8)
+    for row in pages.toLocalIterator():
+        at = (row["page"] - (0 if row["page"] == 0 else 1)) * 4096
+        whole[at:at + 4096] |= np.frombuffer(row["bits"], np.uint8)
+    return spark.sparkContext.broadcast(whole)
+
+
+def passes(whole: np.ndarray, hashes: np.ndarray, bits: int = 26) -> np.ndarray:
+    """Which hashes may be members of a :func:`hash_filter`."""
+    # Spark numbers pages from 1 for slots 1..32768, slot 0 is on page 0
+    slot = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    at = np.maximum(slot - 1, 0)
+    return (whole[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventscope.llm import lang_id, secret_ledger, url_rules
+from eventscope.llm import decontaminate, kn_quality, lang_id, minhash_dedup, secret_ledger, url_rules
 from eventscope.llm.common import read_table
 from eventscope.session import work_path
 
@@ -24,6 +24,11 @@ def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.digest(secret_ledger.scan_paths(docs, work_path(spark, "secret-ledger")))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash_dedup.near_duplicates(docs, shingle=2, percent=80)
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -35,13 +40,67 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, keep_text=False).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.judge(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return kn_quality.quality(docs)
+
+
 LLM_QUERIES = {
     "op1_secret_ledger": op1_secret_ledger,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op5_url_rules": op5_url_rules,
     "op8_language_id": op8_language_id,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_quality_perplexity": op10_quality_perplexity,
 }
 
 LLM_ORACLE = {
+    "op3_minhash_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE len(ws) WHEN 0 THEN [] WHEN 1 THEN ws
+    ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS shingle FROM w),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+  FROM s AS x JOIN s AS y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN c AS ca ON ca.doc_id = a JOIN c AS cb ON cb.doc_id = b
+  WHERE 100 * common >= 80 * (ca.n + cb.n - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, g.root AS component_id, d.doc_id = g.root AS kept
+FROM documents AS d LEFT JOIN c ON c.doc_id = d.doc_id
+JOIN (SELECT node, min(root) AS root FROM r GROUP BY node) AS g ON g.node = d.doc_id
+""",
+    "op9_decontaminate": r"""
+WITH t AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+w AS (
+  SELECT kind, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+  FROM t),
+i AS (
+  SELECT DISTINCT item_id, array_to_string(win, ' ') AS words, len(win) AS n
+  FROM (SELECT id AS item_id, unnest(list_transform(range(1, greatest(1, len(ws) - 12) + 1), lambda k: ws[k:k + 12])) AS win
+        FROM w WHERE kind = 'i' AND len(ws) > 0) AS x),
+dw AS (
+  SELECT id AS doc_id, n, unnest(range(1, len(ws) - n + 2)) AS pos, ws
+  FROM w, (SELECT DISTINCT n FROM i) AS sizes WHERE kind = 'd' AND len(ws) >= n),
+h AS (
+  SELECT doc_id, pos, i.n, item_id FROM dw JOIN i ON i.n = dw.n AND i.words = array_to_string(ws[pos:pos + dw.n - 1], ' ')),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM h) AS x GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) AS x GROUP BY doc_id)
+SELECT w.id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN hit ON hit.doc_id = w.id LEFT JOIN named ON named.doc_id = w.id WHERE kind = 'd'
+""",
     "op5_url_rules": r"""
 WITH p AS (
   SELECT page_id,
