@@ -13,8 +13,9 @@ texts.  The perplexity of a text comes from a modified Kneser-Ney model of chara
   number of them.
 
 A document is rejected when its perplexity lies outside its language's band: the median of
-the language's log perplexities, plus and minus a multiple of the median deviation.  The
-model is counted from the documents it scores, so no n-gram is unseen.
+the language's log perplexities, plus and minus a multiple of the median deviation, wider for
+short texts, whose mean varies more.  The model is counted from the documents it scores, so
+no n-gram is unseen.
 
 Defined cases: NULL or wordless texts have counts 0, fail the base rules and have no
 perplexity; a NULL language is a language of its own; texts of fewer than four units have
@@ -300,10 +301,11 @@ def _score(batches: Iterator[pa.RecordBatch], files: list) -> Iterator[pa.Record
 
 
 def quality(docs: DataFrame, least_words: int = 50, most_repeated: int = 50,
-            width: float = 8.0, least_width: float = 0.05) -> DataFrame:
+            width: float = 8.0, least_width: float = 0.05, short: int = 500) -> DataFrame:
     """doc_id, base counts, base_failed, log_ppl, the band (low, high) and kept.
 
-    ``docs``: doc_id, text, lang.  ``width``: half-width of a band in median deviations.
+    ``docs``: doc_id, text, lang.  ``width``: half-width of a long text's band in median
+    deviations; a text of n characters in words has sqrt(1 + short / n) times that.
     """
     bound_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
@@ -320,8 +322,10 @@ def quality(docs: DataFrame, least_words: int = 50, most_repeated: int = 50,
     spread = (judged.join(F.broadcast(middle), "lang")    # one row per language, as below
               .groupBy("lang", "middle").agg(F.percentile_approx(F.abs(F.col("log_ppl") - F.col("middle")), 0.5, 10000).alias("mad")))
     half = F.greatest(width * F.col("mad"), F.lit(least_width))
-    bands = spread.select("lang", (F.col("middle") - half).alias("low"), (F.col("middle") + half).alias("high"))
+    bands = spread.select("lang", "middle", half.alias("half"))
+    reach = F.col("half") * F.sqrt(1 + F.lit(short) / F.greatest("word_chars", F.lit(1)))
     outside = F.coalesce((F.col("log_ppl") < F.col("low")) | (F.col("log_ppl") > F.col("high")), F.lit(False))
     return (scored.join(F.broadcast(bands), "lang", "left")
+            .withColumn("low", F.col("middle") - reach).withColumn("high", F.col("middle") + reach)
             .select("doc_id", *_COUNTS, "base_failed", "log_ppl", "low", "high",
                     (~F.col("base_failed") & ~outside).alias("kept")))

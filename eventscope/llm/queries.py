@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventscope.llm import decontaminate, kn_quality, lang_id, minhash_dedup, secret_ledger, url_rules
+from eventscope.llm import chat_repair, decontaminate, kn_quality, lang_id, minhash_dedup, secret_ledger, source_mix, token_index, url_rules
 from eventscope.llm.common import read_table
 from eventscope.session import work_path
 
@@ -24,17 +24,41 @@ def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.digest(secret_ledger.scan_paths(docs, work_path(spark, "secret-ledger")))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    catalogue = token_index.write_shards(docs, tokenizer_path())
+    return token_index.read_back(catalogue.select("doc_id", "copy"), token_index.build_index(catalogue), catalogue)
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash_dedup.near_duplicates(docs, shingle=2, percent=80)
 
 
+def op4_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(read_table(spark, sf_dir, "conversations"))
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judge_urls(pages, rules).drop("url")
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    taken, sources = source_mix.mix(docs, F.array("source"))
+    return (taken.withColumn("source", F.col("pattern")[0])
+            .join(F.broadcast(sources.withColumnRenamed("source", "name")),     # one row per source
+                  F.col("source").eqNullSafe(F.col("name")))
+            .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return lang_id.identify(docs, keep_text=False).select("doc_id", "held_out", "lang_pred", "score")
@@ -52,8 +76,11 @@ def op10_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op1_secret_ledger": op1_secret_ledger,
+    "op2_token_index": op2_token_index,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_chat_repair": op4_chat_repair,
     "op5_url_rules": op5_url_rules,
+    "op6_source_mix": op6_source_mix,
     "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_perplexity": op10_quality_perplexity,

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventscope.llm.common import bound_batches
+from eventscope.llm.common import bound_batches, saved
 
 # Kinds in their order, pattern, group whose length counts, least length.
 RULES = [
@@ -92,7 +92,8 @@ def scan_paths(paths: DataFrame, ledger: str) -> DataFrame:
     """All columns of ``paths`` but the text, plus ``blob`` and ``spans`` (kind numbers
     index :data:`RULES`); unseen blobs are scanned first."""
     update_ledger(paths, ledger)
-    found = read_ledger(paths.sparkSession, ledger, rule_version())
+    # a plain table on both sides: Spark may then split the join at a much-copied blob
+    found = saved(read_ledger(paths.sparkSession, ledger, rule_version()), "secret-findings")
     kept = [c for c in paths.columns if c not in ("text", "blob", "spans")]
     return (paths.select(*[F.col(f"`{c}`") for c in kept], blob_id(F.col("text")).alias("blob"))
             .join(found, "blob", "left")
