@@ -198,7 +198,7 @@ def hash_filter(hashes: DataFrame, column: str, bits: int = 26):
              .groupBy(F.bitmap_bucket_number("slot").alias("page"))
              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")))
     whole = np.zeros(max(1 << bits >> 3, 4096) + 4096, np.uint8)
-    for row in pages.toLocalIterator():
+    for row in pages.collect():    # at most 2^bits bits
         at = (row["page"] - (0 if row["page"] == 0 else 1)) * 4096
         whole[at:at + 4096] |= np.frombuffer(row["bits"], np.uint8)
     return spark.sparkContext.broadcast(whole)

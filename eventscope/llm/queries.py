@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventscope.llm import chat_repair, decontaminate, kn_quality, lang_id, minhash_dedup, secret_ledger, source_mix, token_index, url_rules
+from eventscope.llm import chat_repair, decontaminate, kn_quality, lang_id, minhash_dedup, secret_ledger, source_mix, suffix_dedup, token_index, url_rules
 from eventscope.llm.common import read_table
 from eventscope.session import work_path
 
@@ -59,6 +59,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), length=100)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return lang_id.identify(docs, keep_text=False).select("doc_id", "held_out", "lang_pred", "score")
@@ -81,6 +85,7 @@ LLM_QUERIES = {
     "op4_chat_repair": op4_chat_repair,
     "op5_url_rules": op5_url_rules,
     "op6_source_mix": op6_source_mix,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_perplexity": op10_quality_perplexity,
