@@ -105,7 +105,10 @@ def digest(scanned: DataFrame) -> DataFrame:
     kinds = F.array(*[F.lit(k) for k, *_ in RULES])
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(
         ":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}")
-              for k, (kind, *_) in enumerate(RULES)]
+
+    def found(k: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+
+    counts = [found(k).alias(f"n_{kind}") for k, (kind, *_) in enumerate(RULES)]
     return scanned.select("doc_id", *counts, F.sha2(text.cast("binary"), 256).alias("base_sha256"),
                           text.alias("spans"))
