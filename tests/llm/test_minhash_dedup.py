@@ -100,3 +100,26 @@ def test_components(spark):
         root[max(x, y)] = min(x, y)
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root if find(x) != x}
+
+
+def test_large_loose_group(spark, monkeypatch):
+    """Copies with many edits, near the threshold on both sides, some of them alike."""
+    rng = random.Random(21)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 120):
+        ws = base if k % 7 else rows[rng.randrange(len(rows))][1].split()
+        ws = list(ws)
+        for _ in range(rng.randrange(1, 16)):
+            at = rng.randrange(len(ws))
+            ws[at:at + 1] = rng.choice([[f"x{rng.randrange(400)}"], [], [ws[at], f"y{rng.randrange(30)}"]])
+        rows.append((k, " ".join(ws)))
+    compared = []
+    whole = minhash_dedup._open_pairs
+    monkeypatch.setattr(minhash_dedup, "_open_pairs", lambda *a: compared.append(whole(*a)) or compared[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in near_duplicates(docs, 2, 80).collect())
+    want = brute(rows, 2, 80)
+    assert got == sorted(want)
+    assert 10 < len({r[2] for r in want}) < 110
+    assert compared[0].count() < 2000        # of 7140 pairs
