@@ -90,28 +90,25 @@ def taxonomy_frame(spark: SparkSession, extended: bool = False) -> DataFrame:
     return spark.createDataFrame(rows, "category string, kind string, value string")
 
 
-def with_taxonomy_flags(products: DataFrame, taxonomy: DataFrame, bounded: bool = False) -> DataFrame:
-    """Mark each product with the V4 rules via three left joins to the taxonomy.
+def with_taxonomy_flags(products: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """Mark each product with the V4 rules via one left join to the taxonomy.
 
-    ``bounded=True`` is for the built-in vocabularies (``taxonomy_frame``, ≤ ~130
-    unique rows) and broadcasts them; any other taxonomy (the default) is
-    de-duplicated and left to Spark's size-based join choice.
+    The taxonomy is grouped to one row per category with its legal types and brands, so
+    the join cannot multiply products; its strategy is Spark's choice by size.  A product
+    without a category joins nothing.
     """
-    def side(kind: str, value_col: str | None):
-        t = taxonomy.where(F.col("kind") == kind)
-        t = t.select(F.col("category").alias("_c"), *([F.col("value").alias("_v")] if value_col else []),
-                     F.lit(True).alias(f"_ok_{kind}"))
-        # the built-in rows are unique; a user table is de-duplicated so the left
-        # joins cannot multiply products
-        return F.broadcast(t) if bounded else t.distinct()
-
-    p = products
-    c = side("category", None)
-    p = p.join(c, p["product_category"] == c["_c"], "left").drop("_c")
-    for kind in ("product_type", "brand"):
-        s = side(kind, kind)
-        p = p.join(s, (p["product_category"] == s["_c"]) & (p[kind] == s["_v"]), "left").drop("_c", "_v")
-    return p
+    def values(kind: str) -> Column:
+        return F.collect_set(F.when(F.col("kind") == kind, F.col("value")))
+
+    legal = taxonomy.groupBy(F.col("category").alias("_c")).agg(
+        F.bool_or(F.col("kind") == "category").alias("_category"),
+        values("product_type").alias("_types"), values("brand").alias("_brands"))
+    p = products.join(legal, products["product_category"] == legal["_c"], "left")
+    return p.select(
+        *[p[c] for c in products.columns],
+        F.when(F.col("_category"), F.lit(True)).alias("_ok_category"),
+        F.when(F.array_contains("_types", F.col("product_type")), F.lit(True)).alias("_ok_product_type"),
+        F.when(F.array_contains("_brands", F.col("brand")), F.lit(True)).alias("_ok_brand"))
 
 
 def _pair(a: Column, b: Column) -> Column:

@@ -193,17 +193,32 @@ def to_long(wide: DataFrame, ids: list[str], var: str, value: str) -> DataFrame:
 def crosstab_long(df: DataFrame, row: str, col: str, row_name: str | None = None) -> DataFrame:
     """Zero-filled contingency table in long form, over the row keys × column keys present.
 
-    Spark's pivot does the zero-fill: one aggregation grouped by ``row`` with a count
-    per column key (the distinct column keys are fetched first and capped by
-    ``spark.sql.pivotMaxValues``, an error rather than truncation), then unpivot.
-    No cross join of the two key sets is materialised.
+    The pairs are counted once; the column keys of those counts are one array (a scalar
+    subquery), which is exploded beside each row key and filled from the pairs' map.
+    Building it runs no job, the number of keys has no cap, and nothing is collected.
     """
     x = df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
-    wide = x.groupBy(row).pivot(col).agg(F.count(F.lit(1))).na.fill(0)
-    out = to_long(wide, [row], col, "count")
+    pairs = x.groupBy(row, col).agg(F.count(F.lit(1)).alias("count"))
+    keys = pairs.select(F.sort_array(F.collect_set(col))).scalar()
+    rows = pairs.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(col, "count"))).alias("_seen"))
+    out = rows.select(F.col(row), "_seen", F.explode(keys).alias(col)).select(
+        row, col, F.coalesce(F.element_at("_seen", F.col(col)), F.lit(0)).cast("long").alias("count"))
     return out.withColumnRenamed(row, row_name) if row_name else out
 
 
+def crosstab_wide(x: DataFrame, row: str, col: str) -> DataFrame:
+    """One zero-filled column per key of ``col``; for event types and the like.
+
+    A frame's columns must be known when it is built, so this reads the keys first (one
+    small job, the keys of the wide form only) and hands them to ``pivot``, which then has
+    no limit of its own.
+    """
+    keys = sorted(r[0] for r in x.select(col).distinct().collect())
+    if not keys:
+        return x.groupBy(row).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    return x.groupBy(row).pivot(col, keys).agg(F.count(F.lit(1))).na.fill(0)
+
+
 def category_matrix(df: DataFrame) -> DataFrame:
     """Exploded categories (drop variant) × event type, zero-filled, long form."""
     x = df.select("event_type", F.explode("product_categories").alias("category"))
@@ -220,8 +235,7 @@ def scalar_category_matrix(df: DataFrame, col: str = "product_category") -> Data
     """Scalar category × event type, wide form (one column per type), zero-filled."""
     x = flat_category(df, col)
     x = x.where(F.col(col).isNotNull() & F.col("event_type").isNotNull())
-    return x.groupBy(F.col(col).alias("category")).pivot("event_type").agg(
-        F.count(F.lit(1))).na.fill(0)
+    return crosstab_wide(x.withColumnRenamed(col, "category"), "category", "event_type")
 
 
 # ---- L1–L4 ---------------------------------------------------------------------

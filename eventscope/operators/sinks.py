@@ -47,8 +47,8 @@ def write_event_table_batch(df: DataFrame, path: str, partition_by: str = "event
     a narrow time range: its row-group min/max let a time-window predicate skip it.
     """
     keys = [F.col(partition_by).asc_nulls_last(), F.col(order_by).asc_nulls_last()]
-    # without an explicit count AQE sizes the range partitions from the data
-    # (advisory partition size); give ``partitions`` to pin the file count.
+    # a range exchange has ``partitions`` parts, else spark.sql.shuffle.partitions; adaptive
+    # execution merges small ones but never splits large ones, so size it to the data.
     # ``ranged=True``: the frame already is range-partitioned on these keys.
     if not ranged:
         df = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
@@ -56,17 +56,25 @@ def write_event_table_batch(df: DataFrame, path: str, partition_by: str = "event
        .write.mode(mode).partitionBy(partition_by).parquet(path))
 
 
+def table_bytes(spark, path: str) -> int:
+    """Bytes under a path, by the file system's own summary."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
+
+
 def compact_event_table(spark, source: str, target: str, partition_by: str = "event_type",
-                        order_by: str = "ts") -> None:
+                        order_by: str = "ts", file_bytes: int = 256 << 20) -> None:
     """Rewrite an appended (many small files) event table into sized, sorted files.
 
     The stream sink writes a few files per micro-batch and partition value; this
     batch job reads the table (partition discovery), range-partitions it on
-    (event type, time) — AQE sizes the output partitions — and writes it to ``target``.
+    (event type, time) into parts of about ``file_bytes`` of input, and writes it to
+    ``target``.
     Readers switch to ``target`` once it is committed (the source is left intact).
     ``order_by`` falls back to ``timestamp`` when the table stores only epoch seconds.
     """
     df = spark.read.parquet(source)
     if order_by not in df.columns:
         order_by = "timestamp"
-    write_event_table_batch(df, target, partition_by, order_by)
+    parts = max(1, -(-table_bytes(spark, source) // file_bytes))
+    write_event_table_batch(df, target, partition_by, order_by, parts)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from eventscope.functions.timefn import bucket_micros, duration_us, micros_to_ts
 from eventscope.operators.filters import in_top_k
-from eventscope.operators.metrics import crosstab_long, flat_category
+from eventscope.operators.metrics import crosstab_long, crosstab_wide, flat_category
 
 # Buckets generated per coarse grid row (see ``bucket_grid``).
 GRID_SPAN = 4096
@@ -30,15 +30,15 @@ def bucket_grid(lo_hi: DataFrame, bucket_us: int, partitions: int | None = None)
     """Every bucket start (epoch µs) from ``lo`` to ``hi`` of a one-row (lo, hi) frame.
 
     Lazy and distributed: the one row expands to coarse rows of ``GRID_SPAN``
-    buckets, those are hash-spread over the cluster (AQE coalesces the spread to the
-    grid's size unless ``partitions`` pins it), and each task expands its coarse rows
-    to buckets.  No task generates more than ``GRID_SPAN`` buckets per coarse row, and
-    nothing returns to the driver.
+    buckets, those are dealt over ``partitions`` tasks (the session's shuffle partitions
+    unless given; a fixed number, which adaptive execution does not merge back), and each
+    task expands its coarse rows.  Nothing returns to the driver.
     """
     span = bucket_us * GRID_SPAN
     coarse = lo_hi.where(F.col("lo").isNotNull()).select(
         "hi", F.explode(F.sequence(F.col("lo"), F.col("hi"), F.lit(span))).alias("c"))
-    coarse = coarse.repartition(partitions, "c") if partitions else coarse.repartition("c")
+    tasks = partitions or int(lo_hi.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    coarse = coarse.repartition(tasks, "c")
     return coarse.select(F.explode(F.sequence(
         F.col("c"), F.least(F.col("c") + F.lit(span - bucket_us), F.col("hi")), F.lit(bucket_us))).alias("b"))
 
@@ -96,7 +96,7 @@ def event_types_over_time_filled(df: DataFrame, bucket: str | int = "5s") -> Dat
 def event_types_over_time_wide(df: DataFrame, bucket: str | int = "15min") -> DataFrame:
     """T5, wide form: one row per observed bucket, one zero-filled column per type."""
     x = _with_bucket(df, bucket).where(F.col("event_type").isNotNull())
-    return x.groupBy("timestamp").pivot("event_type").agg(F.count(F.lit(1))).na.fill(0)
+    return crosstab_wide(x, "timestamp", "event_type")
 
 
 def categories_over_time_filled(df: DataFrame, bucket: str | int = "15min",

@@ -207,7 +207,7 @@ SELECT journey_type, count(*) AS count FROM j GROUP BY 1"""),
 SELECT journey_type, count(*) AS count FROM j GROUP BY 1"""),
     "journey_funnel_folded": _sql(f"""
 , w AS (SELECT event_id, lower(event_type) AS event_type FROM x_events
-        WHERE {W24} AND event_type IS NOT NULL)""" + _journey("w", "event_id") + """
+        WHERE {W24})""" + _journey("w", "event_id") + """
 SELECT journey_type, count(*) AS count FROM j GROUP BY 1"""),
     # L1, L2
     "top_ids": _sql("""
@@ -336,12 +336,6 @@ FROM {_EVENTS_WITH_COUNTS}"""),
 })
 
 
-def _closed(bucket: str, length: str, delay: str) -> str:
-    """Windows the watermark has passed: end ≤ latest event time − delay."""
-    return (f"time_bucket(INTERVAL '{bucket}', ts) + INTERVAL '{length}' "
-            f"<= (SELECT as_of FROM x_max) - INTERVAL '{delay}'")
-
-
 _PER_TYPE = f"""
 SELECT e.event_type, count(*) AS events, CAST(sum(k.product_count) AS BIGINT) AS products
 FROM {_EVENTS_WITH_COUNTS} GROUP BY 1"""
@@ -350,7 +344,7 @@ ORACLE.update({
     # R4
     "stream_tumbling": _sql(f"""
 SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS count
-FROM x_events WHERE ts IS NOT NULL AND {_closed("1 hour", "1 hour", "10 minutes")}
+FROM x_events WHERE ts IS NOT NULL AND event_type IS NOT NULL
 GROUP BY 1, 2"""),
     # R5
     "stream_sliding": _sql("""
@@ -358,12 +352,11 @@ GROUP BY 1, 2"""),
         FROM x_events CROSS JOIN (SELECT range AS k FROM range(12)) r
         WHERE ts IS NOT NULL AND event_type IS NOT NULL)
 SELECT window_start, event_type, count(*) AS count FROM s
-WHERE window_start + INTERVAL '60 seconds' <= (SELECT as_of FROM x_max) - INTERVAL '1 minute'
 GROUP BY 1, 2"""),
     # R6
     "stream_journey": _sql(f"""
 , w AS (SELECT event_id, event_type, time_bucket(INTERVAL '1 day', ts) AS window_start FROM x_events
-        WHERE ts IS NOT NULL AND {_closed("1 day", "1 day", "1 hour")})""" + _journey("w", "event_id, window_start") + """
+        WHERE ts IS NOT NULL)""" + _journey("w", "event_id, window_start") + """
 SELECT window_start, journey_type, count(*) AS count FROM j GROUP BY 1, 2"""),
     # R7
     "stream_top_categories": _sql(f"""
@@ -371,7 +364,6 @@ SELECT window_start, journey_type, count(*) AS count FROM j GROUP BY 1, 2"""),
                count(*) AS count
         FROM x_products
         WHERE ts IS NOT NULL AND product_category IS NOT NULL AND product_category <> ''
-          AND {_closed("1 day", "1 day", "1 hour")}
         GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY count DESC, category) AS rank FROM c)
 SELECT window_start, category, count, rank FROM r WHERE rank <= 5"""),

@@ -19,42 +19,33 @@ from eventscope.session import work_path
 from eventscope.sources.bridge import products_from, read_table, stream_flat
 from eventscope.sources.files import read_event_table, stream_event_log
 from eventscope.sources.kafka import to_records
-from eventscope.streaming import fanout, ingest, live
-from eventscope.streaming.runner import await_done, read_output, run_available_now
+from eventscope.streaming import drain, fanout, ingest
+from eventscope.streaming.runner import await_done
 
 NOW = {"availableNow": True}
 
 
 def q_stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly counts per event type, 10 min watermark, closed windows only."""
-    out = run_available_now(live.live_counts(stream_flat(spark, sf_dir), "1 hour", "10 minutes"),
-                            "tumbling")
-    return read_output(spark, out).select("window_start", "event_type", "count")
+    """Hourly counts per event type, every event and window of the backlog."""
+    return drain.window_counts(stream_flat(spark, sf_dir), "tumbling", "event_type", "1h")
 
 
 def q_stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event frequency per type over the last 60 s, refreshed every 5 s (sliding
-    windows), 1 min watermark."""
-    s = live.live_counts(stream_flat(spark, sf_dir), "60 seconds", "1 minute", by=("event_type",),
-                         slide="5 seconds")
-    return read_output(spark, run_available_now(s, "sliding")).select("window_start", "event_type", "count")
+    """Event frequency per type over 60 s windows that start every 5 s."""
+    return drain.window_counts(stream_flat(spark, sf_dir), "sliding", "event_type", "60s", slide="5s")
 
 
 def q_stream_journey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users per journey class per day (two chained stateful aggregations)."""
-    s = live.live_journeys(stream_flat(spark, sf_dir), "1 day", "1 hour")
-    return read_output(spark, run_available_now(s, "journey")).select("window_start", "journey_type", "count")
+    """Users per journey class per day."""
+    return drain.window_journeys(stream_flat(spark, sf_dir), "journey", "1d")
 
 
 def q_stream_top_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top-5 categories per day, ranked per closed window in ``foreachBatch``."""
+    """Top-5 categories per day."""
     part = read_table(spark, sf_dir, "part")
     n_parts = part.count()  # one number, fixed for the run of the stream
     prods = products_from(stream_flat(spark, sf_dir), part, n_parts)
-    counts = live.live_category_counts(prods, "1 day", "1 hour")
-    base = work_path(spark, "streams", "top_categories")
-    await_done(fanout.top_categories_sink(counts, f"{base}/out", f"{base}/checkpoint", 5, NOW))
-    return spark.read.parquet(f"{base}/out").select("window_start", "category", "count", "rank")
+    return drain.window_top_categories(prods, "top_categories", "1d", 5)
 
 
 def _per_type(events: DataFrame) -> DataFrame:

@@ -70,7 +70,8 @@ def _context(spark: SparkSession):
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a private folder is created.
+    Only when the setting is absent in local mode (tests) a private folder is created; a
+    cluster without it is an error, as its executors would each write to their own disk.
     """
     sc = _context(spark)
     if sc is not None and sc.getCheckpointDir():
@@ -79,6 +80,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d and sc is not None:
         d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        master = sc.master if sc is not None else ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="eventscope-ckpt-")
     if sc is None:
         return d

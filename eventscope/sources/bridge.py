@@ -129,12 +129,17 @@ def bridge_events(spark: SparkSession, sf_dir: str, ranged: bool = False) -> Dat
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
-    """A driver table as a file stream (the directory, filtered to the table's file)."""
+    """A driver table as a file stream: the table's folder, or its one file."""
     static = read_table(spark, sf_dir, name)
-    r = spark.readStream.schema(static.schema).option("pathGlobFilter", f"{name}.parquet")
+    folder = sf_dir.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    r = spark.readStream.schema(static.schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir.rstrip("/"))
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return r.parquet(f"{folder}/{name}.parquet")
+    # a stream reads folders: the parent, narrowed to the file
+    return r.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def stream_flat(spark: SparkSession, sf_dir: str) -> DataFrame:

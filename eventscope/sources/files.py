@@ -39,11 +39,12 @@ def read_event_table(spark: SparkSession, path: str, merge_schema: bool = False)
     table whose producer gained fields over time); absent columns then read as NULL
     and ``prepare()`` fills the defaults.  It reads every footer, so it stays opt-in.
     """
-    clean = (path or "").strip()
-    if not clean:
-        raise ValueError("Parquet path cannot be empty.")
+    if not path or path.isspace():
+        raise ValueError("an event table needs a path")
     r = spark.read.option("mergeSchema", "true") if merge_schema else spark.read
-    return r.parquet(clean)
+    table = r.parquet(path.strip())
+    # files that predate the stored count have none: it is derived anew
+    return table.drop("product_count") if merge_schema else table
 
 
 def stream_event_log(spark: SparkSession, directory: str, schema: T.StructType = EVENT_LOG_SCHEMA,

@@ -160,3 +160,33 @@ def test_user_paths_spread_a_hot_user_over_tasks(spark):
     hot_rows = steps.where(F.col("event_id") == "HOT")
     assert hot_rows.select("pid").distinct().count() >= 4
     assert sorted(r.step for r in hot_rows.select("step").collect()) == list(range(1, 601))
+
+
+def test_crosstab_has_no_key_cap_and_builds_without_a_job(spark):
+    df = spark.range(20_002).selectExpr("concat('c', id % 10001) AS category", "if(id % 2 = 0, 'a', 'b') AS event_type")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("crosstab-build", "")
+    out = M.crosstab_long(df, "event_type", "category")
+    assert not list(tracker.getJobIdsForGroup("crosstab-build"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert out.count() == 2 * 10_001
+    assert out.selectExpr("sum(count)").first()[0] == 20_002
+
+
+def test_dense_grid_is_spread(spark):
+    from eventscope.operators.timeseries import bucket_grid
+    lo_hi = spark.createDataFrame([(0, 31_536_000_000_000)], "lo long, hi long")
+    sizes = [r["n"] for r in bucket_grid(lo_hi, 1_000_000, 8).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 31_536_001 and len(sizes) == 8 and max(sizes) < 3 * sum(sizes) / 8
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from eventscope.session import ensure_checkpoint_dir
+    conf = SimpleNamespace(get=lambda k, d=None: d)
+    context = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=context, conf=conf))

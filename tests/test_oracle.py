@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from eventscope.plans.catalog import QUERIES
+from eventscope.plans.streams import STREAM_QUERIES
 
 TABLES = ["events", "part"]
 
@@ -30,7 +32,7 @@ def duck(sf_small):
 
 
 def test_every_query_has_an_oracle():
-    missing = set(queries()) - set(oracle_sql())
+    missing = {*QUERIES, *STREAM_QUERIES} - set(oracle_sql())
     assert not missing, missing
 
 
@@ -40,7 +42,7 @@ def test_entry(spark):
     assert df.columns == ["category", "count"]
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted({*QUERIES, *STREAM_QUERIES}))
 def test_query_matches_oracle(spark, duck, sf_small, name):
     df = queries()[name](spark, sf_small)
     srows = [tuple(r) for r in df.collect()]

@@ -10,6 +10,7 @@ from __spark_entry__ import queries
 from eventscope.operators import filters as FL
 from eventscope.operators import metrics as M
 from eventscope.operators.normalize import prepare
+from eventscope.plans.catalog import QUERIES
 from eventscope.plans.tables import canonical_events, latest_event_time
 
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
@@ -60,7 +61,7 @@ def test_share_of_total_has_no_global_window(spark, sf_small):
     assert "Window" not in p
 
 
-@pytest.mark.parametrize("name", [n for n in queries() if not n.startswith("stream_")])
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_or_pairwise_joins_in_batch_plans(spark, sf_small, name):
     df = queries()[name](spark, sf_small)
     p = df._jdf.queryExecution().toString()
@@ -95,7 +96,8 @@ def test_share_total_is_one_subquery(spark, sf_small):
 
 def test_anchor_from_footers_equals_scan(spark, sf_small):
     from eventscope.operators.filters import latest_ts_value
-    from eventscope.plans.tables import canonical_table_path, latest_from_footers
+    from eventscope.plans.catalog import QUERIES
+from eventscope.plans.tables import canonical_table_path, latest_from_footers
     path = canonical_table_path(spark, sf_small)
     footers = latest_from_footers(spark, path)
     assert footers is not None
