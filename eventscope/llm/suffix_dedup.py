@@ -41,6 +41,7 @@ from eventscope.llm.common import (BLOCK_BYTES, blocks, bound_batches, hash_filt
                                    prefix_hash, saved, span_hashes)
 
 K = 32
+LOOK_BYTES = 128 << 10      # texts looked at together: the arrays of a block stay in cache
 SYMBOLS = 7     # values of 9 bits in a sort word
 SORT_BYTES = 2 << 20
 
@@ -58,7 +59,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int
 
 def _strings(batch: pa.RecordBatch, length: int):
     """Per block: bytes, running hash, runs (first, last window, anchor), row, place in text."""
-    for lo, _, whole, offsets in blocks(batch, "text"):
+    for lo, _, whole, offsets in blocks(batch, "text", LOOK_BYTES):
         for at, data, offs in _pieces(whole, offsets, length):
             first, last, anchor, text = runs(data, offs, length, K)
             yield data, first, last, anchor, lo + text, at + first - offs[text]
@@ -290,7 +291,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, wanted, bits: int, keep
     for batch in batches:
         firsts = batch.column(3).to_pylist()
         n_bytes, n_removed, n_spans, digests, kept = [], [], [], [], []
-        for lo, hi, data, offsets in blocks(batch, "text"):
+        for lo, hi, data, offsets in blocks(batch, "text", LOOK_BYTES):
             edge = np.zeros(len(data) + 1, np.int32)
             for at, part, offs in _pieces(data, offsets, length):
                 first, last, anchor, _ = runs(part, offs, length, K)
