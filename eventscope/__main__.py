@@ -16,6 +16,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
@@ -32,22 +33,22 @@ def _trigger(args) -> dict | None:
 
 def cmd_ingest_kafka(spark, args) -> None:
     from eventscope.streaming.ingest import kafka_to_table
+    from eventscope.streaming.runner import await_all
     qs = kafka_to_table(spark, args.servers, args.topic, args.table, args.checkpoint,
                         args.quarantine, args.starting, _trigger(args), args.max_offsets)
-    for q in qs:
-        q.awaitTermination()
+    await_all(qs)
 
 
 def cmd_ingest_log(spark, args) -> None:
     from eventscope.sources.files import stream_event_log
-    from eventscope.streaming.ingest import split_malformed, write_event_table
+    from eventscope.streaming.ingest import quarantine_of, split_malformed, write_event_table
+    from eventscope.streaming.runner import await_all
     good, bad = split_malformed(stream_event_log(spark, args.log))
     qs = [write_event_table(good, args.table, f"{args.checkpoint}/table",
                             None if args.unpartitioned else "event_type", _trigger(args))]
-    if args.quarantine:
-        qs.append(write_event_table(bad, args.quarantine, f"{args.checkpoint}/quarantine", None, _trigger(args)))
-    for q in qs:
-        q.awaitTermination()
+    qs.append(write_event_table(bad, args.quarantine or quarantine_of(args.table), f"{args.checkpoint}/quarantine",
+                                None, _trigger(args)))
+    await_all(qs)
 
 
 def cmd_compact(spark, args) -> None:
@@ -57,9 +58,18 @@ def cmd_compact(spark, args) -> None:
 
 def cmd_dashboard(spark, args) -> None:
     from eventscope.plans.dashboard import Dashboard
-    page, raw = Dashboard.for_table(spark, args.table, args.merge_schema, window=args.window,
-                                    event_types=args.types, recent_only=args.recent,
-                                    bucket=args.bucket, top_k=args.top_k)
+    controls = dict(window=args.window, event_types=args.types, recent_only=args.recent,
+                    bucket=args.bucket, top_k=args.top_k)
+    if args.as_of:
+        now = datetime.now(timezone.utc) if args.as_of == "now" else datetime.fromisoformat(args.as_of)
+        controls["as_of"] = now.astimezone(timezone.utc).replace(tzinfo=None) if now.tzinfo else now
+    if args.log:
+        # the JSON page reads the log itself; malformed lines are left out, not failed on
+        from eventscope.sources.files import read_event_log
+        from eventscope.streaming.ingest import split_malformed
+        page, raw = Dashboard(**controls), split_malformed(read_event_log(spark, args.log).cache())[0]
+    else:
+        page, raw = Dashboard.for_table(spark, args.table, args.merge_schema, **controls)
     build = {"parquet": page.metrics, "json": page.json_page, "scan": page.scan_page,
              "last-minute": page.last_minute_page}[args.page]
     metrics = build(raw)
@@ -98,6 +108,7 @@ def cmd_contracts(spark, args) -> None:
 def parser() -> argparse.ArgumentParser:
     ap = argparse.ArgumentParser(prog="eventscope")
     ap.add_argument("--master", default=None, help="Spark master (omit under spark-submit)")
+    ap.add_argument("--shuffle-partitions", type=int, help="about input bytes / 128 MB")
     sub = ap.add_subparsers(dest="command", required=True)
 
     def trig(p):
@@ -128,8 +139,11 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--target", required=True)
 
     d = sub.add_parser("dashboard")
-    d.add_argument("--table", required=True)
+    src = d.add_mutually_exclusive_group(required=True)
+    src.add_argument("--table", help="Parquet event table")
+    src.add_argument("--log", help="NDJSON event log")
     d.add_argument("--out", required=True)
+    d.add_argument("--as-of", help="the page's now: an ISO time, or 'now' for the clock (default: latest event)")
     d.add_argument("--window", default="All")
     d.add_argument("--types", nargs="*", default=None)
     d.add_argument("--recent", action="store_true")
@@ -152,7 +166,8 @@ COMMANDS = {"ingest-kafka": cmd_ingest_kafka, "ingest-log": cmd_ingest_log, "com
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    spark = build_session(args.master, app_name=f"eventscope-{args.command}")
+    spark = build_session(args.master, app_name=f"eventscope-{args.command}",
+                          shuffle_partitions=args.shuffle_partitions)
     COMMANDS[args.command](spark, args)
     return 0
 

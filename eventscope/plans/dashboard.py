@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from eventscope.operators import filters as FL
 from eventscope.operators import metrics as M
 from eventscope.operators import timeseries as TS
-from eventscope.operators.normalize import PREVIEW_COLUMNS, prepare, preview
+from eventscope.operators.normalize import PREVIEW_COLUMNS, detect_shape, prepare, preview, to_canonical
 from eventscope.operators.sinks import csv_ready
 
 
@@ -57,10 +57,21 @@ class Dashboard:
     def _narrowing(self) -> bool:
         return (self.window not in (None, "All")) or self.event_types is not None or self.recent_only
 
+    def events(self, raw: DataFrame) -> DataFrame:
+        """Prepared events of any known shape: older ones are mapped first, so that the
+        user of a ``user_id`` table is the key; a flat category column is kept."""
+        if detect_shape(raw) != "v2":
+            raw = to_canonical(raw, keep=["row_id", "product_category"])
+        return prepare(raw)
+
+    def anchor(self, events: DataFrame):
+        """"Now", or None when no event has a valid time (then no window narrows)."""
+        latest = FL.latest_ts_value(events) if self.as_of is None or self._narrowing() else None
+        return None if latest is None else self.as_of if self.as_of is not None else latest
+
     def filtered(self, raw: DataFrame) -> DataFrame:
-        events = prepare(raw)
-        as_of = self.as_of if self.as_of is not None else FL.latest_ts_value(events)
-        out = FL.dashboard_filters(events, self.window, self.event_types, self.recent_only, as_of)
+        events = self.events(raw)
+        out = FL.dashboard_filters(events, self.window, self.event_types, self.recent_only, self.anchor(events))
         if self.persist or (self.persist is None and self._narrowing()):
             out = out.persist(StorageLevel.MEMORY_AND_DISK)
             self._cached.append(out)
@@ -98,28 +109,38 @@ class Dashboard:
     def json_page(self, raw: DataFrame) -> dict[str, DataFrame]:
         """The JSON-log page: 'Unknown' categories, 1 s dense series, 5 s top
         categories, first-category heatmap, event types zero-filled per 5 s."""
-        f = self.filtered(raw)
+        events = self.events(raw)
+        now = self.anchor(events)
+        f = FL.dashboard_filters(events, self.window, self.event_types, False, now)
+        if self.persist or (self.persist is None and self._narrowing()):
+            f = f.persist(StorageLevel.MEMORY_AND_DISK)
+            self._cached.append(f)
+        # "last 60 s" narrows the additional charts only; the status counts the window
+        # before the type selection
+        recent = FL.recent(f, 60, now) if self.recent_only else f
         return {
             "kpis": M.kpis(f).select("total_events", "unique_event_types", "total_products"),
-            "data_status": M.data_status(f, self.window, source_columns=len(raw.columns)),
+            "data_status": M.data_status(FL.time_window(events, self.window, now), "All",
+                                         source_columns=len(raw.columns))
+            .withColumn("time_window", F.lit(self.window or "All")),
             "event_type_distribution": M.ranked(M.event_type_counts(f), "event_type"),
             "category_distribution": M.ranked(M.category_counts(f, "unknown"), "category"),
             "events_per_second": TS.dense_counts(f, "1s"),
             "top_categories_over_time": TS.keyed_counts(
                 FL.in_top_k(f.select("ts", F.explode("categories_unknown").alias("category")),
                             "category", self.top_k), "category", "5s"),
-            "journey_funnel": M.ranked(M.journey_funnel(f), "journey_type"),
-            "top_ids": M.top_ids(f, self.top_k),
-            "category_event_matrix": M.first_category_matrix(f),
-            "event_types_over_time": TS.event_types_over_time_filled(f, "5s"),
+            "journey_funnel": M.ranked(M.journey_funnel(recent), "journey_type"),
+            "top_ids": M.top_ids(recent, self.top_k),
+            "category_event_matrix": M.first_category_matrix(recent),
+            "event_types_over_time": TS.event_types_over_time_filled(recent, "5s"),
         }
 
     def scan_page(self, raw: DataFrame) -> dict[str, DataFrame]:
         """The Spark-scan page: case-folded journeys, scalar-category share and wide
         heatmap, 5 min series, 15 min wide series shown only with > 1 bucket."""
         f = self.filtered(raw)
-        events = prepare(raw)
-        as_of = self.as_of if self.as_of is not None else FL.latest_ts_value(events)
+        events = self.events(raw)
+        as_of = self.anchor(events)
         types_wide = TS.event_types_over_time_wide(f, "15min")
         cats = TS.categories_over_time_filled(f, "15min")
         return {

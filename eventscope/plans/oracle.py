@@ -370,6 +370,10 @@ SELECT window_start, category, count, rank FROM r WHERE rank <= 5"""),
     # R1–R3, K1, S4 / S5, K7, K2
     "stream_ingest": _sql(_PER_TYPE),
     "stream_log_ingest": _sql(_PER_TYPE),
+    # By row_id % 10: 1 broken, 2 empty, 3 NULL, 4 '{}', the rest events
+    "stream_malformed": _sql("""
+SELECT CASE WHEN row_id % 10 = 1 THEN 'unparsed' WHEN row_id % 10 IN (2, 3, 4) THEN 'empty' ELSE 'event' END AS kind,
+       count(*) AS count FROM x_events GROUP BY 1"""),
     # R8, K3, K4
     "stream_fanout": _sql("""
 SELECT event_type, count(*) AS json_events, count(*) AS csv_events FROM x_events GROUP BY 1"""),

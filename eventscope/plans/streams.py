@@ -20,7 +20,7 @@ from eventscope.sources.bridge import products_from, read_table, stream_flat
 from eventscope.sources.files import read_event_table, stream_event_log
 from eventscope.sources.kafka import to_records
 from eventscope.streaming import drain, fanout, ingest
-from eventscope.streaming.runner import await_done
+from eventscope.streaming.runner import await_all, await_done
 
 NOW = {"availableNow": True}
 
@@ -61,11 +61,31 @@ def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = spark.readStream.schema("key binary, value binary").parquet(f"{base}/topic")
     qs = ingest.ingest_records(records, f"{base}/table", f"{base}/checkpoint",
                                quarantine_path=f"{base}/quarantine", trigger=NOW)
-    for q in qs:
-        await_done(q)
+    await_all(qs)
     return _per_type(read_event_table(spark, f"{base}/table"))
 
 
+def q_stream_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A topic with broken, empty, NULL and ``{}`` values, ingested in two runs
+    on one checkpoint; events in the table and malformed values by kind."""
+    base = work_path(spark, "streams", "malformed")
+    value, n = F.col("value"), F.col("row_id")
+    text = value.cast("string")
+    spoiled = (F.when(n % 10 == 1, F.substring(text, 1, 20)).when(n % 10 == 2, F.lit(""))
+               .when(n % 10 == 3, F.lit(None).cast("string")).when(n % 10 == 4, F.lit("{}")).otherwise(text))
+    records = (to_records(canonical_events(spark, sf_dir), key="row_id")
+               .select("key", F.col("key").cast("string").cast("long").alias("row_id"), "value"))
+    records = records.select("key", spoiled.cast("binary").alias("value"), "row_id")
+    for half in (0, 1):
+        # a restart: new files, the same checkpoint and table
+        records.where(n % 2 == half).drop("row_id").write.mode("append").parquet(f"{base}/topic")
+        stream = spark.readStream.schema("key binary, value binary").parquet(f"{base}/topic")
+        await_all(ingest.ingest_records(stream, f"{base}/table", f"{base}/checkpoint", trigger=NOW))
+    kept = read_event_table(spark, f"{base}/table").select(F.lit("event").alias("kind")).groupBy("kind").agg(
+        F.count(F.lit(1)).alias("count"))
+    return kept.unionByName(ingest.malformed_counts(spark, ingest.quarantine_of(f"{base}/table")))
+
+
 def _event_log(spark: SparkSession, sf_dir: str, base: str) -> str:
     stored = canonical_events(spark, sf_dir).drop("row_id", "ts")
     write_event_log(stored, f"{base}/log", mode="overwrite")

@@ -7,6 +7,8 @@ The codec half works on any frame with Kafka's columns (``key``, ``value`` binar
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,13 +34,18 @@ def parse_records(records: DataFrame, schema: T.StructType = EVENT_SCHEMA,
     """N1 (binary → text), N2 (``from_json``, permissive), N3 (flatten).
 
     Malformed values, and values whose fields do not fit the schema, leave the text in
-    ``_corrupt_record`` and NULL fields; a NULL value gives all-NULL fields and no
-    corrupt text.  Columns in ``keep`` (e.g. ``key``, ``offset``) are carried along.
+    ``_corrupt_record`` and NULL fields.  A value that yields no field at all (NULL, empty,
+    ``{}``) is no event either: its text, or an empty one, is in ``_corrupt_record``.
+    Columns in ``keep`` (e.g. ``key``, ``offset``) are carried along.
     """
     text = F.col("value").cast("string")
     parsed = F.from_json(text, with_corrupt_column(schema),
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    return records.select(*keep, parsed.alias("data")).select(*keep, "data.*")
+    fields = [f.name for f in schema.fields]
+    empty = reduce(lambda a, b: a & b, [F.col(f"data.`{c}`").isNull() for c in fields])
+    bad = F.when(empty, F.coalesce(F.col(f"data.{CORRUPT}"), F.col("_text"), F.lit(""))).otherwise(F.col(f"data.{CORRUPT}"))
+    return (records.select(*keep, parsed.alias("data"), text.alias("_text"))
+            .select(*keep, *[F.col(f"data.`{c}`") for c in fields], bad.alias(CORRUPT)))
 
 
 def to_records(df: DataFrame, key: Column | str | None = None,

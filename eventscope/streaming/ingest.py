@@ -7,6 +7,8 @@ micro-batch is a map-only job writing one file per task and partition value.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,9 +25,22 @@ def split_malformed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     if CORRUPT not in parsed.columns:
         return parsed, parsed.where(F.lit(False))
-    good = parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = parsed.where(F.col(CORRUPT).isNotNull())
-    return good, bad
+    # a line without any field ({}) is no event either
+    fields = [F.col(c).isNull() for c in parsed.columns if c != CORRUPT]
+    is_bad = F.col(CORRUPT).isNotNull() | reduce(lambda a, b: a & b, fields)
+    return parsed.where(~is_bad).drop(CORRUPT), parsed.where(is_bad)
+
+
+def quarantine_of(table_path: str) -> str:
+    """Where malformed records go unless a place is given: beside the table."""
+    return table_path.rstrip("/") + "_quarantine"
+
+
+def malformed_counts(spark: SparkSession, quarantine_path: str) -> DataFrame:
+    """malformed records kept aside so far, by kind (``empty`` or ``unparsed``)."""
+    kind = F.when(F.trim(F.coalesce(CORRUPT, F.lit(""))).isin("", "{}"), F.lit("empty")).otherwise(F.lit("unparsed"))
+    return (spark.read.schema(f"{CORRUPT} string").parquet(quarantine_path)
+            .groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("count")))
 
 
 def write_event_table(stream: DataFrame, path: str, checkpoint: str,
@@ -53,16 +68,17 @@ def ingest_records(records: DataFrame, table_path: str, checkpoint: str,
                    ) -> list[StreamingQuery]:
     """Kafka-shaped records → parsed events → Parquet table (+ quarantine query).
 
-    By default malformed values go to ``quarantine_path`` (a second query on the same
-    source with its own checkpoint) and are kept out of the table;
-    ``keep_malformed=True`` writes them to the table as all-NULL rows instead.
+    Malformed values go to ``quarantine_path`` (``<table>_quarantine`` if not given; a
+    second query on the same source with its own checkpoint) and are kept out of the
+    table; only ``keep_malformed=True`` writes them to the table as all-NULL rows instead.
+    Wait for both with :func:`eventscope.streaming.runner.await_all`.
     """
     parsed = parse_records(records)
     good, bad = split_malformed(parsed)
     table = parsed.drop(CORRUPT) if keep_malformed else good
     qs = [write_event_table(table, table_path, f"{checkpoint}/table", partition_by, trigger)]
-    if quarantine_path and not keep_malformed:
-        qs.append(write_event_table(bad, quarantine_path, f"{checkpoint}/quarantine", None, trigger))
+    if not keep_malformed:
+        qs.append(write_event_table(bad, quarantine_path or quarantine_of(table_path), f"{checkpoint}/quarantine", None, trigger))
     return qs
 
 

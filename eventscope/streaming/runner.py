@@ -16,6 +16,20 @@ def await_done(q: StreamingQuery) -> None:
         raise err
 
 
+def await_all(queries: list[StreamingQuery], poll_seconds: float = 1.0) -> None:
+    """Block until all queries end; when one fails, stop the others and re-raise."""
+    try:
+        while any([not q.awaitTermination(poll_seconds) for q in queries]):
+            pass
+        for q in queries:
+            if q.exception() is not None:
+                raise q.exception()
+    except BaseException:
+        for q in queries:
+            q.stop()
+        raise
+
+
 def run_available_now(stream: DataFrame, name: str, partition_by: list[str] | None = None,
                       output_mode: str = "append") -> str:
     """Drain ``stream`` with ``availableNow`` into a Parquet folder; return the folder.

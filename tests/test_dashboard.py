@@ -62,3 +62,45 @@ def test_for_table_takes_now_from_footers(spark, sf_small):
     assert page.as_of == latest_event_time(spark, sf_small)
     assert _rows(page.metrics(raw)["kpis"]) == _rows(queries()["kpis"](spark, sf_small))
     page.release()
+
+
+def _events(spark, rows, schema="event_id string, event_type string, timestamp double"):
+    return spark.createDataFrame(rows, schema)
+
+
+def test_json_page_scopes(spark):
+    """"Last 60 s" narrows the additional charts only; the status precedes the types."""
+    raw = _events(spark, [("a", "login", 1000.0), ("b", "search", 1090.0), ("c", "purchase", 1100.0)])
+    page = Dashboard(event_types=["login", "purchase"], recent_only=True)
+    out = page.json_page(raw)
+    assert out["kpis"].first().total_events == 2
+    assert out["data_status"].first().total_rows == 3
+    assert [r.event_id for r in out["top_ids"].collect()] == ["c"]
+    page.release()
+
+
+def test_user_id_tables_keep_their_users(spark):
+    raw = _events(spark, [("u1", "login", "2024-01-01T00:00:00Z"), ("u1", "purchase", "2024-01-01T00:00:05Z"),
+                          ("u2", "login", "2024-01-01T00:00:09Z")], "user_id string, event_type string, timestamp string")
+    out = Dashboard().metrics(raw)
+    assert [tuple(r) for r in out["top_ids"].collect()] == [("u1", 2), ("u2", 1)]
+    assert {r.journey_type: r["count"] for r in out["journey_funnel"].collect()} == {"Completed Purchase": 1, "Browsing Only": 1}
+
+
+def test_no_valid_time_leaves_the_frame(spark):
+    import datetime as dt
+    raw = _events(spark, [("a", "login", None), ("b", "search", None)])
+    page = Dashboard(window="24h", as_of=dt.datetime(2024, 1, 1))
+    assert page.metrics(raw)["kpis"].first().total_events == 2
+    page.release()
+
+
+def test_merged_tables_derive_the_count_anew(spark, tmp_path):
+    from eventscope.sources.files import read_event_table
+    products = "array<struct<product_id:string,product_category:string,price:string,product_type:string,brand:string>>"
+    one = spark.createDataFrame([("a", "view_product", 1.0, [("p", "c", "$1", None, None)], 1)],
+                                f"event_id string, event_type string, timestamp double, products {products}, product_count long")
+    one.write.parquet(f"{tmp_path}/t/a")
+    one.drop("product_count").write.parquet(f"{tmp_path}/t/b")
+    table = read_event_table(spark, f"{tmp_path}/t/*", merge_schema=True)
+    assert Dashboard().metrics(table)["kpis"].first().total_products == 2
