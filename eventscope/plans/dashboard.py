@@ -10,11 +10,14 @@ from the Parquet files.  Only bounded results (KPI row, top-k) should be collect
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import timezone
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from eventscope.functions.timefn import duration_us
 from eventscope.operators import filters as FL
 from eventscope.operators import metrics as M
 from eventscope.operators import timeseries as TS
@@ -69,9 +72,24 @@ class Dashboard:
         latest = FL.latest_ts_value(events) if self.as_of is None or self._narrowing() else None
         return None if latest is None else self.as_of if self.as_of is not None else latest
 
+    def scan(self, raw: DataFrame, now, recent_only: bool = False) -> DataFrame:
+        """``raw``, with the window as a bound on the stored epoch seconds where the table
+        has no ``ts`` column: a derived time reaches no scan, a stored number does.  The
+        bound is a second wide of the exact filter that follows."""
+        us = duration_us(self.window)
+        if recent_only:
+            us = min(us or 60_000_000, 60_000_000)
+        if now is None or us is None or not hasattr(now, "year") or "ts" in raw.columns or \
+                not isinstance(dict((f.name, f.dataType) for f in raw.schema.fields).get("timestamp"), T.DoubleType):
+            return raw
+        if now.tzinfo is None:
+            now = now.replace(tzinfo=timezone.utc)
+        return raw.where(F.col("timestamp") > F.lit(now.timestamp() - us / 1e6 - 1.0))
+
     def filtered(self, raw: DataFrame) -> DataFrame:
-        events = self.events(raw)
-        out = FL.dashboard_filters(events, self.window, self.event_types, self.recent_only, self.anchor(events))
+        now = self.anchor(self.events(raw))
+        events = self.events(self.scan(raw, now, self.recent_only))
+        out = FL.dashboard_filters(events, self.window, self.event_types, self.recent_only, now)
         if self.persist or (self.persist is None and self._narrowing()):
             out = out.persist(StorageLevel.MEMORY_AND_DISK)
             self._cached.append(out)

@@ -9,10 +9,13 @@ from the bridge: the files are the source.
 from __future__ import annotations
 
 import datetime as _dt
+import logging
 import os
 import threading
 from decimal import ROUND_HALF_UP, Decimal
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +26,7 @@ from eventscope.sources.bridge import bridge_events
 from eventscope.sources.files import read_event_table
 
 _LOCK = threading.RLock()
-_BUILT: dict[tuple[str, str], str] = {}
+_BUILT: dict[tuple, str] = {}
 _LATEST: dict[str, object] = {}
 
 
@@ -40,9 +43,22 @@ def _exists(spark: SparkSession, path: str) -> bool:
             return False
 
 
+def _listing(spark: SparkSession, sf_dir: str) -> tuple:
+    """Size, file count and time of the source tables: a folder that has grown is built anew."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out = []
+    for name in ("events", "part"):
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = p.getFileSystem(conf)
+        total = fs.getContentSummary(p)
+        out += [total.getLength(), total.getFileCount(), fs.getFileStatus(p).getModificationTime()]
+    return tuple(out)
+
+
 def canonical_table_path(spark: SparkSession, sf_dir: str) -> str:
-    """Path of the canonical table for ``sf_dir``, building it on first use."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    """Path of the canonical table for ``sf_dir``, building it on first use and after its
+    source tables changed."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _listing(spark, sf_dir))
     with _LOCK:
         path = _BUILT.get(key)
         if path and _exists(spark, path):
@@ -107,7 +123,8 @@ def latest_from_footers(spark: SparkSession, path: str):
             return None
         x = agg.first()[0]
         return None if x is None else _epoch_to_wall_clock(x)
-    except Exception:  # noqa: BLE001 - fall back to a scan
+    except (PySparkException, Py4JError) as e:
+        logging.getLogger(__name__).warning("no footer statistics for %s, scanning: %s", path, e)
         return None
 
 

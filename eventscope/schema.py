@@ -57,9 +57,6 @@ EXTENDED_BRANDS = {
     "Automotive": ["Bosch", "Michelin", "Goodyear", "3M"],
     "Pet Supplies": ["Pedigree", "Whiskas", "Drools", "Himalaya"],
 }
-# Event types of the flat ("v0") producer.
-FLAT_EVENT_TYPES = ["login", "view_product", "add_to_cart", "purchase", "logout"]
-FLAT_CATEGORIES = ["electronics", "clothing", "home", "books", "beauty"]
 # Value formats of the producers.
 EVENT_ID_PATTERN = r"^U[0-9]{4}$"
 PRODUCT_ID_PATTERN = r"^P[0-9]{3}$"
@@ -72,9 +69,6 @@ JOURNEY_OTHER = "Other"
 # Defaults for absent columns / categories.
 UNKNOWN_ID = "unknown"
 UNKNOWN_CATEGORY = "Unknown"
-# Dashboard choices.
-TIME_WINDOWS = ["30min", "1h", "4h", "12h", "24h", "7d", "All"]
-TIME_BUCKETS = ["1s", "5s", "30s", "1min", "5min", "15min", "1h"]
 # Kafka topic of the ingest job.
 DEFAULT_TOPIC = "test-events"
 # ------------------------------------------------------------------------------
@@ -97,22 +91,3 @@ EVENT_LOG_SCHEMA = T.StructType(
     + [T.StructField(c, T.StringType(), True) for c in CONTEXT_FIELDS]
     + EVENT_SCHEMA.fields[3:]
 )
-
-# Early nested events ("v1"): user_id and an ISO-8601 string timestamp.
-V1_SCHEMA = T.StructType([
-    T.StructField("user_id", T.StringType(), True),
-    T.StructField("event_type", T.StringType(), True),
-    T.StructField("timestamp", T.StringType(), True),
-    T.StructField("ip", T.StringType(), True),
-    T.StructField("device", T.StringType(), True),
-    T.StructField("user_type", T.StringType(), True),
-    T.StructField("products", PRODUCTS_TYPE, True),
-])
-
-# Flat events ("v0") with a scalar category.
-FLAT_FIELDS = ["timestamp", "user_id", "event_type", "product_category"]
-V0_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in FLAT_FIELDS])
-
-# Columns of a prepared (normalised) event frame, in order.
-CANONICAL_COLUMNS = ["event_id", "event_type", "timestamp", "ts", "ip", "device", "user_type",
-                     "products"]

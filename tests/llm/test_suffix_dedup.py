@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from eventscope.llm import suffix_dedup
@@ -109,7 +110,8 @@ def test_two_stage_order_is_the_suffix_order():
 
 def test_first_windows():
     strings = [b"abcdefghijklmno", b"xbcdefghijklmnp", b"cdefghijklmnqqq"]
-    got = first_windows(strings, np.array([1, 0, 2]), 10)
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    got = first_windows(data, np.array([len(x) for x in strings]), np.array([1, 0, 2]), 10)
     seen, want = {}, []
     for rank, s in sorted(zip([1, 0, 2], strings)):
         for i in range(6):
@@ -117,3 +119,28 @@ def test_first_windows():
     for rank, s in zip([1, 0, 2], strings):
         want += [seen[s[i:i + 10]] == rank for i in range(6)]
     assert got.tolist() == want
+
+
+def test_small_sorts_and_merges(spark, monkeypatch):
+    """Anchors are kept together however few strings are sorted at a time."""
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 300)
+    monkeypatch.setattr(suffix_dedup, "LOOK_BYTES", 700)
+    rows = corpus()
+    batch = pa.RecordBatch.from_pylist([{"doc": k, "copy": 0, "text": t or ""} for k, (_, t) in enumerate(rows)])
+    every = type("Every", (), {"value": np.full((1 << 20 >> 3) + 4096, 255, np.uint8)})
+    got = {}
+    for most in (200, 1 << 30):
+        dealt = pa.Table.from_batches(list(suffix_dedup._deal(iter([batch]), 100, every, 20, None, most))).sort_by("anchor")
+        firsts = pa.Table.from_batches(list(suffix_dedup._resolve(iter(dealt.to_batches(max_chunksize=7)), 100)))
+        places = set()
+        for r in firsts.to_pylist():
+            places |= {(r["doc"], r["place"] + i) for i in np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8))).tolist()}
+        got[most] = places
+    seen, want = set(), set()
+    for k, (_, t) in enumerate(rows):
+        raw = (t or "").encode()
+        for i in range(len(raw) - 99):
+            if raw[i:i + 100] not in seen:
+                seen.add(raw[i:i + 100])
+                want.add((k, i))
+    assert got[200] == want and got[1 << 30] == want

@@ -104,3 +104,15 @@ def test_merged_tables_derive_the_count_anew(spark, tmp_path):
     one.drop("product_count").write.parquet(f"{tmp_path}/t/b")
     table = read_event_table(spark, f"{tmp_path}/t/*", merge_schema=True)
     assert Dashboard().metrics(table)["kpis"].first().total_products == 2
+
+
+def test_window_reaches_the_scan_of_an_ingested_table(spark, tmp_path):
+    """A table as the ingest job writes it has no ``ts``: the window bounds the stored seconds."""
+    import datetime as dt
+    rows = [(f"u{k}", "login", 1_700_000_000.0 + 3600 * k) for k in range(48)]
+    _events(spark, rows).write.partitionBy("event_type").parquet(f"{tmp_path}/t")
+    raw = spark.read.parquet(f"{tmp_path}/t")
+    page = Dashboard(window="24h", as_of=dt.datetime(2023, 11, 16, 21, 13, 20), persist=False)
+    f = page.filtered(raw)
+    assert "GreaterThan(timestamp" in f._jdf.queryExecution().executedPlan().toString()
+    assert f.count() == 24
