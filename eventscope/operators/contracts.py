@@ -29,8 +29,38 @@ def violations(df: DataFrame, rules: dict[str, Column], keys: list[str]) -> Data
     return df.select(*keys, F.explode(flagged).alias("rule"))
 
 
-def _not_like(col: str, pattern: str) -> Column:
-    return F.coalesce(~F.col(col).rlike(pattern), F.lit(True))
+def counted_violations(df: DataFrame, counts: dict[str, Column], keys: list[str]) -> DataFrame:
+    """(*keys, rule, count) of each record's violated rules, in one pass and no shuffle."""
+    found = F.filter(F.array(*[F.struct(F.lit(n).alias("rule"), c.cast("long").alias("count"))
+                               for n, c in counts.items()]), lambda x: x["count"] > 0)
+    return df.select(*keys, F.explode(found).alias("v")).select(*keys, "v.rule", "v.count")
+
+
+def counted(rules: dict[str, Column]) -> dict[str, Column]:
+    """Event rules as counts (0 or 1) of an event."""
+    return {n: c.cast("int") for n, c in rules.items()}
+
+
+def product_counts() -> dict[str, Column]:
+    """V3 as counts of an event: its products that break each rule.  Only the tested
+    fields are zipped, so a scan reads no others."""
+    zipped = F.arrays_zip(*[F.col("products")[f].alias(f) for f in FIELD_RULE_FIELDS])
+
+    def broken(name: str) -> Column:
+        return F.size(F.filter(F.coalesce(zipped, F.array().cast("array<struct<product_id:string,price:string>>")),
+                               lambda p: product_field_rules(lambda f: p[f])[name]))
+
+    return {n: broken(n) for n in product_field_rules()}
+
+
+def count_totals(df: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """(rule, violations) of counts, zeros included; one global aggregate."""
+    wide = df.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for n, c in counts.items()])
+    return wide.unpivot([], list(counts), "rule", "violations")
+
+
+def _not_like(col: str | Column, pattern: str) -> Column:
+    return F.coalesce(~(F.col(col) if isinstance(col, str) else col).rlike(pattern), F.lit(True))
 
 
 def event_rules() -> dict[str, Column]:
@@ -52,11 +82,14 @@ def product_count_rules() -> dict[str, Column]:
     }
 
 
-def product_field_rules() -> dict[str, Column]:
-    """V3 (per product): id and price formats."""
+FIELD_RULE_FIELDS = ["product_id", "price"]
+
+
+def product_field_rules(field=F.col) -> dict[str, Column]:
+    """V3 (per product): id and price formats; ``field`` gives a product's field by name."""
     return {
-        "product_id_format": _not_like("product_id", S.PRODUCT_ID_PATTERN),
-        "price_format": _not_like("price", S.PRICE_PATTERN),
+        "product_id_format": _not_like(field("product_id"), S.PRODUCT_ID_PATTERN),
+        "price_format": _not_like(field("price"), S.PRICE_PATTERN),
     }
 
 
@@ -75,7 +108,6 @@ def exploded_products(prepared: DataFrame, keys: list[str] = (), fields: list[st
     return x.select(*keys, "event_type", "p.*")
 
 
-FIELD_RULE_FIELDS = ["product_id", "price"]
 TAXONOMY_FIELDS = ["product_category", "product_type", "brand"]
 
 
