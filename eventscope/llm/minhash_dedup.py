@@ -4,10 +4,10 @@
    set and the minima of many universal hashes.  Equal sets collapse to their smallest id.
 2. Each of many bands hashes a few minima.  Bands draw on the same minima in different
    combinations, so few minima serve many sharp bands.
-3. In a bucket every member is compared with the bucket's smallest id (its head).  After
-   the first components are known, the pairs of a bucket that are still in different
-   components are compared as well, so that no candidate is left out and a group of n
-   copies costs n comparisons, not n squared.
+3. In a bucket every member is compared with the bucket's smallest id (its head).  Members
+   that are then still in different components are joined on what sets them apart from
+   their head (a prefix filter on difference sets), which loses no link and does not
+   compare a large group pair by pair.
 4. A candidate first passes its signature estimate (six deviations of slack), then is
    confirmed on the full shingle sets of both texts.
 5. Components come from alternating large-star and small-star rounds; every round is a
@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from eventscope.llm.common import (SPACE_WORDS_LOWER, blocks, bound_batches, hash_filter, mix64,
                                    passes, prefix_hash, roll, saved, seeded, span_hashes, word_spans)
@@ -153,6 +154,88 @@ def _confirm(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> I
                                          names=["a", "b"])
 
 
+def _differences(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """Shingles that a member and its head do not share; input has both texts."""
+    def one(text: str) -> np.ndarray:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return shingle_sets(raw, np.array([0, len(raw)]), shingle)[0]
+
+    head_text, head = None, _EMPTY
+    for batch in batches:
+        sizes, head_sizes, apart = [], [], []
+        for ta, tb in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            if tb != head_text:
+                head_text, head = tb, one(tb)
+            mine = one(ta)
+            sizes.append(len(mine))
+            head_sizes.append(len(head))
+            apart.append(np.setxor1d(mine, head, assume_unique=True).view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()),
+             pa.array(head_sizes, pa.int64()), pa.array(apart, pa.list_(pa.int64()))],
+            names=["head", "doc_id", "root", "n", "n_head", "apart"])
+
+
+def _open_pairs(around: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one head, in different components, that may be linked.
+
+    With D(x) the shingles that x and the head do not share, x and y differ in
+    |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles, and a link allows c (|x| + |y|) of them,
+    c = (100 - percent) / (100 + percent).  One of the two is not linked to the head
+    (else they were in one component), so its |D| is above c (|it| + |head|), and the other,
+    y, must share at least t(y) = (|D(y)| + c (|head| - |y|)) / 2 elements with it.  Few
+    copies do: shingles that no other member changed cannot be shared, and of those that
+    are left, only the rarest (all but t - 1) need to meet, in pairs that have enough of
+    them.  So a large group of loosely
+    alike texts is not compared pair by pair, and no link is lost.
+    """
+    id_type = around.schema["doc_id"].dataType.simpleString()
+    several = around.groupBy("head").agg(F.count("*").alias("members")).where("members > 1").select("head")
+    apart = saved(
+        around.join(several, "head", "left_semi")
+        .join(texts.select("doc_id", F.col("text").alias("ta")), "doc_id")
+        .join(texts.select(F.col("doc_id").alias("head"), F.col("text").alias("tb")), "head")
+        .select("head", "doc_id", "root", "ta", "tb")
+        .mapInArrow(lambda it: _differences(it, shingle),
+                    f"head {id_type}, doc_id {id_type}, root {id_type}, n long, n_head long, apart array<long>"),
+        "differences")
+    # whole numbers: |D| (100 + percent) against (100 - percent) sizes
+    up, down = 100 + percent, 100 - percent
+    size = F.size("apart").cast("long")
+    far = up * size > down * (F.col("n") + F.col("n_head"))
+    least = F.greatest(F.ceil((up * size + down * (F.col("n_head") - F.col("n"))) / F.lit(2.0 * up) - 1e-9), F.lit(1))
+    rows = apart.select("head", "doc_id", "root", "n", size.alias("d"), far.alias("far"), least.alias("least"),
+                        F.explode("apart").alias("element"))
+    common = (rows.groupBy("head", "element").agg(
+        F.sum(F.col("far").cast("long")).alias("often"), F.count("*").alias("all"))
+        .where("often > 0 AND all > 1"))
+    shared = saved(rows.join(common, ["head", "element"]), "shared-differences")
+    own = Window.partitionBy("head", "doc_id")
+
+    def usable(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("useful", F.count("*").over(own))
+
+    def prefix(frame: DataFrame) -> DataFrame:
+        return (frame.withColumn("place", F.row_number().over(own.orderBy("often", "element")))
+                .where(F.col("place") <= F.col("useful") - F.col("least") + 1))
+
+    def side(frame: DataFrame, x: str) -> DataFrame:
+        return frame.select("head", "element", F.col("doc_id").alias(x),
+                            *[F.col(c).alias(f"{c}_{x}") for c in ("root", "n", "d", "useful")])
+
+    # of the elements that either could share, at least as many as this pair must share
+    enough = (F.lit(2 * up) * F.least("useful_a", "useful_b")
+              >= up * (F.col("d_a") + F.col("d_b")) - down * (F.col("n_a") + F.col("n_b")))
+    distant = usable(shared.where("far"))
+    # two members far from the head: elements that at least two far members have
+    short = prefix(usable(shared.where("far AND often > 1")))
+    near = prefix(usable(shared.where("NOT far")))
+    both = side(short, "a").join(side(short, "b"), ["head", "element"]).where("b < a AND root_a <> root_b")
+    mixed = side(near, "a").join(side(distant, "b"), ["head", "element"]).where("root_a <> root_b")
+    return (both.where(enough).select("a", "b").unionByName(mixed.where(enough).select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct())
+
+
 def components(links: DataFrame, name: str = "stars") -> DataFrame:
     """(node, root) of the nodes of undirected links (a, b): root is the smallest node
     reachable.  Alternates large-star and small-star until nothing moves."""
@@ -183,7 +266,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     nodes = saved(texts.mapInArrow(lambda it: _sign(it, shingle),
                                    f"doc_id {id_type}, n_shingles long, one long, two long, sig binary"), "signatures")
     linked = nodes.where("doc_id IS NOT NULL AND n_shingles > 0")
-    heads = linked.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
+    heads = saved(linked.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("doc_id")), "set-heads")
     # rows of one id with different texts are one node: their sets meet through the id
     first = saved(linked.join(heads, ["one", "two", "n_shingles", "doc_id"], "left_semi")
                   .select("doc_id", "one", "two", "sig").distinct(), "distinct-sets")
@@ -223,16 +306,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     spokes = members.where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
     links = saved(confirmed(spokes), "links")
     roots = components(links)
-    placed = (members.select("bucket", "doc_id")
-              .join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-              .select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root")))
-    split = (placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    rooted = members.select("bucket", "doc_id", "head").join(
+        roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "bucket", "doc_id", "head", F.coalesce("root", "doc_id").alias("root"))
+    split = (rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
              .where("low < high").select("bucket"))
-    open_members = saved(placed.join(split, "bucket", "left_semi"), "open-buckets")
-    left, right = (open_members.select("bucket", F.col("doc_id").alias(x), F.col("root").alias(f"root_{x}"))
-                   for x in "ba")
-    pairs = (left.join(right, "bucket").where("b < a AND root_a <> root_b").select("a", "b").distinct()
-             .join(spokes, ["a", "b"], "left_anti"))
+    around = saved(rooted.join(split, "bucket", "left_semi").where("doc_id <> head")
+                   .groupBy("head", "doc_id").agg(F.min("root").alias("root")), "open-buckets")
+    pairs = _open_pairs(around, candidates, shingle, percent).join(
+        spokes.union(spokes.select("b", "a")), ["a", "b"], "left_anti")
     more = saved(confirmed(pairs), "more-links")
     if more.limit(1).count():
         roots = components(links.unionByName(more))
