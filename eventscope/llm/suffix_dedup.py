@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,10 +73,14 @@ def _count(batches: Iterator[pa.RecordBatch], length: int, most: int = 1 << 22)
     def flush() -> pa.RecordBatch:
         a = np.concatenate([x for x, _ in held])
         s = np.concatenate([x for _, x in held])
-        order = np.lexsort((s, a))
+        order = np.argsort(a)
         a, s = a[order], s[order]
-        first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-        kinds = np.append(True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])).astype(np.int32)
+        same = a[1:] == a[:-1]
+        several = np.flatnonzero(np.append(False, same) | np.append(same, False))
+        inner = np.lexsort((s[several], a[several]))
+        s[several] = s[several][inner]
+        first = np.flatnonzero(np.append(True, ~same))
+        kinds = np.append(True, ~same | (s[1:] != s[:-1])).astype(np.int32)
         return pa.RecordBatch.from_arrays(
             [pa.array(a[first].view(np.int64)), pa.array((np.diff(np.append(first, len(a))) > 1).astype(np.int32) + 1),
              pa.array(np.add.reduceat(kinds, first), pa.int32())], names=["anchor", "seen", "kinds"])
@@ -92,8 +97,38 @@ def _count(batches: Iterator[pa.RecordBatch], length: int, most: int = 1 << 22)
         yield flush()
 
 
-def _deal(batches: Iterator[pa.RecordBatch], length: int, wanted, bits: int, hot) -> Iterator[pa.RecordBatch]:
-    """Different strings of repeated anchors of each batch with their first occurrence."""
+def _gather(data: np.ndarray, begin: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of spans one after the other, and their offsets."""
+    cuts = np.append(0, np.cumsum(lens))
+    return data[np.repeat(begin - cuts[:-1], lens) + np.arange(cuts[-1])], cuts
+
+
+def _earliest(anchor, string, doc, copy, place) -> np.ndarray:
+    """Rows of different (anchor, string), sorted, each at its first occurrence."""
+    order = np.lexsort((place, copy, doc, string, anchor))
+    a, s = anchor[order], string[order]
+    return order[np.append(True, (a[1:] != a[:-1]) | (s[1:] != s[:-1]))] if len(order) else order
+
+
+def _deal(batches: Iterator[pa.RecordBatch], length: int, wanted, bits: int, hot,
+          most: int = 24 << 20) -> Iterator[pa.RecordBatch]:
+    """Different strings of repeated anchors with their first occurrence; equal ones are
+    merged over ``most`` bytes of them before they are handed on."""
+    held: list[tuple] = []
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        anchor, string, doc, copy, place, lens, flat = (np.concatenate(x) for x in zip(*held))
+        begin = np.cumsum(lens) - lens
+        one = _earliest(anchor, string, doc, copy, place)
+        for k in range(0, len(one), 1 << 15):
+            mine = one[k:k + (1 << 15)]
+            chosen, cuts = _gather(flat, begin[mine], lens[mine])
+            texts = pa.Array.from_buffers(pa.binary(), len(mine), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(chosen)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor[mine].view(np.int64)), pa.array(doc[mine]), pa.array(copy[mine]),
+                 pa.array(place[mine]), texts], names=["anchor", "doc", "copy", "place", "string"])
+
     for batch in batches:
         doc, copy = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         for data, first, last, anchor, row, place in _strings(batch, length):
@@ -113,16 +148,16 @@ def _deal(batches: Iterator[pa.RecordBatch], length: int, wanted, bits: int, hot
                 continue
             end = last + length
             string = span_hashes(prefix, first, end)
-            order = np.lexsort((place, copy[row], doc[row], string, anchor))
-            a, s = anchor[order], string[order]
-            one = order[np.append(True, (a[1:] != a[:-1]) | (s[1:] != s[:-1]))]
-            lens = end[one] - first[one]
-            cuts = np.append(0, np.cumsum(lens))
-            flat = data[np.repeat(first[one] - cuts[:-1], lens) + np.arange(cuts[-1])]
-            texts = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor[one].view(np.int64)), pa.array(doc[row[one]]), pa.array(copy[row[one]]),
-                 pa.array(place[one]), texts], names=["anchor", "doc", "copy", "place", "string"])
+            one = _earliest(anchor, string, doc[row], copy[row], place)
+            lens = (end - first)[one]
+            flat, _ = _gather(data, first[one], lens)
+            held.append((anchor[one], string[one], doc[row[one]], copy[row[one]], place[one], lens, flat))
+            size += len(flat)
+            if size >= most:
+                yield from flush()
+                held, size = [], 0
+    if held:
+        yield from flush()
 
 
 def suffix_order(text: np.ndarray, wanted: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
@@ -211,18 +246,18 @@ def symbol_words(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def first_windows(strings: list[bytes], rank: np.ndarray, length: int) -> np.ndarray:
-    """Which windows of different strings occur in no string of a lower rank, flattened."""
-    joined = b"\0".join(strings) + b"\0"
-    lens = np.array([len(s) for s in strings])
+def first_windows(data: np.ndarray, lens: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
+    """Which windows of different strings (laid end to end in ``data``) occur in no string
+    of a lower rank, flattened."""
     begin = np.cumsum(lens + 1) - lens - 1
-    raw = np.frombuffer(joined, np.uint8)
-    text = raw.astype(np.int16) + 1     # an end is below every byte
-    text[begin + lens] = 0
+    text = np.zeros(int((lens + 1).sum()), np.int16)    # 0 after each string, below every byte
+    inside = np.ones(len(text), bool)
+    inside[begin + lens] = False
+    text[inside] = data.astype(np.int16) + 1
     words = symbol_words(text)
     wanted = np.zeros(len(text), bool)
     n = lens - length + 1
-    of = np.repeat(np.arange(len(strings)), n)
+    of = np.repeat(np.arange(len(lens)), n)
     places = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     wanted[places] = True
     order = suffix_order(text, wanted, words, length)
@@ -242,46 +277,73 @@ def first_windows(strings: list[bytes], rank: np.ndarray, length: int) -> np.nda
     return flags[places]
 
 
+def _width(length: int) -> int:
+    """Bytes of the bits of a string's windows: a run has at most length - K + 1."""
+    return -(-(length - K + 1) // 8)
+
+
+def _firsts(anchor, doc, copy, place, texts: pa.Array, length: int) -> pa.RecordBatch:
+    """First occurrences of the windows of some whole anchors' strings."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    offsets = offsets - offsets[0]
+    string = span_hashes(prefix_hash(data), offsets[:-1], offsets[1:])
+    one = _earliest(anchor, string, doc, copy, place)
+    anchor, doc, copy, place = anchor[one], doc[one], copy[one], place[one]
+    begin, lens = offsets[:-1][one], np.diff(offsets)[one]
+    shared = np.zeros(len(one), bool)
+    same = anchor[1:] == anchor[:-1]
+    shared[1:] |= same
+    shared[:-1] |= same
+    n = lens - length + 1
+    flags = np.ones(n.sum(), bool)
+    many = np.flatnonzero(shared)
+    if len(many):    # an anchor with a single string has no two equal windows
+        rank = np.empty(len(many), np.int64)
+        rank[np.lexsort((place[many], copy[many], doc[many]))] = np.arange(len(many))
+        flat, _ = _gather(data, begin[many], lens[many])
+        flags[np.repeat(shared, n)] = first_windows(flat, lens[many], rank, length)
+    width = _width(length)
+    table = np.zeros((len(one), 8 * width), bool)
+    of = np.repeat(np.arange(len(one)), n)
+    table[of, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = flags
+    some = np.flatnonzero(table.any(axis=1))
+    bits = np.packbits(table[some], axis=1).reshape(-1)
+    cuts = (np.arange(len(some) + 1) * width).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(cuts), pa.py_buffer(bits)])
+    return pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(copy[some]), pa.array(place[some]), packed],
+                                      names=["doc", "copy", "place", "bits"])
+
+
 def _resolve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """First occurrences of the windows of strings sorted by anchor: doc, copy, place and
-    the bits of the windows from there on that occur nowhere earlier."""
-    held: list[tuple] = []
-    size = 0
+    the bits of the windows from there on that occur nowhere earlier.  Whole anchors are
+    taken together, about SORT_BYTES of strings at a time."""
+    held, size = [], 0
 
-    def close(rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[0], r[4], r[1], r[2], r[3]))
-        one = [r for k, r in enumerate(rows) if not k or (r[0], r[4]) != (rows[k - 1][0], rows[k - 1][4])]
-        anchor = np.array([r[0] for r in one])
-        shared = np.zeros(len(one), bool)
-        same = anchor[1:] == anchor[:-1]
-        shared[1:] |= same
-        shared[:-1] |= same
-        n = np.array([len(r[4]) for r in one]) - length + 1
-        flags = np.ones(n.sum(), bool)
-        many = np.flatnonzero(shared)
-        if len(many):
-            by_place = sorted(range(len(many)), key=lambda k: one[many[k]][1:4])
-            rank = np.empty(len(many), np.int64)
-            rank[by_place] = np.arange(len(many))
-            flags[np.repeat(shared, n)] = first_windows([one[k][4] for k in many], rank, length)
-        end = np.cumsum(n)
-        out = []
-        for k, r in enumerate(one):
-            mine = flags[end[k] - n[k]:end[k]]
-            if mine.any():
-                out.append((r[1], r[2], r[3], np.packbits(mine).tobytes()))
-        doc, copy, place, bits = zip(*out) if out else ((), (), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(copy, pa.int64()),
-                                           pa.array(place, pa.int64()), pa.array(bits, pa.binary())],
-                                          names=["doc", "copy", "place", "bits"])
+    def close(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        anchor, doc, copy, place = (table[k].to_numpy() for k in range(4))
+        texts = table[4].chunk(0) if table[4].num_chunks else pa.array([], pa.binary())
+        return _firsts(anchor, doc, copy, place, texts, length)
 
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            if size >= SORT_BYTES and row[0] != held[-1][0]:
-                yield close(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[4])
+        step = max(1, int(batch.num_rows * SORT_BYTES / max(1, batch.nbytes)))
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, step)
+            at += part.num_rows
+            if size >= SORT_BYTES:
+                anchor = part.column(0).to_numpy()
+                last = held[-1].column(0)[-1].as_py()
+                same = int(np.searchsorted(anchor != last, True)) if anchor[0] == last else 0
+                if same < part.num_rows:
+                    if same:
+                        held.append(part.slice(0, same))
+                    yield close(held)
+                    held, size, part = [], 0, part.slice(same)
+            held.append(part)
+            size += part.nbytes
     if held:
         yield close(held)
 
@@ -289,7 +351,15 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 def _cut(batches: Iterator[pa.RecordBatch], length: int, wanted, bits: int, keep_bytes: bool
          ) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        firsts = batch.column(3).to_pylist()
+        listed = batch.column(3)
+        if isinstance(listed, pa.ChunkedArray):
+            listed = listed.combine_chunks()
+        n_firsts = np.asarray(pc.fill_null(pc.list_value_length(listed), 0)).astype(np.int64)
+        until = np.cumsum(n_firsts)
+        flat = listed.flatten()
+        entry_place = np.asarray(flat.field(0)).astype(np.int64)
+        raw = b"".join(flat.field(1).to_pylist())
+        entry_bits = np.frombuffer(raw, np.uint8).reshape(-1, _width(length))
         n_bytes, n_removed, n_spans, digests, kept = [], [], [], [], []
         for lo, hi, data, offsets in blocks(batch, "text", LOOK_BYTES):
             edge = np.zeros(len(data) + 1, np.int32)
@@ -299,10 +369,10 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, wanted, bits: int, keep
                 edge[at + first[keep]] += 1
                 edge[at + last[keep] + 1] -= 1
             repeat = np.cumsum(edge[:-1]) > 0
-            for k in range(lo, hi):
-                for e in firsts[k] or ():
-                    on = np.flatnonzero(np.unpackbits(np.frombuffer(e["bits"], np.uint8)))
-                    repeat[offsets[k - lo] + e["place"] + on] = False
+            mine = slice(until[lo] - n_firsts[lo], until[hi - 1])
+            entry, step = np.nonzero(np.unpackbits(entry_bits[mine], axis=1))
+            base = np.repeat(offsets[:-1], n_firsts[lo:hi]) + entry_place[mine]
+            repeat[base[entry] + step] = False
             start = np.flatnonzero(repeat)
             edge[:] = 0
             edge[start] = 1
