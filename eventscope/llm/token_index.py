@@ -226,6 +226,21 @@ def _hashed(keys: Column) -> tuple[Column, Column]:
     return F.xxhash64(keys), F.xxhash64(keys, F.lit("print"))
 
 
+def _first_seed(mine: np.ndarray, taken: np.ndarray) -> tuple[int, np.ndarray]:
+    """The first seed that sends a group's keys to different free slots; many are tried at
+    once, more when the first few fail."""
+    base, step = 0, 16
+    while True:
+        seeds = np.arange(base, base + step)
+        at = slot_of(mine[None, :], seeds[:, None], len(taken))
+        row = np.sort(at, axis=1)
+        good = ~taken[at].any(axis=1) & (row[:, 1:] != row[:, :-1]).all(axis=1)
+        if good.any():
+            k = int(good.argmax())
+            return base + k, at[k]
+        base, step = base + step, 1024
+
+
 def build_mph(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Seeds and slots of a minimal perfect hash of distinct 64-bit hashes.
 
@@ -241,12 +256,8 @@ def build_mph(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     seeds, slots, taken = np.zeros(groups, np.int32), np.zeros(n, np.int64), np.zeros(n, bool)
     order = np.argsort(-sizes, kind="stable")
     for g in order[sizes[order] > 1]:
-        mine = hashes[members[g]]
-        for seed in range(1 << 30):
-            at = slot_of(mine, seed, n)
-            if not taken[at].any() and len(set(at.tolist())) == len(at):
-                break
-        seeds[g], slots[members[g]], taken[at] = seed, at, True
+        seeds[g], at = _first_seed(hashes[members[g]], taken)
+        slots[members[g]], taken[at] = at, True
     free = iter(np.flatnonzero(~taken))
     for g in order[sizes[order] == 1]:
         slot = int(next(free))
