@@ -238,16 +238,21 @@ def _open_pairs(around: DataFrame, texts: DataFrame, shingle: int, percent: int)
 
 def components(links: DataFrame, name: str = "stars") -> DataFrame:
     """(node, root) of the nodes of undirected links (a, b): root is the smallest node
-    reachable.  Alternates large-star and small-star until nothing moves."""
+    reachable.  Alternates large-star and small-star until nothing moves.
+
+    The smallest neighbours are written before they are joined: the join then has a plain
+    exchange on both sides, which Spark may split at the centre of a large star.
+    """
     mark = None
     edges = saved(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                   .where("a <> b").distinct(), name)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{name}-low")
         large = (both.join(low, "a").where("b > a")
                  .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = saved(large, f"{name}-large")
+        low = saved(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-low")
         small = (large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         edges = saved(small, name)
