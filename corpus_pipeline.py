@@ -14,7 +14,8 @@ mix_sources     rows are taken as often as the mix of their source says (0, 1 or
 token_output    token shards with their perfect hash index; the result is read back from
                 the files: doc_id, start, n_tokens, ids_crc32 of every taken document
 
-Empty tables give empty results; repeated rows and NULLs are handled as in the operators.
+Empty tables give empty results; repeated rows and NULLs are handled as in the operators
+(rows without an id share one fate in decontaminate, as they can't be told apart).
 """
 
 from __future__ import annotations
