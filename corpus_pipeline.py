@@ -40,18 +40,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = minhash_dedup.near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80)
-    stay = groups.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
-    stay = saved(stay, "kept-ids")
-    out = docs.join(stay.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if stay.where("n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id IS NULL"))
+    groups = saved(minhash_dedup.near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80), "groups")
+    # the removed ids are the smaller side, and a written table whose size Spark knows
+    gone = saved(groups.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "removed-ids")
+    out = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*docs.columns)
+    again = groups.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if again.limit(1).count():
+        out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
+    return out
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = benchmark_windows.judge(docs.select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
-    hit = judged.where("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
+    hit = saved(judged.where("contaminated").select(F.col("doc_id").alias("__hit")).distinct(), "contaminated-ids")
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")
 
 
