@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from eventscope.session import work_path
 
 BATCH_BYTES = 8 << 20   # Arrow batch the JVM hands over
-BLOCK_BYTES = 2 << 20   # texts looked at together; one longer text is a block of its own
+BLOCK_BYTES = 512 << 10   # texts looked at together (arrays of 8 bytes a byte); one longer
+                          # text is a block of its own
 
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1

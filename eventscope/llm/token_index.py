@@ -44,6 +44,7 @@ from eventscope.session import work_path
 END_ID = 2
 SHARD_BYTES = 32 << 20
 BUCKET_KEYS = 2048
+KEPT_PIECES = 300_000
 RECORD = np.dtype([("print", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n", "<u8")])
 
 _SPACE = np.zeros(256, bool)
@@ -187,6 +188,8 @@ def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, end_i
                 yield flush()
     if held:
         yield flush()
+    if len(enc.known) > KEPT_PIECES:    # the worker process lives on: keep little in it
+        enc._forget()
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
