@@ -6,6 +6,9 @@ texts.  The perplexity of a text comes from a modified Kneser-Ney model of chara
 
 * each task counts its n-grams per language in sorted arrays, Spark sums them over the
   whole corpus; an n-gram is one 64-bit number, so contexts and suffixes are shifts;
+* only *reference* texts are counted, those with at most one symbol to ten words: a model
+  counted on junk finds that junk likely.  N-grams of other texts stand in the table with
+  count 0 and get the probability of an unseen n-gram;
 * continuation counts, context totals and the three discounts per order are grouped from
   that table, and every n-gram gets its interpolated probability;
 * the model is stored as files of sorted hash arrays (hash, log probability), cut by
@@ -13,14 +16,14 @@ texts.  The perplexity of a text comes from a modified Kneser-Ney model of chara
   number of them.
 
 A document is rejected when its perplexity lies outside its language's band: the median of
-the language's log perplexities, plus and minus a multiple of the median deviation, wider for
-short texts, whose mean varies more.  The model is counted from the documents it scores, so
-no n-gram is unseen.
+the language's log perplexities, less one multiple of the median deviation and plus another,
+wider for short texts, whose mean varies more.
 
 Defined cases: NULL or wordless texts have counts 0, fail the base rules and have no
 perplexity; a NULL language is a language of its own; texts of fewer than four units have
 no perplexity and no band; repeated rows are counted and answered each; a language whose
-texts all have one perplexity has a band of the least width.
+texts all have one perplexity has a band of the least width; a language less than half of
+whose n-grams stand in reference texts is counted from all its texts.
 """
 
 from __future__ import annotations
@@ -40,6 +43,7 @@ from eventscope.session import work_path
 
 ORDER = 4
 SYMBOLS = byte_table(lambda b: b in b"#*$%&|<>")
+SYMBOL_WORDS = 10    # a reference text has as many words to a symbol, or more
 _BLANK = " \t\n\v\f\r"
 
 
@@ -118,12 +122,19 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return g, starts, np.minimum(np.maximum(at[1:] - ORDER + 1, starts), n)
 
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+def is_reference(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts of a block the model is counted from."""
+    words = word_spans(data, offsets, SPACE_WORDS)[3]
+    marks = np.frombuffer(data.tobytes().translate(SYMBOLS), np.uint8) != 0
+    return SYMBOL_WORDS * segment_sums(marks, offsets[:-1], offsets[1:], np.int64) <= words
+
+
+def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    keys, *counts = (np.concatenate(p) for p in zip(*parts))
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
+    keys = keys[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    return keys[first], *(np.add.reduceat(c[order], first) if len(first) else c for c in counts)
 
 
 def _count(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -131,18 +142,19 @@ def _count(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[
     sizes: dict[str, int] = {}
 
     def out(lang: str) -> pa.RecordBatch:
-        keys, counts = _merge(held.pop(lang))
+        keys, counts, reference = _merge(held.pop(lang))
         sizes.pop(lang)
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()),
-                                           pa.array(keys.view(np.int64)), pa.array(counts)],
-                                          names=["lang", "g", "c"])
+                                           pa.array(keys.view(np.int64)), pa.array(counts), pa.array(reference)],
+                                          names=["lang", "g", "c", "r"])
 
     for batch in batches:
         langs = np.array(batch.column(1).to_pylist(), object)
         for lo, hi, data, offsets in blocks(batch, "text"):
             g, starts, ends = grams(data, offsets)
-            for lang in sorted(set(langs[lo:hi])):
-                rows = langs[lo:hi] == lang
+            clean = is_reference(data, offsets)
+            for lang, part in sorted({(x, bool(y)) for x, y in zip(langs[lo:hi], clean)}):
+                rows = (langs[lo:hi] == lang) & (clean == part)
                 edge = np.zeros(len(g) + 1, np.int32)
                 np.add.at(edge, starts[rows], 1)
                 np.add.at(edge, ends[rows], -1)
@@ -150,7 +162,8 @@ def _count(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[
                 if not len(mine):
                     continue
                 first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
-                held.setdefault(lang, []).append((mine[first], np.diff(np.append(first, len(mine)))))
+                counts = np.diff(np.append(first, len(mine)))
+                held.setdefault(lang, []).append((mine[first], counts, counts * part))
                 sizes[lang] = sizes.get(lang, 0) + len(first)
                 if sizes[lang] > limit:      # bounded memory: fold, or hand on what is held
                     folded = _merge(held[lang])
@@ -162,18 +175,29 @@ def _count(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, g, c): all 4-grams of the texts of each language."""
-    return (docs.mapInArrow(_count, "lang string, g long, c long")
-            .groupBy("lang", "g").agg(F.sum("c").alias("c")))
+    """(lang, g, c, r): all 4-grams of the texts of each language, r of them in reference texts."""
+    return (docs.mapInArrow(_count, "lang string, g long, c long, r long")
+            .groupBy("lang", "g").agg(F.sum("c").alias("c"), F.sum("r").alias("r")))
+
+
+def reference_counts(counts: DataFrame) -> DataFrame:
+    """(lang, g, c): c counts reference texts where those hold half of a language or more."""
+    held = counts.groupBy("lang").agg((2 * F.sum("r") >= F.sum("c")).alias("enough"))
+    return (counts.join(F.broadcast(held), "lang")    # one row per language
+            .select("lang", "g", F.when(F.col("enough"), F.col("r")).otherwise(F.col("c")).alias("c")))
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang, g, logp): interpolated modified Kneser-Ney probabilities of all 4-grams."""
+    """(lang, g, logp): interpolated modified Kneser-Ney probabilities of all 4-grams.
+
+    One with count 0 is unseen: it is no continuation and has the share left to its context,
+    or the whole of the lower order where the context is unseen too.
+    """
     mask = lambda n: F.lit((1 << 16 * n) - 1)
     tables = {ORDER: counts.select("lang", F.col("g").alias("g"), "c")}
     for n in range(ORDER - 1, 0, -1):    # continuation counts: how many units stand before
         tables[n] = tables[n + 1].groupBy("lang", F.col("g").bitwiseAND(mask(n)).alias("g")).agg(
-            F.count("*").alias("c"))
+            F.sum((F.col("c") > 0).cast("long")).alias("c"))
     lower = None
     for n in range(1, ORDER + 1):
         t = tables[n]
@@ -192,8 +216,9 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             F.sum((F.col("c") == 2).cast("long")).alias("k2"), F.sum((F.col("c") > 2).cast("long")).alias("k3"))
         joined = t.join(sums, ["lang", "h"]).join(few, "lang")
         discount = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        left = (F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3")) / F.col("total")
-        direct = F.greatest(F.col("c") - discount, F.lit(0.0)) / F.col("total")
+        left = (F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3"))
+        left = F.when(F.col("total") > 0, F.try_divide(left, F.col("total"))).otherwise(F.lit(1.0))
+        direct = F.coalesce(F.try_divide(F.greatest(F.col("c") - discount, F.lit(0.0)), F.col("total")), F.lit(0.0))
         if n == 1:
             lower = joined.select("lang", "g", (direct + left / F.col("kinds")).alias("p"))
         else:
@@ -301,16 +326,18 @@ def _score(batches: Iterator[pa.RecordBatch], files: list) -> Iterator[pa.Record
 
 
 def quality(docs: DataFrame, least_words: int = 50, most_repeated: int = 50,
-            width: float = 8.0, least_width: float = 0.05, short: int = 500) -> DataFrame:
+            low_width: float = 6.0, high_width: float = 8.0,
+            least_width: float = 0.05, short: int = 500) -> DataFrame:
     """doc_id, base counts, base_failed, log_ppl, the band (low, high) and kept.
 
-    ``docs``: doc_id, text, lang.  ``width``: half-width of a long text's band in median
-    deviations; a text of n characters in words has sqrt(1 + short / n) times that.
+    ``docs``: doc_id, text, lang.  ``low_width``, ``high_width``: a long text's band below and
+    above the median in median deviations; a text of n characters in words has
+    sqrt(1 + short / n) times that.
     """
     bound_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "doc_id")
-    files = store_model(kneser_ney(saved(count_grams(texts.select("text", "lang")), "gram-counts")))
+    files = store_model(kneser_ney(reference_counts(saved(count_grams(texts.select("text", "lang")), "gram-counts"))))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     scored = saved(texts.mapInArrow(
         lambda it: _score(it, files), f"doc_id {id_type}, lang string, "
@@ -321,11 +348,13 @@ def quality(docs: DataFrame, least_words: int = 50, most_repeated: int = 50,
     middle = judged.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 10000).alias("middle"))
     spread = (judged.join(F.broadcast(middle), "lang")    # one row per language, as below
               .groupBy("lang", "middle").agg(F.percentile_approx(F.abs(F.col("log_ppl") - F.col("middle")), 0.5, 10000).alias("mad")))
-    half = F.greatest(width * F.col("mad"), F.lit(least_width))
-    bands = spread.select("lang", "middle", half.alias("half"))
-    reach = F.col("half") * F.sqrt(1 + F.lit(short) / F.greatest("word_chars", F.lit(1)))
+    bands = spread.select("lang", "middle", *[
+        F.greatest(width * F.col("mad"), F.lit(least_width)).alias(side)
+        for side, width in (("below", low_width), ("above", high_width))])
+    reach = F.sqrt(1 + F.lit(short) / F.greatest("word_chars", F.lit(1)))
     outside = F.coalesce((F.col("log_ppl") < F.col("low")) | (F.col("log_ppl") > F.col("high")), F.lit(False))
     return (scored.join(F.broadcast(bands), "lang", "left")
-            .withColumn("low", F.col("middle") - reach).withColumn("high", F.col("middle") + reach)
+            .withColumn("low", F.col("middle") - F.col("below") * reach)
+            .withColumn("high", F.col("middle") + F.col("above") * reach)
             .select("doc_id", *_COUNTS, "base_failed", "log_ppl", "low", "high",
                     (~F.col("base_failed") & ~outside).alias("kept")))

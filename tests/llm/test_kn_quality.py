@@ -134,3 +134,66 @@ def test_bounded_counting(spark, monkeypatch):
             for lang, g, c in zip(*(b.column(k).to_pylist() for k in range(3))):
                 into[lang, g] += c
     assert whole == parts
+
+
+def test_labelled_junk_is_rejected(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    out = quality(docs).join(labels, "doc_id").where("NOT base_failed").toPandas()
+    junk, good = out[out.quality == 0], out[out.quality == 1]
+    assert len(junk) > 10 and (~junk.kept).mean() > 0.9
+    assert good.kept.mean() > 0.97
+
+
+def test_common_junk_is_rejected(spark):
+    """Junk of one pattern in a quarter of the documents, which a model counted on it finds likely."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice(["ka", "lo", "mi", "ne", "tu"]) for _ in range(3)) for _ in range(60)]
+    clean = [" ".join(rng.choice(vocabulary) for _ in range(120)) for _ in range(90)]
+    junk = [" ".join(rng.choice(vocabulary) + rng.choice(["&&&", "***", ""]) for _ in range(120)) for _ in range(30)]
+    rows = [(k, t, "xx") for k, t in enumerate(clean + junk)]
+    rows += [(1000 + k, t, "yy") for k, t in enumerate(junk)]      # no reference text: counted whole
+    kept = {r["doc_id"]: r["kept"] for r in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(kept[k] for k in range(90)) and not any(kept[k] for k in range(90, 120))
+    assert all(kept[1000 + k] for k in range(30))
+
+
+def test_reference_counts(spark):
+    rows = [("a", "one two three"), ("a", "## one"), ("b", "## x"), ("b", "## y")]
+    docs = spark.createDataFrame(rows, "lang string, text string").select("text", "lang")
+    got = {}
+    for r in kn_quality.reference_counts(count_grams(docs)).collect():
+        got.setdefault(r["lang"], {})[tuple(r["g"] >> 16 * k & 0xFFFF for k in (3, 2, 1, 0))] = r["c"]
+    gram = lambda t: tuple(units(t))
+    assert got["a"][gram("one ")] == 1 and got["a"][gram("## o")] == 0 and got["a"][gram(" one")] == 0
+    assert got["b"][gram("## x")] == 1
+
+
+def test_unseen_grams_back_off(spark):
+    seen = Counter({"abcd": 3, "abce": 1, "xbcd": 1, "bcda": 2, "zbcf": 1})
+    unseen = ["abcf", "qqbc", "qbcd", "qqqq"]
+    number = lambda t: sum(u << 16 * (len(t) - 1 - k) for k, u in enumerate(units(t)))
+    rows = [("x", number(g), c) for g, c in [*seen.items(), *((g, 0) for g in unseen)]]
+    got = {r["g"]: math.exp(r["logp"]) for r in kneser_ney(spark.createDataFrame(rows, "lang string, g long, c long")).collect()}
+    tables = {4: {**seen, **dict.fromkeys(unseen, 0)}}
+    for n in (3, 2, 1):
+        tables[n] = {}
+        for g, c in tables[n + 1].items():
+            tables[n][g[1:]] = tables[n].get(g[1:], 0) + (c > 0)
+    probs = {}
+    for n in (1, 2, 3, 4):
+        t = tables[n]
+        c = [sum(v == k for v in t.values()) for k in range(6)]
+        d = [0.0]
+        for k in (1, 2, 3):
+            x = (0.5, 1.0, 1.5)[k - 1]
+            if c[1] + 2 * c[2] and c[k]:
+                x = k - (k + 1) * c[1] / (c[1] + 2 * c[2]) * c[k + 1] / c[k]
+            d.append(max(0.05, min(k - 0.05, x)))
+        for g, v in t.items():
+            mine = [x for h, x in t.items() if h[:-1] == g[:-1]]
+            left = sum(d[min(x, 3)] for x in mine) / sum(mine) if sum(mine) else 1.0
+            direct = max(0, v - d[min(v, 3)]) / sum(mine) if sum(mine) else 0.0
+            probs[g] = direct + left * (probs[g[1:]] if n > 1 else 1 / len(t))
+    assert all(got[number(g)] == pytest.approx(probs[g], rel=1e-5) for g in tables[4])
