@@ -9,13 +9,13 @@ language_id     rows whose text has a learned language with a probability of one
 near_dedup      of each group of near copies (five-word shingles, similarity 0.8) the
                 smallest doc_id stays; of rows that repeat an id one stays; rows without an
                 id stay
-decontaminate   rows of which a twentieth or more is benchmark windows go
+decontaminate   rows of which a twentieth or more is benchmark windows go; each row is judged by
+                its own text, whatever its doc_id
 mix_sources     rows are taken as often as the mix of their source says (0, 1 or 2 times)
 token_output    token shards with their perfect hash index; the result is read back from
                 the files: doc_id, start, n_tokens, ids_crc32 of every taken document
 
-Empty tables give empty results; repeated rows and NULLs are handled as in the operators
-(rows without an id share one fate in decontaminate, as they can't be told apart).
+Empty tables give empty results; repeated rows and NULLs are handled as in the operators.
 """
 
 from __future__ import annotations
@@ -51,9 +51,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = benchmark_windows.judge(docs.select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
-    hit = saved(judged.where("contaminated").select(F.col("doc_id").alias("__hit")).distinct(), "contaminated-ids")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")
+    # the verdict depends on the text alone, so its digest stands for the row; NULL texts are clean
+    digest = F.unhex(F.sha2(docs["text"].cast("string").cast("binary"), 256))
+    judged = benchmark_windows.judge(docs.select(digest.alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    hit = saved(judged.where("contaminated").select(F.col("doc_id").alias("__hit")).distinct(), "contaminated-texts")
+    return docs.join(hit, digest == hit["__hit"], "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

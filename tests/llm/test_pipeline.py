@@ -111,3 +111,16 @@ def test_run_and_empty(spark, sf_small, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_decontaminate_without_ids(spark, sf_small, tmp_path):
+    """One contaminated row takes no clean row of the same (or no) id with it."""
+    item = " ".join(f"b{k}" for k in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, f"clean words {k}", None, None, k) for k in range(5)]
+    rows += [(None, item, None, None, 9), (None, None, "en", None, None), (None, item, "en", "src0", 9),
+             (4, "also clean", "en", "src0", 1), (4, f"x {item} y", "en", "src0", 2), (5, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert got.columns == COLUMNS
+    assert sorted(map(key, got.collect())) == sorted(repr(r) for r in rows if item not in (r[1] or ""))
