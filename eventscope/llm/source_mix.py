@@ -117,7 +117,7 @@ def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int],
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     """The bucket in which a pattern's words run out: documents in seeded order, each taken
     if it still fits."""
-    rows = rows.sort_values(["rank", "doc_key", "size"], kind="stable")
+    rows = rows.sort_values(["rank", "doc_key", "size", "key"], kind="stable")
     sizes = rows["size"].to_numpy()
     left, extra = int(rows["room"].iloc[0]) if len(rows) else 0, np.zeros(len(rows), np.int64)
     for k, size in enumerate(sizes):
@@ -142,7 +142,7 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
         if i:
             extra[give[i - 1]] = 0
     rows["copies"] = rows["copies"] + extra
-    return rows.drop(columns=["room"])
+    return rows[["key", "copies"]]
 
 
 def mix(docs: DataFrame, sources: Column, share: float = 1.5, repeats: int = 2,
@@ -155,10 +155,24 @@ def mix(docs: DataFrame, sources: Column, share: float = 1.5, repeats: int = 2,
     point order, NULL last, and repeat.  More than ``most_patterns`` patterns are an error,
     as their sums are routed on the driver.
     """
+    rows, table = _copies(docs, sources, ["doc_id"], share, repeats, weights, seed, bucket_rows, most_patterns)
+    return rows.select("row.doc_id", "pattern", "size", "copies"), table
+
+
+def _copies(docs: DataFrame, sources: Column, carried: list[str], share: float = 1.5, repeats: int = 2,
+            weights: tuple[int, ...] = WEIGHTS, seed: int = 11, bucket_rows: int = 4096,
+            most_patterns: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """row (the ``carried`` columns), pattern, size and copies of every row; and the sources.
+
+    Rows are written once with a number of their own, so that copies stay with their row
+    whatever its doc_id.
+    """
     spark = docs.sparkSession
-    key = F.array_sort(F.array_distinct(sources))    # NULL sorts last
+    members = F.array_sort(F.array_distinct(sources))    # NULL sorts last
     sized = saved(docs.select(
-        "doc_id", F.coalesce(key, F.array().cast("array<string>")).alias("pattern"),
+        F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.monotonically_increasing_id().alias("key"),
+        F.col("doc_id").cast("string").alias("doc_key"),
+        F.coalesce(members, F.array().cast("array<string>")).alias("pattern"),
         word_count(F.col("text").cast("string")).alias("size"),
         F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("rank")), "sizes")
     sums = sized.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
@@ -191,14 +205,13 @@ def mix(docs: DataFrame, sources: Column, share: float = 1.5, repeats: int = 2,
             .where("before <= room AND room < before + words")
             .select("pattern", F.col("bucket").alias("cut"), (F.col("room") - F.col("before")).alias("left")))
     dealt = dealt.join(F.broadcast(fill), "pattern", "left")    # again one row per pattern
-    columns = ["doc_id", "pattern", "size", "copies"]
+    columns = ["row", "pattern", "size", "copies"]
     whole = dealt.where("bucket <> cut OR cut IS NULL").withColumn(
         "copies", F.col("copies") + F.when(F.col("bucket") < F.col("cut"), 1).otherwise(0)).select(*columns)
-    edge = dealt.where("bucket = cut").select(
-        *columns, F.col("doc_id").cast("string").alias("doc_key"), "rank", F.col("left").alias("room"))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    filled = edge.groupBy("pattern").applyInPandas(
-        _fill, f"doc_id {id_type}, pattern array<string>, size long, copies long, doc_key string, rank long")
+    edge = dealt.where("bucket = cut")
+    filled = edge.select("pattern", "key", "doc_key", "rank", "size", "copies", F.col("left").alias("room")).groupBy(
+        "pattern").applyInPandas(_fill, "key long, copies long")
+    filled = edge.drop("copies").join(filled, "key")    # the rows of one bucket a pattern
     routed = [0] * len(names)
     for f in flow:
         for s, words in f.items():
@@ -211,8 +224,6 @@ def mix(docs: DataFrame, sources: Column, share: float = 1.5, repeats: int = 2,
 
 def mixed_documents(docs: DataFrame, sources: Column, **how) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken."""
-    taken, _ = mix(docs, sources, **how)
-    times = taken.groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    same = F.expr("sequence(1L, __copies)")
-    return (docs.alias("d").join(times.withColumnRenamed("doc_id", "__id"), F.col("d.doc_id").eqNullSafe(F.col("__id")))
-            .withColumn("__copy", F.explode(same)).select(*[F.col(f"d.`{c}`") for c in docs.columns]))
+    rows, _ = _copies(docs, sources, docs.columns, **how)
+    return (rows.where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+            .select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))

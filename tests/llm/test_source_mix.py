@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from eventscope.llm import source_mix
 from eventscope.llm.source_mix import min_cost_flow, mix, mixed_documents, quotas
 
 
@@ -91,3 +92,16 @@ def test_mixed_documents_and_empty(spark):
     assert mixed_documents(docs.limit(0), F.array("source")).count() == 0
     with pytest.raises(ValueError):
         mix(docs, F.array("source"), most_patterns=2)
+
+
+def test_copies_stay_with_their_row(spark):
+    """Rows without an id: sources meet their targets, one row's count is not given to all."""
+    rng = random.Random(4)
+    data = [(None, " ".join(f"w{k}" for _ in range(rng.randrange(1, 30))), s, k) for k, s in enumerate(["a"] * 150 + ["b"] * 90 + ["c"] * 60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, n int").repartition(3)
+    out = mixed_documents(docs, F.array("source")).collect()
+    sizes = {s: sum(len(t.split()) for _, t, x, _ in data if x == s) for s in "abc"}
+    want = quotas(sizes, dict(zip("abc", (5, 2, 1))), 1.5, 2)
+    for s in "abc":
+        assert abs(sum(len(r["text"].split()) for r in out if r["source"] == s) - want[s]) <= 15
+    assert {tuple(r) for r in out} <= set(data)
