@@ -15,7 +15,7 @@
 
 Defined cases: NULL texts have size 0 and take 0 words; a NULL source is a source of its
 own, ordered last; documents without any source are never taken; equal rows are taken
-each on its own, with ties in the seeded order broken by id and size; an empty table mixes
+each on its own, with ties in the seeded order (a hash of id and text) broken by id and size; an empty table mixes
 to an empty table; two runs agree.
 """
 
@@ -169,12 +169,13 @@ def _copies(docs: DataFrame, sources: Column, carried: list[str], share: float =
     """
     spark = docs.sparkSession
     members = F.array_sort(F.array_distinct(sources))    # NULL sorts last
+    # the text is hashed with the id, so that rows of one id (or none) spread over the buckets
     sized = saved(docs.select(
         F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.monotonically_increasing_id().alias("key"),
         F.col("doc_id").cast("string").alias("doc_key"),
         F.coalesce(members, F.array().cast("array<string>")).alias("pattern"),
         word_count(F.col("text").cast("string")).alias("size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("rank")), "sizes")
+        F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("rank")), "sizes")
     sums = sized.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     patterns = sums.limit(most_patterns + 1).collect()
     if len(patterns) > most_patterns:

@@ -105,3 +105,14 @@ def test_copies_stay_with_their_row(spark):
     for s in "abc":
         assert abs(sum(len(r["text"].split()) for r in out if r["source"] == s) - want[s]) <= 15
     assert {tuple(r) for r in out} <= set(data)
+
+
+def test_rows_of_one_id_spread_over_buckets(spark, monkeypatch):
+    data = [(k % 3 or None, f"text {k}", "a") for k in range(600)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").coalesce(2)
+    folder = []
+    whole = source_mix.saved
+    monkeypatch.setattr(source_mix, "saved", lambda df, name: folder.append(whole(df, name)) or folder[-1])
+    mix(docs, F.array("source"), bucket_rows=10)
+    held = [r["count"] for r in folder[0].groupBy(F.expr("pmod(rank, 60)")).count().collect()]
+    assert len(held) > 50 and max(held) < 40
