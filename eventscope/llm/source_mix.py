@@ -22,6 +22,7 @@ to an empty table; two runs agree.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -57,7 +58,22 @@ def quotas(sizes: dict, weights: dict, share: float, repeats: int) -> dict:
 def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int], repeats: int
                   ) -> list[dict[int, int]]:
     """Words each pattern sends to each source: as much as quotas and copies allow, at the
-    least total repetition cost (successive shortest paths with potentials)."""
+    least total repetition cost (successive shortest paths with potentials).
+
+    A source with one pattern, which has no other source, needs no path: it gets its quota
+    or all copies of the pattern, whichever is less.
+    """
+    held = Counter(s for m in members for s in m)
+    alone = [len(m) == 1 and held[m[0]] == 1 for m in members]
+    if any(alone):
+        shared = [p for p, single in enumerate(alone) if not single]
+        at = {s: k for k, s in enumerate(sorted({s for p in shared for s in members[p]}))}
+        rest = min_cost_flow([supply[p] for p in shared], [[at[s] for s in members[p]] for p in shared],
+                             [quota[s] for s in at], repeats) if at else [{} for _ in shared]
+        back = {k: s for s, k in at.items()}
+        found = {p: {back[k]: words for k, words in f.items()} for p, f in zip(shared, rest)}
+        sent = [min(quota[m[0]], repeats * supply[p]) if alone[p] else 0 for p, m in enumerate(members)]
+        return [({members[p][0]: sent[p]} if sent[p] else {}) if alone[p] else found[p] for p in range(len(members))]
     n_p, n_s = len(supply), len(quota)
     source, sink, size = n_p + n_s, n_p + n_s + 1, n_p + n_s + 2
     graph: list[list[int]] = [[] for _ in range(size)]

@@ -116,3 +116,13 @@ def test_rows_of_one_id_spread_over_buckets(spark, monkeypatch):
     mix(docs, F.array("source"), bucket_rows=10)
     held = [r["count"] for r in folder[0].groupBy(F.expr("pmod(rank, 60)")).count().collect()]
     assert len(held) > 50 and max(held) < 40
+
+
+def test_flow_of_many_single_sources():
+    rng = random.Random(2)
+    n = 50_000
+    supply, quota = [rng.randrange(50) for _ in range(n)], [rng.randrange(80) for _ in range(n)]
+    members = [[k] for k in range(n)] + [[n, n + 1], [n + 1]]
+    flow = min_cost_flow(supply + [10, 3], members, quota + [7, 9], 2)
+    assert all(f.get(k, 0) == min(quota[k], 2 * supply[k]) for k, f in enumerate(flow[:n]))
+    assert sum(sum(f.values()) for f in flow[n:]) == 16
