@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventscope.llm import chat_repair, decontaminate, kn_quality, lang_id, minhash_dedup, secret_ledger, source_mix, suffix_dedup, token_index, url_rules
+from eventscope.llm import (burst_trie, chat_repair, decontaminate, kn_quality, lang_id, lexical_search, minhash_dedup,
+                            secret_ledger, source_mix, suffix_dedup, token_index, toxicity, url_rules)
 from eventscope.llm.common import read_table
 from eventscope.session import work_path
 
@@ -78,6 +79,20 @@ def op10_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kn_quality.quality(docs)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+def op12_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return burst_trie.conversation_trie(read_table(spark, sf_dir, "conversations")).drop("node")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search.rank_documents(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
+
+
 LLM_QUERIES = {
     "op1_secret_ledger": op1_secret_ledger,
     "op2_token_index": op2_token_index,
@@ -89,6 +104,9 @@ LLM_QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_perplexity": op10_quality_perplexity,
+    "op11_toxicity": op11_toxicity,
+    "op12_burst_trie": op12_burst_trie,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 LLM_ORACLE = {
@@ -152,5 +170,64 @@ FROM (
            = max(length(rule_host || rule_path)) OVER (PARTITION BY page_id) AS best
   FROM p LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS j
 GROUP BY page_id, host, path
+""",
+    "op12_burst_trie": r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+           lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+             lambda s, i: CASE WHEN s % 2 = 1 THEN xor(s // 2, 3988292384::BIGINT) ELSE s // 2 END)), 4294967295::BIGINT) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t) AS c),
+r AS (
+  SELECT crc.conv_id, 0 AS own, t.place, role, text FROM crc JOIN t ON t.conv_id = crc.base AND t.place <= h
+  UNION ALL
+  SELECT crc.conv_id, 1, t.place, role, text FROM crc JOIN t ON t.conv_id = crc.conv_id AND t.place > h),
+s AS (
+  SELECT crc.conv_id, coalesce(list(struct_pack(role := role, text := text) ORDER BY own, place) FILTER (role IS NOT NULL), []) AS turns
+  FROM crc LEFT JOIN r ON r.conv_id = crc.conv_id GROUP BY crc.conv_id),
+p AS (SELECT conv_id, unnest(range(0, len(turns) + 1)) AS depth, turns FROM s),
+n AS (
+  SELECT depth, turns[1:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(turns) = depth), '') AS ends,
+         CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * length(turns[1:depth][-1].text) END AS gain
+  FROM p GROUP BY depth, path, turns[1:depth]),
+c AS (SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+l AS (
+  SELECT n.depth, n.path, sum((c.n_children IS NULL)::BIGINT) AS n_leaves, sum(d.gain) AS saved FROM (
+    SELECT unnest(range(0, n.depth + 1)) AS up, n.* FROM n) AS d
+  JOIN n ON n.depth = d.up AND n.path = d.path[1:d.up]
+  LEFT JOIN c ON c.depth = d.depth AND c.path = d.path GROUP BY 1, 2)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children,
+       CAST(l.n_leaves AS BIGINT) AS n_leaves, CAST(l.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN l ON l.depth = n.depth AND l.path = n.path
+LEFT JOIN c ON c.depth = n.depth AND c.path = n.path
+LEFT JOIN n AS q ON q.depth = n.depth - 1 AND q.path = n.path[1:n.depth - 1]
+""",
+    "op13_lexical_search": r"""
+WITH w AS (
+  SELECT 'd' AS kind, row_number() OVER () AS row, doc_id AS id, text FROM documents UNION ALL
+  SELECT 'i', row_number() OVER (), item_id, text FROM benchmark),
+t AS (
+  SELECT kind, row, id, unnest(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM w WHERE text IS NOT NULL),
+f AS (SELECT kind, row, id, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT row, CAST(sum(tf) AS BIGINT) AS n FROM f WHERE kind = 'd' GROUP BY row),
+g AS (SELECT count(*) AS documents, CAST(sum(n) AS HUGEINT) AS length FROM n),
+v AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * documents + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight
+      FROM f, g WHERE kind = 'd' GROUP BY term, documents),
+m AS (SELECT row, CAST(100 - 75 + (75 * n * documents) // length AS BIGINT) AS m FROM n, g),
+s AS (
+  SELECT q.row AS item, q.id AS item_id, d.row, d.id AS doc_id,
+         CAST(sum(q.tf * weight * ((1000000000 * d.tf) // (1000 * d.tf + 8 * m))) AS BIGINT) AS score
+  FROM f AS q JOIN f AS d ON d.term = q.term AND d.kind = 'd' JOIN v ON v.term = q.term JOIN m ON m.row = d.row
+  WHERE q.kind = 'i' GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) AS x
+WHERE rank <= 10
 """,
 }

@@ -9,7 +9,7 @@ TABLES = ["documents", "pages", "benchmark", "conversations", "labels"]
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 14))
     assert {*LLM_QUERIES, "pipeline"} <= set(__spark_entry__.queries())
 
 
