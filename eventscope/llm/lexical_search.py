@@ -3,18 +3,22 @@
 Documents are vectors of term impacts; a query's score is its weighted sum of impacts, in
 integers.  The index is cut into *shards* of whole documents, in the order in which they lie,
 so a term that stands in most documents is spread over all shards and nothing is shuffled.
-In a shard, the posting list of each term is cut into blocks of documents that are alike:
+
+In a shard, a posting list of less than ``DIRECT`` documents is scored as it is.  Every longer
+list is cut into blocks of documents that are alike:
 
 * every document has a sketch, a random projection of its weighted vector;
 * documents spread evenly over the list are its pivots, and each document joins the pivot whose
   sketch has the greatest inner product with its own; a large cluster is cut into runs by impact;
 * a block stores its documents and its *summary*, the greatest impact of each coordinate.
 
-A query's product with a summary bounds the score of every document of the block, exactly,
-since both are sums of the same integers.  The blocks of the query's terms are visited by
-falling bound; documents are scored in full from the shard's forward vectors; the rest is
-skipped once a bound is below the k-th best score so far (equal bounds are visited, as a
-smaller doc_id may win).  The best k of each shard are merged by Spark.
+A query scores the documents of its short lists first.  All others are 0 in those coordinates,
+so summaries leave them out, and a query's product with a summary bounds the score of every
+such document of the block, exactly: both are sums of the same integers.  The long lists
+follow by falling greatest share of the score.  A block is skipped when its bound is below the
+k-th best score so far, the rest of the lists when all their greatest shares together are
+(equal bounds are visited, as a smaller doc_id may win).  The best k of each shard are merged
+by Spark.
 
 The index holds the coordinates of a given set of terms, those of the queries: the score
 uses no others, and the whole vocabulary of a corpus has no size bound.
@@ -42,8 +46,9 @@ from eventscope.llm.common import (blocks, bound_batches, byte_table, hash_filte
 TERMS = byte_table(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128, lower=True)
 SATURATION, FLATTENING = 8, 75     # of a document's length, in tenths and hundredths
 DIMENSIONS = 32                    # of a sketch
-BLOCK = 64                         # documents per block, about
-SHARD_POSTINGS = 1 << 18           # postings in a shard
+DIRECT = 64                        # shorter posting lists of a shard have no blocks
+BLOCK = 128                        # documents per block, about
+SHARD_POSTINGS = 1 << 19           # postings in a shard, so less than 2^16 long lists
 SHARD_DOCS = 1 << 13
 QUERY_TERMS = 1 << 18              # terms of the queries that are answered together
 
@@ -68,7 +73,7 @@ def _vectors(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1).slice(lo, hi - lo), pa.array(counts.astype(np.int64)),
                  pa.ListArray.from_arrays(whole, pa.array(h[first].view(np.int64))),
-                 pa.ListArray.from_arrays(whole, pa.array(tf.astype(np.int64)))],
+                 pa.ListArray.from_arrays(whole, pa.array(tf.astype(np.int32)))],
                 names=["doc_id", "n", "terms", "tfs"])
 
 
@@ -76,7 +81,7 @@ def term_vectors(rows: DataFrame, shared=None) -> DataFrame:
     """(doc_id, n, terms, tfs) of the rows (text, doc_id) with at least one term."""
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return (rows.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "doc_id")
-            .mapInArrow(lambda it: _vectors(it, shared), f"doc_id {id_type}, n long, terms array<long>, tfs array<long>")
+            .mapInArrow(lambda it: _vectors(it, shared), f"doc_id {id_type}, n long, terms array<long>, tfs array<int>")
             .where("n > 0"))
 
 
@@ -95,8 +100,6 @@ def weight(documents: int, df: int) -> int:
 def _clusters(sketch: np.ndarray, impact: np.ndarray) -> list[np.ndarray]:
     """Positions of a posting list, block by block."""
     n = len(sketch)
-    if n <= BLOCK:
-        return [np.arange(n)]
     pivots = sketch[np.linspace(0, n - 1, -(-n // BLOCK)).astype(np.int64)]
     nearest = (sketch @ pivots.T).argmax(axis=1)
     order = np.lexsort((-impact, nearest))
@@ -107,47 +110,73 @@ def _clusters(sketch: np.ndarray, impact: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of the spans that start at ``starts``, one span after the other."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
+
+
+def sketches(terms: np.ndarray, ptr: np.ndarray, strength: np.ndarray) -> np.ndarray:
+    """Unit vectors: random projections of the documents' weighted vectors."""
+    seen, at = np.unique(terms, return_inverse=True)
+    axes = (seeded(11, DIMENSIONS * (int(terms.max(initial=0)) + 1)).reshape(-1, DIMENSIONS)[seen] >> np.uint64(40))
+    axes = axes.astype(np.float32) / np.float32(1 << 23) - 1
+    out = np.zeros((len(ptr) - 1, DIMENSIONS), np.float32)
+    for d in range(DIMENSIONS):
+        out[:, d] = segment_sums(strength * axes[at, d], ptr[:-1], ptr[1:])
+    return out / np.maximum(np.sqrt((out ** 2).sum(axis=1, keepdims=True)), 1e-9)
+
+
+#: Arrays of a shard: forward vectors; short lists; long lists, their blocks and summaries.
+KINDS = {"terms": np.int32, "ptr": np.int32, "impact": np.int32,
+         "short_terms": np.int32, "short_at": np.int32, "short_docs": np.uint16,
+         "long_terms": np.int32, "long_top": np.int32, "long_at": np.int32,
+         "member_at": np.int32, "members": np.uint16, "summary_at": np.int32, "coords": np.uint16, "tops": np.int32}
+
+
 def build_shard(terms: np.ndarray, ptr: np.ndarray, impact: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
-    """Blocks of all posting lists of a shard: ``terms`` are the coordinates of the documents,
-    ``ptr`` their borders.  Arrays: term, member borders and members, summary borders,
-    coordinates and greatest impacts of each block."""
+    """The arrays of a shard whose document d has the coordinates terms[ptr[d]:ptr[d + 1]].
+
+    ``long_at`` are the borders of each long list's blocks, ``coords`` numbers of long lists.
+    """
     docs = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
-    axes = (seeded(11, DIMENSIONS * (int(terms.max(initial=0)) + 1)).reshape(-1, DIMENSIONS) >> np.uint64(40)).astype(np.float32)
-    axes = axes / np.float32(1 << 23) - 1
-    strength = (impact * weights[terms]).astype(np.float32)
-    sketch = np.zeros((len(ptr) - 1, DIMENSIONS), np.float32)
-    for d in range(DIMENSIONS):
-        sketch[:, d] = segment_sums(strength * axes[terms, d], ptr[:-1], ptr[1:])
-    sketch /= np.maximum(np.sqrt((sketch ** 2).sum(axis=1, keepdims=True)), 1e-9)
     order = np.argsort(terms, kind="stable")
     order = order[weights[terms[order]] > 0]     # a term of weight 0 gives no document a score
-    cuts = np.flatnonzero(np.append(True, terms[order][1:] != terms[order][:-1])) if len(order) else np.zeros(0, np.int64)
-    of, members, sizes, coords, tops, widths = [], [], [], [], [], []
-    table = np.zeros(int(terms.max(initial=0)) + 1, np.int64)
-    for a, b in zip(cuts, np.append(cuts[1:], len(order))):
-        post = order[a:b]
+    ranked = terms[order]
+    cuts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(order) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(cuts, len(order)))
+    short, long = sizes < DIRECT, sizes >= DIRECT
+    out = {"terms": terms, "ptr": ptr, "impact": impact, "short_terms": ranked[cuts[short]],
+           "short_at": np.append(0, np.cumsum(sizes[short])), "short_docs": docs[order[_spans(cuts[short], sizes[short])]],
+           "long_terms": ranked[cuts[long]]}
+    number = np.full(int(terms.max(initial=0)) + 1, -1, np.int64)
+    number[out["long_terms"]] = np.arange(int(long.sum()))
+    # vectors over the long lists' coordinates
+    kept = np.flatnonzero(number[terms] >= 0)
+    coord, value = number[terms[kept]], impact[kept]
+    begin = np.append(0, np.cumsum(np.bincount(docs[kept], minlength=len(ptr) - 1)))
+    sketch = sketches(terms, ptr, (impact * weights[terms]).astype(np.float32)) if long.any() else None
+    top, blocks_of, members, coords, tops = [], [], [], [], []
+    table = np.zeros(int(long.sum()), np.int64)
+    for a, n in zip(cuts[long], sizes[long]):
+        post = order[a:a + n]
         mine = docs[post]
-        for block in _clusters(sketch[mine], impact[post]):
+        top.append(impact[post].max())
+        parts = _clusters(sketch[mine], impact[post])
+        blocks_of.append(len(parts))
+        for block in parts:
             inside = mine[block]
-            lengths = ptr[inside + 1] - ptr[inside]
-            at = np.repeat(ptr[inside] - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
-            np.maximum.at(table, terms[at], impact[at])
-            seen = np.unique(terms[at])
-            of.append(terms[post[0]])
+            at = _spans(begin[inside], begin[inside + 1] - begin[inside])
+            np.maximum.at(table, coord[at], value[at])
+            seen = np.flatnonzero(table)
             members.append(inside)
-            sizes.append(len(inside))
             coords.append(seen)
             tops.append(table[seen])
-            widths.append(len(seen))
             table[seen] = 0
-    flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-    return {"block_term": np.array(of, np.int32), "member_at": np.append(0, np.cumsum(sizes)).astype(np.int32),
-            "members": flat(members, np.int32), "summary_at": np.append(0, np.cumsum(widths)).astype(np.int32),
-            "coords": flat(coords, np.int32), "tops": flat(tops, np.int32)}
-
-
-_FORWARD = ("terms", "ptr", "impact")
-_BLOCKS = ("block_term", "member_at", "members", "summary_at", "coords", "tops")
+    borders = lambda parts: np.append(0, np.cumsum([len(p) for p in parts]))
+    out |= {"long_top": np.array(top), "long_at": np.append(0, np.cumsum(blocks_of)), "member_at": borders(members),
+            "members": np.concatenate(members) if members else np.zeros(0), "summary_at": borders(coords),
+            "coords": np.concatenate(coords) if coords else np.zeros(0), "tops": np.concatenate(tops) if tops else np.zeros(0)}
+    return {c: out[c].astype(kind) for c, kind in KINDS.items()}
 
 
 def _shards(batches: Iterator[pa.RecordBatch], vocabulary, documents: int, length: int) -> Iterator[pa.RecordBatch]:
@@ -160,17 +189,16 @@ def _shards(batches: Iterator[pa.RecordBatch], vocabulary, documents: int, lengt
         ids = pa.concat_arrays([h[0] for h in held])
         terms, impact = np.concatenate([h[1] for h in held]), np.concatenate([h[3] for h in held])
         ptr = np.append(0, np.cumsum(np.concatenate([h[2] for h in held])))
-        arrays = {"terms": terms.astype(np.int32), "ptr": ptr.astype(np.int32), "impact": impact.astype(np.int32),
-                  **build_shard(terms, ptr, impact, weights)}
+        arrays = build_shard(terms, ptr, impact, weights)
         ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-        return pa.RecordBatch.from_arrays([ids, *(pa.array([arrays[c].tobytes()], pa.binary()) for c in _FORWARD + _BLOCKS)],
-                                          names=["doc_ids", *_FORWARD, *_BLOCKS])
+        return pa.RecordBatch.from_arrays([ids, *(pa.array([arrays[c].tobytes()], pa.binary()) for c in KINDS)],
+                                          names=["doc_ids", *KINDS])
 
     for batch in batches:
         col, tfs = batch.column(2), batch.column(3)
         borders = np.asarray(col.offsets).astype(np.int64)
         h = np.asarray(col.values)[borders[0]:borders[-1]].view(np.uint64)
-        tf = np.asarray(tfs.values)[borders[0]:borders[-1]]
+        tf = np.asarray(tfs.values)[borders[0]:borders[-1]].astype(np.int64)
         of = np.repeat(np.arange(batch.num_rows), np.diff(borders))
         place = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
         known = hashes[place] == h if len(hashes) else np.zeros(len(h), bool)
@@ -197,42 +225,50 @@ def search_shard(ids: list, shard: dict[str, np.ndarray], weights: np.ndarray,
     """(query, document, score) of each query's best k documents above 0, and documents scored."""
     out, scored = [], 0
     q = np.zeros(len(weights), np.int64)
-    spread = np.diff(shard["summary_at"])
-    of_block = np.repeat(np.arange(len(spread)), spread)
     rank_of = np.empty(len(ids), np.int64)       # ascending doc_id, NULL last
     rank_of[sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0))] = np.arange(len(ids))
     ptr, terms, impact = (shard[c].astype(np.int64) for c in ("ptr", "terms", "impact"))
+    short_at, member_at, summary_at, long_at = (shard[c].astype(np.int64) for c in ("short_at", "member_at", "summary_at", "long_at"))
     for number, (coords, repeats) in enumerate(queries):
         q[coords] = repeats * weights[coords]
-        mine = np.flatnonzero(q[shard["block_term"]] > 0)
-        if len(mine):
-            inside = np.flatnonzero(q[shard["coords"]] > 0)
-            bound = np.zeros(len(spread), np.int64)
-            np.add.at(bound, of_block[inside], q[shard["coords"][inside]] * shard["tops"][inside])
-            mine = mine[np.argsort(-bound[mine], kind="stable")]
-            seen = np.zeros(len(ids), bool)
-            best = np.zeros((0, 2), np.int64)    # (score, document)
-            step = 0
-            while step < len(mine):
-                least = best[k - 1, 0] if len(best) >= k else 1
-                if bound[mine[step]] < least:
-                    break                        # no block from here on can reach the best k
-                # a few blocks at a time, those only that may still count
-                now = mine[step:step + 16]
-                now = now[bound[now] >= least]
-                step += len(now)
-                docs = np.unique(np.concatenate([shard["members"][shard["member_at"][b]:shard["member_at"][b + 1]] for b in now]))
-                docs = docs[~seen[docs]]
-                seen[docs] = True
-                scored += len(docs)
-                lengths = ptr[docs + 1] - ptr[docs]
-                at = np.repeat(ptr[docs] - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
-                edges = np.append(0, np.cumsum(lengths))
-                score = segment_sums(q[terms[at]] * impact[at], edges[:-1], edges[1:], np.int64)
-                here = np.stack([score, docs], 1)[score > 0]
-                best = np.concatenate([best, here])
-                best = best[np.lexsort((rank_of[best[:, 1]], -best[:, 0]))][:k]
-            out += [(number, int(d), int(s)) for s, d in best]
+        seen = np.zeros(len(ids), bool)
+        best = np.zeros((0, 2), np.int64)        # (score, document)
+
+        def score(docs: np.ndarray) -> None:
+            nonlocal best, scored
+            docs = np.unique(docs)
+            docs = docs[~seen[docs]].astype(np.int64)
+            seen[docs] = True
+            scored += len(docs)
+            lengths = ptr[docs + 1] - ptr[docs]
+            at, edges = _spans(ptr[docs], lengths), np.append(0, np.cumsum(lengths))
+            total = segment_sums(q[terms[at]] * impact[at], edges[:-1], edges[1:], np.int64)
+            best = np.concatenate([best, np.stack([total, docs], 1)[total > 0]])
+            best = best[np.lexsort((rank_of[best[:, 1]], -best[:, 0]))][:k]
+
+        mine = np.flatnonzero(q[shard["short_terms"]] > 0)
+        score(shard["short_docs"][_spans(short_at[mine], short_at[mine + 1] - short_at[mine])])
+        mine = np.flatnonzero(q[shard["long_terms"]] > 0)
+        here = q[shard["long_terms"]]
+        share = here[mine] * shard["long_top"][mine]
+        order = np.argsort(-share, kind="stable")
+        left = np.cumsum(share[order][::-1])[::-1]       # of this list and all that follow
+        for step, t in enumerate(mine[order]):
+            least = best[k - 1, 0] if len(best) >= k else 1
+            if left[step] < least:
+                break            # documents of none of the lists before cannot reach the best k
+            lo, hi = long_at[t], long_at[t + 1]
+            a, b = summary_at[lo], summary_at[hi]
+            product = here[shard["coords"][a:b]] * shard["tops"][a:b]
+            bound = segment_sums(product, summary_at[lo:hi] - a, summary_at[lo + 1:hi + 1] - a, np.int64)
+            rising = np.argsort(-bound, kind="stable")
+            for at in range(0, len(rising), 8):          # a few blocks at a time
+                now = rising[at:at + 8]
+                now = now[bound[now] >= (best[k - 1, 0] if len(best) >= k else 1)] + lo
+                if not len(now):
+                    break
+                score(shard["members"][_spans(member_at[now], member_at[now + 1] - member_at[now])])
+        out += [(number, int(d), int(s)) for s, d in best]
         q[coords] = 0
     return out, scored
 
@@ -242,7 +278,7 @@ def _search(batches: Iterator[pa.RecordBatch], shared, k: int, id_type: pa.DataT
     for batch in batches:
         for i in range(batch.num_rows):
             ids = batch.column(0)[i].as_py()
-            shard = {c: np.frombuffer(batch.column(j + 1)[i].as_py(), np.int32) for j, c in enumerate(_FORWARD + _BLOCKS)}
+            shard = {c: np.frombuffer(batch.column(j + 1)[i].as_py(), kind) for j, (c, kind) in enumerate(KINDS.items())}
             found, _ = search_shard(ids, shard, weights, queries, k)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[0] for f in found], pa.int32()), pa.array([ids[f[1]] for f in found], id_type),
@@ -276,7 +312,7 @@ def build_index(docs: DataFrame, terms: DataFrame) -> Index:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     shards = saved(vectors.mapInArrow(
         lambda it: _shards(it, vocabulary, documents, length),
-        f"doc_ids array<{id_type}>, " + ", ".join(f"{c} binary" for c in _FORWARD + _BLOCKS)), "search-shards")
+        f"doc_ids array<{id_type}>, " + ", ".join(f"{c} binary" for c in KINDS)), "search-shards")
     return Index(shards, hashes, weights, id_type)
 
 

@@ -50,6 +50,7 @@ def corpus(seed, n=300):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_equals_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(S, "BLOCK", 4)
+    monkeypatch.setattr(S, "DIRECT", 6)
     monkeypatch.setattr(S, "SHARD_DOCS", 64)
     docs, items = corpus(seed)
     assert ranked(spark, docs, items) == brute(docs, items)
@@ -83,14 +84,14 @@ def test_shards_are_bounded_and_blocks_are_skipped():
     weights = np.append(1, np.full(80, 900)).astype(np.int64)
     shard = {"terms": terms, "ptr": ptr, "impact": impact, **S.build_shard(terms, ptr, impact, weights)}
     # a summary is the greatest impact of each coordinate over the members
-    for b in (0, len(shard["block_term"]) // 2):
+    for b in (0, len(shard["member_at"]) // 2):
         rows = shard["members"][shard["member_at"][b]:shard["member_at"][b + 1]]
         want = collections.defaultdict(int)
         for r in rows:
             for t, v in zip(terms[ptr[r]:ptr[r + 1]], impact[ptr[r]:ptr[r + 1]]):
                 want[t] = max(want[t], v)
         at = slice(shard["summary_at"][b], shard["summary_at"][b + 1])
-        assert dict(zip(shard["coords"][at], shard["tops"][at])) == dict(want)
+        assert dict(zip(shard["long_terms"][shard["coords"][at]], shard["tops"][at])) == dict(want)
     query = (np.array([0, 3, 9]), np.array([1, 1, 1]))
     found, scored = S.search_shard(list(range(2000)), shard, weights, [query], 10)
     q = np.zeros(81, np.int64)
