@@ -12,13 +12,14 @@ list is cut into blocks of documents that are alike:
   sketch has the greatest inner product with its own; a large cluster is cut into runs by impact;
 * a block stores its documents and its *summary*, the greatest impact of each coordinate.
 
-A query scores the documents of its short lists first.  All others are 0 in those coordinates,
-so summaries leave them out, and a query's product with a summary bounds the score of every
-such document of the block, exactly: both are sums of the same integers.  The long lists
-follow by falling greatest share of the score.  A block is skipped when its bound is below the
-k-th best score so far, the rest of the lists when all their greatest shares together are
-(equal bounds are visited, as a smaller doc_id may win).  The best k of each shard are merged
-by Spark.
+A first round scores the documents of each query's strongest list in every shard; the k-th
+best score over all shards is a floor that the second round starts from.  It visits a query's
+lists by falling *share*, the greatest that a list can add to a score.  A short list's documents
+are scored; a block of a long list is skipped when its bound is below the floor or the k-th best
+score so far (equal bounds are visited, as a smaller doc_id may win).  The bound is exact: the
+query's product with the summary, plus the shares of the short lists still to come, as
+summaries hold the long lists' coordinates only.  The query ends when the shares of all lists
+to come are too little together.  The best k of each shard are merged by Spark.
 
 The index holds the coordinates of a given set of terms, those of the queries: the score
 uses no others, and the whole vocabulary of a corpus has no size bound.
@@ -41,14 +42,15 @@ from pyspark.sql import functions as F
 
 from eventscope.llm.common import (blocks, bound_batches, byte_table, hash_filter, passes, prefix_hash, saved,
                                    segment_sums, seeded, span_hashes, word_spans)
+from eventscope.session import work_path
 
 #: Terms of ``[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+`` of the text with A-Z lower-cased.
 TERMS = byte_table(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128, lower=True)
 SATURATION, FLATTENING = 8, 75     # of a document's length, in tenths and hundredths
 DIMENSIONS = 32                    # of a sketch
-DIRECT = 64                        # shorter posting lists of a shard have no blocks
-BLOCK = 128                        # documents per block, about
-SHARD_POSTINGS = 1 << 19           # postings in a shard, so less than 2^16 long lists
+DIRECT = 128                       # shorter posting lists of a shard have no blocks
+BLOCK = 64                         # documents per block, about
+SHARD_POSTINGS = 1 << 18           # postings in a shard, so less than 2^16 long lists
 SHARD_DOCS = 1 << 13
 QUERY_TERMS = 1 << 18              # terms of the queries that are answered together
 
@@ -128,7 +130,7 @@ def sketches(terms: np.ndarray, ptr: np.ndarray, strength: np.ndarray) -> np.nda
 
 #: Arrays of a shard: forward vectors; short lists; long lists, their blocks and summaries.
 KINDS = {"terms": np.int32, "ptr": np.int32, "impact": np.int32,
-         "short_terms": np.int32, "short_at": np.int32, "short_docs": np.uint16,
+         "short_terms": np.int32, "short_top": np.int32, "short_at": np.int32, "short_docs": np.uint16,
          "long_terms": np.int32, "long_top": np.int32, "long_at": np.int32,
          "member_at": np.int32, "members": np.uint16, "summary_at": np.int32, "coords": np.uint16, "tops": np.int32}
 
@@ -145,9 +147,10 @@ def build_shard(terms: np.ndarray, ptr: np.ndarray, impact: np.ndarray, weights:
     cuts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(order) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(cuts, len(order)))
     short, long = sizes < DIRECT, sizes >= DIRECT
-    out = {"terms": terms, "ptr": ptr, "impact": impact, "short_terms": ranked[cuts[short]],
+    tops_of = np.maximum.reduceat(impact[order], cuts) if len(cuts) else np.zeros(0)
+    out = {"terms": terms, "ptr": ptr, "impact": impact, "short_terms": ranked[cuts[short]], "short_top": tops_of[short],
            "short_at": np.append(0, np.cumsum(sizes[short])), "short_docs": docs[order[_spans(cuts[short], sizes[short])]],
-           "long_terms": ranked[cuts[long]]}
+           "long_terms": ranked[cuts[long]], "long_top": tops_of[long]}
     number = np.full(int(terms.max(initial=0)) + 1, -1, np.int64)
     number[out["long_terms"]] = np.arange(int(long.sum()))
     # vectors over the long lists' coordinates
@@ -155,12 +158,11 @@ def build_shard(terms: np.ndarray, ptr: np.ndarray, impact: np.ndarray, weights:
     coord, value = number[terms[kept]], impact[kept]
     begin = np.append(0, np.cumsum(np.bincount(docs[kept], minlength=len(ptr) - 1)))
     sketch = sketches(terms, ptr, (impact * weights[terms]).astype(np.float32)) if long.any() else None
-    top, blocks_of, members, coords, tops = [], [], [], [], []
+    blocks_of, members, coords, tops = [], [], [], []
     table = np.zeros(int(long.sum()), np.int64)
     for a, n in zip(cuts[long], sizes[long]):
         post = order[a:a + n]
         mine = docs[post]
-        top.append(impact[post].max())
         parts = _clusters(sketch[mine], impact[post])
         blocks_of.append(len(parts))
         for block in parts:
@@ -168,12 +170,12 @@ def build_shard(terms: np.ndarray, ptr: np.ndarray, impact: np.ndarray, weights:
             at = _spans(begin[inside], begin[inside + 1] - begin[inside])
             np.maximum.at(table, coord[at], value[at])
             seen = np.flatnonzero(table)
-            members.append(inside)
-            coords.append(seen)
-            tops.append(table[seen])
+            members.append(inside.astype(np.uint16))
+            coords.append(seen.astype(np.uint16))
+            tops.append(table[seen].astype(np.int32))
             table[seen] = 0
     borders = lambda parts: np.append(0, np.cumsum([len(p) for p in parts]))
-    out |= {"long_top": np.array(top), "long_at": np.append(0, np.cumsum(blocks_of)), "member_at": borders(members),
+    out |= {"long_at": np.append(0, np.cumsum(blocks_of)), "member_at": borders(members),
             "members": np.concatenate(members) if members else np.zeros(0), "summary_at": borders(coords),
             "coords": np.concatenate(coords) if coords else np.zeros(0), "tops": np.concatenate(tops) if tops else np.zeros(0)}
     return {c: out[c].astype(kind) for c, kind in KINDS.items()}
@@ -221,21 +223,30 @@ def _shards(batches: Iterator[pa.RecordBatch], vocabulary, documents: int, lengt
 
 
 def search_shard(ids: list, shard: dict[str, np.ndarray], weights: np.ndarray,
-                 queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[list[tuple[int, int, int]], int]:
-    """(query, document, score) of each query's best k documents above 0, and documents scored."""
+                 queries: list[tuple[np.ndarray, np.ndarray, int]], k: int, probe: bool = False
+                 ) -> tuple[list[tuple[int, int, int]], int]:
+    """(query, document, score) of each query's best k documents above 0, and documents scored.
+
+    A query is (coordinates, repeats, floor); documents below the floor may be missing.
+    ``probe``: look no further than the first k documents.
+    """
     out, scored = [], 0
     q = np.zeros(len(weights), np.int64)
     rank_of = np.empty(len(ids), np.int64)       # ascending doc_id, NULL last
     rank_of[sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0))] = np.arange(len(ids))
     ptr, terms, impact = (shard[c].astype(np.int64) for c in ("ptr", "terms", "impact"))
     short_at, member_at, summary_at, long_at = (shard[c].astype(np.int64) for c in ("short_at", "member_at", "summary_at", "long_at"))
-    for number, (coords, repeats) in enumerate(queries):
+    lists = np.concatenate([shard["short_terms"], shard["long_terms"]])
+    top = np.concatenate([shard["short_top"], shard["long_top"]])
+    shorts = len(shard["short_terms"])
+    for number, (coords, repeats, floor) in enumerate(queries):
         q[coords] = repeats * weights[coords]
         seen = np.zeros(len(ids), bool)
         best = np.zeros((0, 2), np.int64)        # (score, document)
+        least = max(floor, 1)
 
         def score(docs: np.ndarray) -> None:
-            nonlocal best, scored
+            nonlocal best, scored, least
             docs = np.unique(docs)
             docs = docs[~seen[docs]].astype(np.int64)
             seen[docs] = True
@@ -243,29 +254,32 @@ def search_shard(ids: list, shard: dict[str, np.ndarray], weights: np.ndarray,
             lengths = ptr[docs + 1] - ptr[docs]
             at, edges = _spans(ptr[docs], lengths), np.append(0, np.cumsum(lengths))
             total = segment_sums(q[terms[at]] * impact[at], edges[:-1], edges[1:], np.int64)
-            best = np.concatenate([best, np.stack([total, docs], 1)[total > 0]])
+            best = np.concatenate([best, np.stack([total, docs], 1)[total >= least]])
             best = best[np.lexsort((rank_of[best[:, 1]], -best[:, 0]))][:k]
+            if len(best) >= k:
+                least = max(least, int(best[k - 1, 0]))
 
-        mine = np.flatnonzero(q[shard["short_terms"]] > 0)
-        score(shard["short_docs"][_spans(short_at[mine], short_at[mine + 1] - short_at[mine])])
-        mine = np.flatnonzero(q[shard["long_terms"]] > 0)
         here = q[shard["long_terms"]]
-        share = here[mine] * shard["long_top"][mine]
-        order = np.argsort(-share, kind="stable")
-        left = np.cumsum(share[order][::-1])[::-1]       # of this list and all that follow
-        for step, t in enumerate(mine[order]):
-            least = best[k - 1, 0] if len(best) >= k else 1
-            if left[step] < least:
+        share = q[lists] * top
+        mine = np.flatnonzero(share)
+        mine = mine[np.argsort(-share[mine], kind="stable")]
+        left = np.cumsum(share[mine][::-1])[::-1]        # of this list and all that follow
+        short_left = np.cumsum((share[mine] * (mine < shorts))[::-1])[::-1]
+        for step, t in enumerate(mine):
+            if left[step] < least or probe and len(best) >= k:
                 break            # documents of none of the lists before cannot reach the best k
-            lo, hi = long_at[t], long_at[t + 1]
+            if t < shorts:
+                score(shard["short_docs"][short_at[t]:short_at[t + 1]])
+                continue
+            lo, hi = long_at[t - shorts], long_at[t - shorts + 1]
             a, b = summary_at[lo], summary_at[hi]
             product = here[shard["coords"][a:b]] * shard["tops"][a:b]
-            bound = segment_sums(product, summary_at[lo:hi] - a, summary_at[lo + 1:hi + 1] - a, np.int64)
-            rising = np.argsort(-bound, kind="stable")
-            for at in range(0, len(rising), 8):          # a few blocks at a time
-                now = rising[at:at + 8]
-                now = now[bound[now] >= (best[k - 1, 0] if len(best) >= k else 1)] + lo
-                if not len(now):
+            bound = segment_sums(product, summary_at[lo:hi] - a, summary_at[lo + 1:hi + 1] - a, np.int64) + short_left[step]
+            falling = np.argsort(-bound, kind="stable")
+            for at in range(0, len(falling), 8):         # a few blocks at a time
+                now = falling[at:at + 8]
+                now = now[bound[now] >= least] + lo
+                if not len(now) or probe and len(best) >= k:
                     break
                 score(shard["members"][_spans(member_at[now], member_at[now + 1] - member_at[now])])
         out += [(number, int(d), int(s)) for s, d in best]
@@ -273,13 +287,13 @@ def search_shard(ids: list, shard: dict[str, np.ndarray], weights: np.ndarray,
     return out, scored
 
 
-def _search(batches: Iterator[pa.RecordBatch], shared, k: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], shared, k: int, id_type: pa.DataType, probe: bool) -> Iterator[pa.RecordBatch]:
     weights, queries = shared.value
     for batch in batches:
         for i in range(batch.num_rows):
             ids = batch.column(0)[i].as_py()
             shard = {c: np.frombuffer(batch.column(j + 1)[i].as_py(), kind) for j, (c, kind) in enumerate(KINDS.items())}
-            found, _ = search_shard(ids, shard, weights, queries, k)
+            found, _ = search_shard(ids, shard, weights, queries, k, probe)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[0] for f in found], pa.int32()), pa.array([ids[f[1]] for f in found], id_type),
                  pa.array([f[2] for f in found], pa.int64())], names=["query", "doc_id", "score"])
@@ -310,9 +324,13 @@ def build_index(docs: DataFrame, terms: DataFrame) -> Index:
     weights = np.array([weight(documents, int(x)) for x in df["df"].to_numpy()[order]], np.int64)
     vocabulary = spark.sparkContext.broadcast((hashes, weights))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    shards = saved(vectors.mapInArrow(
+    shards = vectors.mapInArrow(
         lambda it: _shards(it, vocabulary, documents, length),
-        f"doc_ids array<{id_type}>, " + ", ".join(f"{c} binary" for c in KINDS)), "search-shards")
+        f"doc_ids array<{id_type}>, " + ", ".join(f"{c} binary" for c in KINDS))
+    path = work_path(spark, "llm", "search-shards")
+    # a shard's row is some MB: few of them may wait in a writer
+    shards.write.option("parquet.block.row.count.limit", 4).parquet(path)
+    shards = spark.read.schema(shards.schema).parquet(path)
     return Index(shards, hashes, weights, id_type)
 
 
@@ -325,16 +343,21 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
         place = np.minimum(np.searchsorted(index.hashes, h), max(len(index.hashes) - 1, 0))
         known = index.hashes[place] == h if len(index.hashes) else np.zeros(len(h), bool)
         packed.append((row["query"], place[known], np.array(row["tfs"], np.int64)[known]))
-    numbers = np.array([p[0] for p in packed], np.int64)
-    shared = index.shards.sparkSession.sparkContext.broadcast((index.weights, [p[1:] for p in packed]))
+    spark = index.shards.sparkSession
     arrow_type = to_arrow_type(index.shards.schema["doc_ids"].dataType.elementType)
-    found = index.shards.mapInArrow(lambda it: _search(it, shared, k, arrow_type),
-                                    f"query int, doc_id {index.id_type}, score long")
     # best k of the shards' best k: bounded rows per query
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    names = index.shards.sparkSession.createDataFrame(
-        [(i, int(x)) for i, x in enumerate(numbers)], "place int, number long")
+
+    def best(floors: dict[int, int], probe: bool) -> DataFrame:
+        shared = spark.sparkContext.broadcast(
+            (index.weights, [(coords, tfs, floors.get(i, 0)) for i, (_, coords, tfs) in enumerate(packed)]))
+        found = index.shards.mapInArrow(lambda it: _search(it, shared, k, arrow_type, probe),
+                                        f"query int, doc_id {index.id_type}, score long")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    floors = {r["query"]: r["score"] for r in best({}, True).where(F.col("rank") == k).collect()}    # one row per query
+    names = spark.createDataFrame([(i, int(p[0])) for i, p in enumerate(packed)], "place int, number long")
+    ranked = best(floors, False)
     return (ranked.join(F.broadcast(names), ranked["query"] == names["place"])       # one row per query of the batch
             .select(F.col("number").alias("query"), "rank", "doc_id", "score"))
 

@@ -92,7 +92,7 @@ def test_shards_are_bounded_and_blocks_are_skipped():
                 want[t] = max(want[t], v)
         at = slice(shard["summary_at"][b], shard["summary_at"][b + 1])
         assert dict(zip(shard["long_terms"][shard["coords"][at]], shard["tops"][at])) == dict(want)
-    query = (np.array([0, 3, 9]), np.array([1, 1, 1]))
+    query = (np.array([0, 3, 9]), np.array([1, 1, 1]), 0)
     found, scored = S.search_shard(list(range(2000)), shard, weights, [query], 10)
     q = np.zeros(81, np.int64)
     q[query[0]] = weights[query[0]]
@@ -100,6 +100,10 @@ def test_shards_are_bounded_and_blocks_are_skipped():
     best = sorted(((-s, k) for k, s in enumerate(scores) if s > 0))[:10]
     assert [(d, s) for _, d, s in found] == [(k, -s) for s, k in best]
     assert scored < 1000       # every document holds coordinate 0
+    floored, fewer = S.search_shard(list(range(2000)), shard, weights, [(*query[:2], -best[9][0])], 10)
+    assert floored == found and fewer <= scored
+    probed, first = S.search_shard(list(range(2000)), shard, weights, [query], 10, probe=True)
+    assert len(probed) == 10 and first <= scored and all(s == scores[d] for _, d, s in probed)
 
 
 def test_impacts_of_a_huge_corpus():
