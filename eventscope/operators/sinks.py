@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,17 +26,83 @@ def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     csv_ready(df).write.mode(mode).option("header", True).csv(path)
 
 
+POINTER = "_current"
+
+
+def publish_file(spark, path: str, text: str) -> None:
+    """Put a small file in place by rename: a reader sees all of the old one or all of the new."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_draft-{uuid.uuid4().hex}")
+    out = target.getFileSystem(conf).create(draft, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    options = jvm.org.apache.hadoop.fs.Options.Rename
+    kind = spark._sc._gateway.new_array(options, 1)
+    kind[0] = options.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, kind)
+
+
+def current_log(spark, path: str) -> str:
+    """The folder that holds a log's lines: the one its pointer names, else the path itself."""
+    base = path.rstrip("/")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    if not base or any(c in base for c in "*?[{"):
+        return path
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}")
+    fs = pointer.getFileSystem(conf)
+    if not fs.exists(pointer):
+        return path
+    stream = fs.open(pointer)
+    try:
+        return f"{base}/{bytes(stream.readAllBytes()).decode().strip()}"
+    finally:
+        stream.close()
+
+
 def write_event_log(df: DataFrame, path: str, mode: str = "append",
                     compression: str | None = None) -> None:
     """K7 (``append``) / K8 (``overwrite``): newline-delimited JSON event log.
 
-    NULL fields are left out of each line.  Overwrite replaces the folder as a whole
-    (the job commit protocol swaps in the new files only after all tasks succeed).
+    NULL fields are left out of each line.  ``overwrite`` writes a new version folder and then
+    switches the log's pointer to it by one rename: a job that fails leaves the old log as it
+    is, and readers (``read_event_log``, ``stream_event_log``) see the old lines or the new
+    ones.  The version before stays for readers that have begun; older ones, and lines that lay
+    in the folder itself before its first replacement, are removed after the switch.  Where there
+    is no log yet, there is nothing to replace: the lines lie in the folder itself.
     """
-    w = df.write.mode(mode)
+    spark, base = df.sparkSession, path.rstrip("/")
+    old = current_log(spark, base)
+    if mode == "overwrite":
+        p = spark._jvm.org.apache.hadoop.fs.Path(base)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        mode = "overwrite" if fs.exists(p) and len(fs.listStatus(p)) else "append"
+    if mode == "overwrite":
+        version = f"_versions/{uuid.uuid4().hex}"
+        target = f"{base}/{version}"
+    else:
+        target = old
+    w = df.write.mode("append" if mode == "overwrite" else mode)
     if compression:
         w = w.option("compression", compression)
-    w.json(path)
+    w.json(target)
+    if mode == "overwrite":
+        publish_file(spark, f"{base}/{POINTER}", version)
+        _remove_stale(spark, base, {target, old})
+
+
+def _remove_stale(spark, base: str, keep: set[str]) -> None:
+    names = {k.rsplit("/", 1)[-1] for k in keep}
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in (base, f"{base}/_versions"):
+        p = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = p.getFileSystem(conf)
+        for f in fs.listStatus(p):
+            name = f.getPath().getName()
+            if name not in names and (folder != base or not name.startswith("_")):
+                fs.delete(f.getPath(), True)
 
 
 def write_event_table_batch(df: DataFrame, path: str, partition_by: str = "event_type",

@@ -378,3 +378,42 @@ SELECT CASE WHEN row_id % 10 = 1 THEN 'unparsed' WHEN row_id % 10 IN (2, 3, 4) T
     "stream_fanout": _sql("""
 SELECT event_type, count(*) AS json_events, count(*) AS csv_events FROM x_events GROUP BY 1"""),
 })
+
+_EVENT_ROWS = f"""
+SELECT e.event_id, e.event_type, e.ts, k.product_count FROM {_EVENTS_WITH_COUNTS}"""
+
+ORACLE.update({
+    # S5; K7, K8, S2, S3
+    "stream_log_tail": _sql(_EVENT_ROWS),
+    "log_replace": _sql(_EVENT_ROWS),
+    # By row_id % 4: 1 v1, 2 v0, else v2; a flat event without category has the shape of v1
+    "stream_mixed_topic": _sql(f"""
+, s AS (
+  SELECT e.row_id, e.event_id, e.event_type, e.ts, k.product_count, k.first_raw, e.row_id % 10 = 1 AS malformed,
+         CASE WHEN e.row_id % 4 = 2 AND k.first_raw IS NOT NULL THEN 'v0' WHEN e.row_id % 4 IN (1, 2) THEN 'v1' ELSE 'v2' END AS shape
+  FROM {_EVENTS_WITH_COUNTS})
+SELECT row_id, CASE WHEN NOT malformed THEN shape END AS shape, CASE WHEN NOT malformed THEN event_id END AS event_id,
+       CASE WHEN NOT malformed THEN event_type END AS event_type, CASE WHEN NOT malformed THEN ts END AS ts,
+       CAST(CASE WHEN malformed THEN 0 WHEN shape = 'v0' THEN 1 WHEN row_id % 4 = 2 THEN 0 ELSE product_count END AS BIGINT) AS product_count,
+       CASE WHEN NOT malformed THEN first_raw END AS first_category, malformed
+FROM s"""),
+    # By row_id % 10 as in stream_malformed
+    "stream_one_pass": _sql(f"""
+, s AS (SELECT e.row_id % 10 IN (1, 2, 3, 4) AS bad, e.event_id, e.event_type, e.ts, k.product_count FROM {_EVENTS_WITH_COUNTS})
+SELECT CASE WHEN bad THEN 'malformed' ELSE 'event' END AS kind, CASE WHEN NOT bad THEN event_id END AS event_id,
+       CASE WHEN NOT bad THEN event_type END AS event_type, CASE WHEN NOT bad THEN ts END AS ts,
+       CASE WHEN NOT bad THEN product_count END AS product_count
+FROM s"""),
+    # F1, F2, S4 by file index
+    "store_window": _sql(f"""
+SELECT e.event_id, e.event_type, e.ts, k.product_count FROM {_EVENTS_WITH_COUNTS}
+WHERE e.{W24} AND e.event_type IN ('purchase', 'add_to_cart')"""),
+    # K5
+    "csv_export": _sql(f"""
+SELECT e.row_id, e.event_id, e.event_type, k.product_categories, k.product_count FROM {_EVENTS_WITH_COUNTS}"""),
+    # U1, N4, N5b, N11, F7, N15
+    "uneven_batches": _sql("""
+SELECT row_id, CASE WHEN row_id % 3 <> 1 THEN event_id END AS event_id, event_type, date_trunc('second', ts) AS ts,
+       CASE WHEN row_id % 3 = 2 THEN 'Mobile' END AS device, CAST(NULL AS VARCHAR) AS ip
+FROM x_events WHERE row_id % 7 <> 0 AND row_id % 11 <> 0 AND NOT (row_id % 3 = 0 AND row_id % 5 = 0)"""),
+})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from eventscope.operators.sinks import current_log
 from eventscope.schema import EVENT_LOG_SCHEMA
 
 CORRUPT = "_corrupt_record"
@@ -22,8 +23,10 @@ def read_event_log(spark: SparkSession, path: str, mode: str = "PERMISSIVE",
 
     ``PERMISSIVE`` keeps malformed lines in ``_corrupt_record`` (route them with
     ``filters.valid_records`` / ``malformed_records``); ``FAILFAST`` raises on the first
-    bad line (S3); ``DROPMALFORMED`` skips them.
+    bad line (S3); ``DROPMALFORMED`` skips them.  Of a log that is replaced as a whole (K8)
+    the current version is read.
     """
+    path = current_log(spark, path)
     r = spark.read.option("mode", mode)
     if mode.upper() == "PERMISSIVE":
         schema = with_corrupt_column(schema)
@@ -58,7 +61,7 @@ def stream_event_log(spark: SparkSession, directory: str, schema: T.StructType =
          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.json(directory)
+    return r.json(current_log(spark, directory))
 
 
 def load_events_strict(spark: SparkSession, path: str, schema: T.StructType = EVENT_LOG_SCHEMA) -> DataFrame:

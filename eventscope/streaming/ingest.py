@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,6 +17,13 @@ from eventscope.sources.files import CORRUPT
 from eventscope.sources.kafka import parse_records, read_kafka_events
 
 
+def is_malformed(parsed: DataFrame) -> Column:
+    """Whether a parsed row is no event: its text is in the corrupt column, or it has no field."""
+    fields = [F.col(c).isNull() for c in parsed.columns if c != CORRUPT]
+    none = reduce(lambda a, b: a & b, fields)      # a line without any field ({}) is no event either
+    return F.col(CORRUPT).isNotNull() | none if CORRUPT in parsed.columns else F.lit(False)
+
+
 def split_malformed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows without the corrupt column, malformed rows with their raw text).
 
@@ -25,9 +32,7 @@ def split_malformed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     if CORRUPT not in parsed.columns:
         return parsed, parsed.where(F.lit(False))
-    # a line without any field ({}) is no event either
-    fields = [F.col(c).isNull() for c in parsed.columns if c != CORRUPT]
-    is_bad = F.col(CORRUPT).isNotNull() | reduce(lambda a, b: a & b, fields)
+    is_bad = is_malformed(parsed)
     return parsed.where(~is_bad).drop(CORRUPT), parsed.where(is_bad)
 
 
