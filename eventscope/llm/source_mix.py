@@ -132,17 +132,17 @@ def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int],
 
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     """The bucket in which a pattern's words run out: documents in seeded order, each taken
-    if it still fits."""
+    if it still fits.  A document without words fills nothing and is not taken once more."""
     rows = rows.sort_values(["rank", "doc_key", "size", "key"], kind="stable")
     sizes = rows["size"].to_numpy()
     left, extra = int(rows["room"].iloc[0]) if len(rows) else 0, np.zeros(len(rows), np.int64)
     for k, size in enumerate(sizes):
-        if size <= left:
+        if 0 < size <= left:
             extra[k] = 1
             left -= int(size)
     # what is left: swap a taken document for another (or for none) while that comes nearer
     while left:
-        give, take = np.flatnonzero(extra), np.flatnonzero(extra == 0)
+        give, take = np.flatnonzero(extra), np.flatnonzero((extra == 0) & (sizes > 0))
         have = np.append(0, sizes[give])
         order = np.argsort(have, kind="stable")
         gain = np.append(0, sizes[take])
@@ -224,7 +224,7 @@ def _copies(docs: DataFrame, sources: Column, carried: list[str], share: float =
     dealt = dealt.join(F.broadcast(fill), "pattern", "left")    # again one row per pattern
     columns = ["row", "pattern", "size", "copies"]
     whole = dealt.where("bucket <> cut OR cut IS NULL").withColumn(
-        "copies", F.col("copies") + F.when(F.col("bucket") < F.col("cut"), 1).otherwise(0)).select(*columns)
+        "copies", F.col("copies") + F.when((F.col("bucket") < F.col("cut")) & (F.col("size") > 0), 1).otherwise(0)).select(*columns)
     edge = dealt.where("bucket = cut")
     filled = edge.select("pattern", "key", "doc_key", "rank", "size", "copies", F.col("left").alias("room")).groupBy(
         "pattern").applyInPandas(_fill, "key long, copies long")

@@ -156,19 +156,22 @@ _encoders: dict[str, Encoder] = {}
 def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, end_id: int,
            wide: bool) -> Iterator[pa.RecordBatch]:
     enc = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
+    from pyspark import TaskContext
     kind = np.dtype("<u4" if wide else "<u2")
+    part, number = TaskContext.get().partitionId(), 0
     keys, counts, held, size = [], [], [], 0
     last, copy = object(), 0
 
     def flush() -> pa.RecordBatch:
-        nonlocal keys, counts, held, size
+        nonlocal keys, counts, held, size, number
         path = write_bytes(folder, "shard", *held)
         n = np.concatenate(counts)
         rows = pa.RecordBatch.from_arrays(
             [pa.array([path] * len(n)), pa.concat_arrays([k for k, _ in keys]),
-             pa.array(np.concatenate([c for _, c in keys])), pa.array(np.cumsum(n) - n), pa.array(n)],
-            names=["path", "doc_id", "copy", "offset", "n"])
-        keys, counts, held, size = [], [], [], 0
+             pa.array(np.concatenate([c for _, c in keys])), pa.array(np.cumsum(n) - n), pa.array(n),
+             pa.array(np.full(len(n), part, np.int32)), pa.array(np.full(len(n), number, np.int32))],
+            names=["path", "doc_id", "copy", "offset", "n", "part", "number"])
+        keys, counts, held, size, number = [], [], [], 0, number + 1
         return rows
 
     for batch in batches:
@@ -205,17 +208,22 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataF
     rows = (docs.select("doc_id", F.col("text").cast("string").alias("text"))
             .repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
             .mapInArrow(lambda it: _write(it, tokenizer, folder, end_id, wide),
-                        f"path string, doc_id {id_type}, copy long, offset long, n long"))
+                        f"path string, doc_id {id_type}, copy long, offset long, n long, part int, number int"))
     rows = saved(rows, "token-rows")
-    # one row per shard: the order of the shards is that of their first documents
-    shards = rows.groupBy("path").agg(
-        F.min(F.struct(F.col("doc_id"), "copy")).alias("first"), F.sum("n").cast("long").alias("ids"))
-    order = Window.orderBy("first")
-    shards = saved(shards.select(
-        "path", (F.row_number().over(order) - 1).alias("shard"),
-        (F.sum("ids").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("ids")).alias("before"),
+    # shards lie in the order of their range partition and of their writing there: running sums
+    # go over the partitions once (one row each), and over the shards of each partition
+    shards = rows.groupBy("part", "number", "path").agg(F.sum("n").cast("long").alias("ids"))
+    inside = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    parts = shards.groupBy("part").agg(F.sum("ids").alias("ids"), F.count("*").alias("shards")).select(
+        "part", F.coalesce(F.sum("ids").over(over), zero).alias("ids_before"),
+        F.coalesce(F.sum("shards").over(over), zero).alias("shards_before"))
+    shards = saved(shards.join(parts, "part").select(
+        "path", (F.col("shards_before") + F.col("number")).cast("long").alias("shard"),
+        (F.col("ids_before") + F.coalesce(F.sum("ids").over(inside), zero)).alias("before"),
         F.lit(4 if wide else 2).alias("width")), "token-shard-list")
-    return rows.join(F.broadcast(shards), "path")
+    return rows.drop("part", "number").join(shards, "path")
 
 
 def key_of(doc_id: Column, copy: Column) -> Column:
@@ -245,7 +253,7 @@ def _first_seed(mine: np.ndarray, taken: np.ndarray) -> tuple[int, np.ndarray]:
 
 
 def build_mph(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds and slots of a minimal perfect hash of distinct 64-bit hashes.
+    """Seeds and slots of a minimal perfect hash of distinct 64-bit hashes (see :func:`salted`).
 
     Keys fall into groups of about four; from the largest group on, each takes the first
     seed that sends its keys to free slots; a lone key's seed is a free slot itself
@@ -268,6 +276,19 @@ def build_mph(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return seeds, slots
 
 
+def salted(hashes: np.ndarray, prints: np.ndarray, salt: int) -> np.ndarray:
+    """The hashes that place a bucket's keys: their own, or mixed with their second hash."""
+    return hashes if salt == 0 else mix64(hashes + mix64(prints + np.uint64(salt)))
+
+
+def distinct_salt(hashes: np.ndarray, prints: np.ndarray) -> int:
+    """The first salt under which no two keys of a bucket share a hash."""
+    for salt in range(64):
+        if len(np.unique(salted(hashes, prints, salt))) == len(hashes):
+            return salt
+    raise ValueError("two keys agree in both of their 64-bit hashes")
+
+
 def slot_of(hashes: np.ndarray, seed, n: int) -> np.ndarray:
     """Slots of hashes under a seed (a number or an array)."""
     seed = np.atleast_1d(np.asarray(seed, np.int64))
@@ -286,25 +307,26 @@ def find(hashes: np.ndarray, prints: np.ndarray, seeds: np.ndarray, records: np.
 
 
 def build_index(catalogue: DataFrame) -> DataFrame:
-    """(bucket, buckets, seeds, records): the perfect hash index of a catalogue."""
+    """(bucket, buckets, salt, seeds, records): the perfect hash index of a catalogue."""
     keys = catalogue.count()
     buckets = max(1, -(-keys // BUCKET_KEYS))
     place, fingerprint = _hashed(key_of(F.col("doc_id"), F.col("copy")))
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        h = rows["h"].to_numpy().view(np.uint64)
-        seeds, slots = build_mph(h)
+        h, f = rows["h"].to_numpy().view(np.uint64), rows["f"].to_numpy().view(np.uint64)
+        salt = distinct_salt(h, f)
+        seeds, slots = build_mph(salted(h, f, salt))
         records = np.zeros(len(h), RECORD)
-        records["print"][slots] = rows["f"].to_numpy().view(np.uint64).astype(np.uint32)
+        records["print"][slots] = f.astype(np.uint32)
         for name in ("shard", "offset", "n"):
             records[name][slots] = rows[name]
-        return pd.DataFrame({"bucket": [key[0]], "buckets": [buckets],
+        return pd.DataFrame({"bucket": [key[0]], "buckets": [buckets], "salt": [salt],
                              "seeds": [seeds.tobytes()], "records": [records.tobytes()]})
 
     return saved(catalogue.select(place.alias("h"), fingerprint.alias("f"), "shard", "offset", "n")
                  .withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
                  .groupBy("bucket").applyInPandas(
-                     build, "bucket long, buckets long, seeds binary, records binary"), "token-index")
+                     build, "bucket long, buckets long, salt long, seeds binary, records binary"), "token-index")
 
 
 def lookup(keys: DataFrame, index: DataFrame) -> DataFrame:
@@ -320,7 +342,8 @@ def lookup(keys: DataFrame, index: DataFrame) -> DataFrame:
         out = rows[["doc_id", "copy"]].copy()
         seeds = np.frombuffer(entry["seeds"].iloc[0], np.int32) if len(entry) else np.zeros(1, np.int32)
         records = np.frombuffer(entry["records"].iloc[0], RECORD) if len(entry) else np.zeros(0, RECORD)
-        got, ok = find(rows["h"].to_numpy().view(np.uint64), rows["f"].to_numpy().view(np.uint64), seeds, records)
+        h, f = rows["h"].to_numpy().view(np.uint64), rows["f"].to_numpy().view(np.uint64)
+        got, ok = find(salted(h, f, int(entry["salt"].iloc[0]) if len(entry) else 0), f, seeds, records)
         for name in ("shard", "offset", "n"):
             out[name] = pd.array(got[name].astype(np.int64), "Int64")
             out.loc[~ok, name] = pd.NA
@@ -355,7 +378,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_back(keys: DataFrame, index: DataFrame, catalogue: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of keys, found by the index and read from the
     shard files."""
-    shards = F.broadcast(catalogue.select("shard", "path", "before", "width").distinct())   # a row per shard
+    shards = catalogue.select("shard", "path", "before", "width").distinct()
     id_type = keys.schema["doc_id"].dataType.simpleString()
     parts = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return (lookup(keys, index).join(shards, "shard")

@@ -126,3 +126,16 @@ def test_flow_of_many_single_sources():
     flow = min_cost_flow(supply + [10, 3], members, quota + [7, 9], 2)
     assert all(f.get(k, 0) == min(quota[k], 2 * supply[k]) for k, f in enumerate(flow[:n]))
     assert sum(sum(f.values()) for f in flow[n:]) == 16
+
+
+def test_documents_without_words_stay_within_the_repeats(spark):
+    # b's target is its cap, twice its size; wordless rows stand in every bucket
+    rows = [(k, "w " * 5, "a") for k in range(400)] + [(1000 + k, "x y z", "b") for k in range(5)]
+    rows += [(2000 + k, None if k % 2 else " ", "b" if k % 3 else "a") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for bucket_rows in (4, 4096):
+        got, sources = mix(docs, F.array("source"), weights=(1, 50), bucket_rows=bucket_rows)
+        got = got.collect()
+        b = {r["source"]: r for r in sources.collect()}["b"]
+        assert b["target"] == 2 * b["source_size"] == sum(r["size"] * r["copies"] for r in got if r["pattern"] == ["b"])
+        assert all(0 <= r["copies"] <= 2 for r in got)

@@ -72,3 +72,37 @@ def test_perfect_hash(n):
     got, ok = find(h, np.arange(n).astype(np.uint64), seeds, records)
     assert ok.all() and got["offset"].tolist() == list(range(n))
     assert slot_of(h[:1], np.array([-4]), n)[0] == 3
+
+
+def test_keys_of_equal_hashes_are_told_apart():
+    from eventscope.llm.token_index import distinct_salt, salted
+    h = np.array([5, 5, 9, 5, 7], np.uint64)
+    f = np.array([1, 2, 3, 4, 5], np.uint64)
+    salt = distinct_salt(h, f)
+    assert salt > 0 and distinct_salt(h[1:3], f[1:3]) == 0
+    seeds, slots = build_mph(salted(h, f, salt))
+    assert sorted(slots) == list(range(5))
+    groups = (token_index.mix64(salted(h, f, salt)) % np.uint64(len(seeds))).astype(np.int64)
+    assert (slot_of(salted(h, f, salt), seeds[groups], 5) == slots).all()
+    with pytest.raises(ValueError):
+        distinct_salt(np.array([5, 5], np.uint64), np.array([1, 1], np.uint64))
+
+
+def test_index_with_forced_equal_hashes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    # all keys share their first hash
+    monkeypatch.setattr(token_index, "_hashed", lambda k: (F.lit(77).cast("long"), F.xxhash64(k, F.lit("print"))))
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(60)], "doc_id long, text string")
+    catalogue = write_shards(docs, tokenizer_path())
+    got = lookup(catalogue.select("doc_id", "copy"), build_index(catalogue)).collect()
+    want = {(r["doc_id"], r["copy"]): (r["shard"], r["offset"], r["n"]) for r in catalogue.collect()}
+    assert {(r["doc_id"], r["copy"]): (r["shard"], r["offset"], r["n"]) for r in got} == want
+
+
+def test_shard_list_is_neither_broadcast_by_hint_nor_one_window(spark, monkeypatch):
+    monkeypatch.setattr(token_index, "SHARD_BYTES", 64)
+    docs = spark.createDataFrame([(k, f"some text {k}") for k in range(200)], "doc_id long, text string")
+    catalogue = write_shards(docs, tokenizer_path())
+    assert "strategy=broadcast" not in catalogue._jdf.queryExecution().logical().toString()
+    rows = read_back(catalogue.select("doc_id", "copy"), build_index(catalogue), catalogue).orderBy("doc_id").collect()
+    assert [r["start"] for r in rows] == np.cumsum([0] + [r["n_tokens"] for r in rows])[:-1].tolist()
