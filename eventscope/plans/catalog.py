@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from eventscope.functions import products as P
 from eventscope.operators import contracts as C
 from eventscope.operators import filters as FL
+from eventscope.operators import matrix as MX
 from eventscope.operators import metrics as M
 from eventscope.operators import normalize as N
+from eventscope.operators import numbering as NB
 from eventscope.operators import timeseries as TS
 from eventscope.plans.tables import canonical_events, latest_event_time, prepared_events
 from eventscope.sources.kafka import parse_records, to_records
@@ -127,6 +129,19 @@ def q_user_paths(spark, sf_dir):
     return M.user_paths(prepared(spark, sf_dir))
 
 
+def q_path_counts(spark, sf_dir):
+    """How many user-days have the same whole path."""
+    e = prepared(spark, sf_dir).select("row_id", "event_id", "event_type", "ts", F.to_date("ts").alias("day"))
+    steps = NB.ranked_in_keys(e, ["event_id", "day"], ["ts", "row_id"])
+    return NB.equal_paths(NB.path_digests(steps, ["event_id", "day"], "event_type"), "event_id")
+
+
+def q_user_category_matrix(spark, sf_dir):
+    """User × category, zero-filled, by numbered keys and blocks."""
+    x = prepared(spark, sf_dir).select("event_id", F.explode("product_categories").alias("category"))
+    return MX.filled(MX.block_matrix(x, "event_id", "category", side=64))
+
+
 def q_journey_by_user(spark, sf_dir):
     return M.journeys(_windowed(spark, sf_dir, "24h"))
 

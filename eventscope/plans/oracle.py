@@ -417,3 +417,27 @@ SELECT row_id, CASE WHEN row_id % 3 <> 1 THEN event_id END AS event_id, event_ty
        CASE WHEN row_id % 3 = 2 THEN 'Mobile' END AS device, CAST(NULL AS VARCHAR) AS ip
 FROM x_events WHERE row_id % 7 <> 0 AND row_id % 11 <> 0 AND NOT (row_id % 3 = 0 AND row_id % 5 = 0)"""),
 })
+
+ORACLE.update({
+    # A6 whole paths
+    "path_counts": _sql("""
+, d AS (SELECT event_id, CAST(ts AS DATE) AS day, count(*) AS length, string_agg(event_type, '>' ORDER BY ts, row_id) AS path
+        FROM x_events WHERE event_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2)
+SELECT length, count(*) AS paths, min(event_id) AS least FROM d GROUP BY length, path"""),
+    # A9 with many keys
+    "user_category_matrix": _sql("""
+, p AS (SELECT event_id, product_category AS category, count(*) AS n FROM x_products
+        WHERE product_category IS NOT NULL AND product_category <> '' GROUP BY 1, 2)
+SELECT r.event_id, c.category, coalesce(p.n, 0) AS count
+FROM (SELECT DISTINCT event_id FROM p) AS r CROSS JOIN (SELECT DISTINCT category FROM p) AS c
+LEFT JOIN p ON p.event_id = r.event_id AND p.category = c.category"""),
+    # R5 page
+    "stream_last_minute": _sql("""
+, s AS (SELECT time_bucket(INTERVAL '5 seconds', ts) - to_seconds(5 * r.k) AS window_start, event_id, count(*) AS n,
+               bool_or(event_type = 'login') AS l, bool_or(event_type = 'purchase') AS p, bool_or(event_type = 'add_to_cart') AS c
+        FROM x_events, range(12) AS r(k) WHERE ts IS NOT NULL AND event_id IS NOT NULL GROUP BY 1, 2)
+SELECT window_start, count(*) AS users, CAST(sum(n) AS BIGINT) AS events, count(*) FILTER (l AND p) AS completed,
+       count(*) FILTER (l AND c AND NOT p) AS abandoned, count(*) FILTER (l AND NOT c AND NOT p) AS browsing,
+       count(*) FILTER (NOT l) AS other
+FROM s GROUP BY 1"""),
+})

@@ -41,6 +41,11 @@ def q_stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain.window_counts(stream_flat(spark, sf_dir), "sliding", "event_type", "60s", slide="5s")
 
 
+def q_stream_last_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users, events and journey classes of 60 s windows that start every 5 s."""
+    return drain.window_page(stream_flat(spark, sf_dir), "last_minute", "60s", "5s")
+
+
 def q_stream_journey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users per journey class per day."""
     return drain.window_journeys(stream_flat(spark, sf_dir), "journey", "1d")

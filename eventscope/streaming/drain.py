@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from eventscope.functions.timefn import bucket_micros, duration_us, micros_to_ts
 from eventscope.operators.metrics import journey_class
+from eventscope.schema import JOURNEY_ABANDONED, JOURNEY_BROWSING, JOURNEY_COMPLETED, JOURNEY_OTHER
 from eventscope.session import work_path
 from eventscope.streaming.runner import await_done
 
@@ -74,6 +75,43 @@ def window_journeys(stream: DataFrame, name: str, length: str = "1d", key: str =
             .select(micros_to_ts(F.col("pane")).alias("window_start"), "journey_type", "count"))
 
 
+PAGE_CLASSES = {"completed": JOURNEY_COMPLETED, "abandoned": JOURNEY_ABANDONED, "browsing": JOURNEY_BROWSING,
+                "other": JOURNEY_OTHER}
+
+
+def page_row(users: DataFrame, by: str | Column) -> DataFrame:
+    """One row per window from one row per (window, user) with ``n`` and the three flags."""
+    kind = journey_class(F.col("login"), F.col("purchase"), F.col("add_to_cart"))
+    return users.withColumn("kind", kind).groupBy(by).agg(
+        F.count(F.lit(1)).alias("users"), F.sum("n").cast("long").alias("events"),
+        *[F.sum((F.col("kind") == v).cast("long")).alias(c) for c, v in PAGE_CLASSES.items()])
+
+
+def window_page(stream: DataFrame, name: str, length: str = "60s", slide: str = "5s", key: str = "event_id") -> DataFrame:
+    """The last-minute page of every sliding window: distinct users, their events, and the
+    users of each journey class.
+
+    A pane (the slide's length) keeps one state per user, the number of events and the flags.
+    States add up over batches and over the panes of a window, so an event is counted once and
+    a window needs no events, only the states of its panes.
+    """
+    step, span = duration_us(slide), duration_us(length)
+    flags = ("login", "purchase", "add_to_cart")
+
+    def partial(batch: DataFrame) -> DataFrame:
+        return (batch.where(F.col("ts").isNotNull() & F.col(key).isNotNull())
+                .groupBy(_pane(step), key).agg(F.count(F.lit(1)).alias("n"), *[
+                    F.coalesce(F.bool_or(F.col("event_type") == v), F.lit(False)).alias(v) for v in flags]))
+
+    def merged(states: DataFrame, by: str) -> DataFrame:
+        return states.groupBy(by, key).agg(F.sum("n").alias("n"), *[F.bool_or(v).alias(v) for v in flags])
+
+    panes = merged(drain(stream, name, partial), "pane")
+    starts = F.sequence(F.col("pane") - F.lit(span - step), F.col("pane"), F.lit(step))
+    windows = merged(panes.select(F.explode(starts).alias("start"), key, "n", *flags), "start")
+    return page_row(windows, "start").select(micros_to_ts(F.col("start")).alias("window_start"), "users", "events", *PAGE_CLASSES)
+
+
 def window_top_categories(products: DataFrame, name: str, length: str = "1d", k: int = 5) -> DataFrame:
     """The ``k`` most frequent valid categories of each window."""
     span = duration_us(length)

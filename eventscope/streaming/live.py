@@ -68,6 +68,25 @@ def live_journeys(stream: DataFrame, length: str = "1 day", delay: str = "1 hour
                          end.cast("timestamp_ntz").alias("window_end"), "journey_type", "count")
 
 
+def live_page(stream: DataFrame, length: str = "60 seconds", slide: str = "5 seconds",
+              delay: str = "10 seconds", key: str = "event_id") -> DataFrame:
+    """R5, live: one row per sliding window with its distinct users, their events and the users
+    of each journey class, as soon as the watermark has passed the window.
+
+    (window, user) → events and flags, then one row per window; both aggregations are stateful
+    and run in append mode.
+    """
+    from eventscope.streaming.drain import PAGE_CLASSES, page_row
+    x = with_watermark(stream.where(F.col(key).isNotNull()), delay)
+    users = x.groupBy(F.window(ET, length, slide).alias("window"), key).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.coalesce(F.bool_or(F.col("event_type") == v), F.lit(False)).alias(v) for v in ("login", "purchase", "add_to_cart")])
+    page = page_row(users.withColumn("wt", F.window_time("window")), F.window("wt", slide).alias("window"))
+    end = F.col("window.end")
+    return page.select((end - F.expr(f"INTERVAL {length}")).cast("timestamp_ntz").alias("window_start"),
+                       end.cast("timestamp_ntz").alias("window_end"), "users", "events", *PAGE_CLASSES)
+
+
 def live_category_counts(stream_products: DataFrame, length: str = "1 day",
                          delay: str = "1 hour") -> DataFrame:
     """R7, stateful half: (window, category) counts of valid categories."""

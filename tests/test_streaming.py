@@ -187,3 +187,27 @@ def test_drained_metrics_do_not_depend_on_batches(spark, sf_small, tmp_path):
     assert all(whole) and sum(r[2] for r in whole[0]) == events.count()
     assert answers(str(tmp_path)) == whole
     assert answers(str(tmp_path), 1) == whole
+
+
+def test_last_minute_page_live_and_drained(spark):
+    from eventscope.streaming.drain import window_page
+    from eventscope.streaming.live import live_page
+    rows = [("2024-01-01 10:00:01", "a", "login"), ("2024-01-01 10:00:03", "a", "purchase"), ("2024-01-01 10:00:12", "b", "login"),
+            ("2024-01-01 10:00:50", "a", "add_to_cart"), ("2024-01-01 10:01:20", "c", "logout"), ("2024-01-01 10:01:21", None, "login"),
+            ("2024-01-01 12:00:00", "z", "login")]
+    d = _local(spark, "page")
+    df = spark.createDataFrame(rows, "t string, event_id string, event_type string").select(
+        F.col("t").cast("timestamp_ntz").alias("ts"), "event_id", "event_type")
+    df.repartition(3).write.parquet(f"{d}/in")
+    stream = lambda: spark.readStream.schema(df.schema).parquet(f"{d}/in")
+    columns = ["window_start", "users", "events", "completed", "abandoned", "browsing", "other"]
+    drained = {r.window_start: tuple(r) for r in window_page(stream(), "test_page").select(columns).collect()}
+    at = lambda h, m, s: __import__("datetime").datetime(2024, 1, 1, h, m, s)
+    assert drained[at(10, 0, 0)][1:] == (2, 4, 1, 0, 1, 0)
+    assert drained[at(10, 0, 25)][1:] == (2, 2, 0, 0, 0, 2)
+    q = (live_page(stream()).writeStream.format("parquet").option("path", f"{d}/out").option("checkpointLocation", f"{d}/ck")
+         .outputMode("append").trigger(availableNow=True).start())
+    await_done(q)
+    live = {r.window_start: tuple(r) for r in spark.read.parquet(f"{d}/out").select(columns).collect()}
+    closed = {k: v for k, v in drained.items() if k < at(11, 0, 0)}
+    assert {k: v for k, v in live.items() if k < at(11, 0, 0)} == closed
