@@ -39,6 +39,18 @@ def cmd_ingest_kafka(spark, args) -> None:
     await_all(qs)
 
 
+def cmd_ingest_store(spark, args) -> None:
+    """A growing log (--log) or a topic into a store, both outputs from one read."""
+    from eventscope.schema import EVENT_LOG_SCHEMA
+    from eventscope.sources.kafka import parse_mixed_records, parse_records, read_kafka_events
+    from eventscope.sources.tail import tail_event_log
+    from eventscope.streaming.runner import await_all
+    from eventscope.streaming.store import ingest_once
+    records = tail_event_log(spark, args.log) if args.log else read_kafka_events(spark, args.servers, args.topic)
+    parse = parse_mixed_records if args.mixed else lambda batch: parse_records(batch, EVENT_LOG_SCHEMA)
+    await_all([ingest_once(records, args.table, args.checkpoint, _trigger(args), parse)])
+
+
 def cmd_ingest_log(spark, args) -> None:
     from eventscope.sources.files import stream_event_log
     from eventscope.streaming.ingest import quarantine_of, split_malformed, write_event_table
@@ -53,6 +65,12 @@ def cmd_ingest_log(spark, args) -> None:
 
 def cmd_compact(spark, args) -> None:
     from eventscope.operators.sinks import compact_event_table
+    from eventscope.streaming import store
+    if store.is_store(spark, args.source):      # in place, by one commit record
+        store.compact(spark, args.source)
+        return
+    if not args.target:
+        raise SystemExit("compact needs --target unless the source is a store")
     compact_event_table(spark, args.source, args.target)
 
 
@@ -69,7 +87,10 @@ def cmd_dashboard(spark, args) -> None:
         from eventscope.streaming.ingest import split_malformed
         page, raw = Dashboard(**controls), split_malformed(read_event_log(spark, args.log).cache())[0]
     else:
-        page, raw = Dashboard.for_table(spark, args.table, args.merge_schema, **controls)
+        # pages that also count what lies outside the window read the whole table
+        page, raw = Dashboard.for_table(spark, args.table, args.merge_schema, **controls,
+                                        narrow=args.page in ("parquet", "last-minute"),
+                                        last_minute=args.page == "last-minute")
     build = {"parquet": page.metrics, "json": page.json_page, "scan": page.scan_page,
              "last-minute": page.last_minute_page}[args.page]
     metrics = build(raw)
@@ -134,9 +155,19 @@ def parser() -> argparse.ArgumentParser:
     lg.add_argument("--unpartitioned", action="store_true")
     trig(lg)
 
+    st = sub.add_parser("ingest-store", help="one-pass ingest into a store with a file index")
+    where = st.add_mutually_exclusive_group(required=True)
+    where.add_argument("--log", help="a growing NDJSON log: a file, or a folder of files")
+    where.add_argument("--servers", help="Kafka servers")
+    st.add_argument("--topic", default="test-events")
+    st.add_argument("--table", required=True)
+    st.add_argument("--checkpoint", required=True)
+    st.add_argument("--mixed", action="store_true", help="records of all shapes, told apart one by one")
+    trig(st)
+
     c = sub.add_parser("compact")
     c.add_argument("--source", required=True)
-    c.add_argument("--target", required=True)
+    c.add_argument("--target", help="not needed for a store, which is compacted in place")
 
     d = sub.add_parser("dashboard")
     src = d.add_mutually_exclusive_group(required=True)
@@ -160,7 +191,7 @@ def parser() -> argparse.ArgumentParser:
     return ap
 
 
-COMMANDS = {"ingest-kafka": cmd_ingest_kafka, "ingest-log": cmd_ingest_log, "compact": cmd_compact,
+COMMANDS = {"ingest-kafka": cmd_ingest_kafka, "ingest-log": cmd_ingest_log, "ingest-store": cmd_ingest_store, "compact": cmd_compact,
             "dashboard": cmd_dashboard, "contracts": cmd_contracts}
 
 

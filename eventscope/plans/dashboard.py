@@ -10,7 +10,7 @@ from the Parquet files.  Only bounded results (KPI row, top-k) should be collect
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import timezone
+from datetime import timedelta, timezone
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -23,6 +23,7 @@ from eventscope.operators import metrics as M
 from eventscope.operators import timeseries as TS
 from eventscope.operators.normalize import PREVIEW_COLUMNS, detect_shape, prepare, preview, to_canonical
 from eventscope.operators.sinks import csv_ready
+from eventscope.sources.files import CORRUPT
 
 
 @dataclass
@@ -47,11 +48,28 @@ class Dashboard:
         self._cached: list[DataFrame] = []
 
     @classmethod
-    def for_table(cls, spark, path: str, merge_schema: bool = False, **controls):
+    def for_table(cls, spark, path: str, merge_schema: bool = False, narrow: bool = False,
+                  last_minute: bool = False, **controls):
         """(page, raw events) for a stored table; unless ``as_of`` is given, "now" is
-        the latest event time read from the Parquet footers (no column scan)."""
+        the latest event time read from the Parquet footers (no column scan).
+
+        For a store (``streaming.store``) "now" comes from its file index, and with ``narrow``
+        only the files are opened that the page's window and types can match.
+        """
         from eventscope.plans.tables import latest_from_footers
         from eventscope.sources.files import read_event_table
+        from eventscope.streaming import store
+        if store.is_store(spark, path):
+            if controls.get("as_of") is None:
+                controls["as_of"] = store.latest_event_time(spark, path)
+            page, after = cls(**controls), None
+            us = duration_us(page.window)
+            if page.recent_only or last_minute:
+                us = min(us or 60_000_000, 60_000_000)
+            if narrow and us is not None and hasattr(page.as_of, "year"):
+                after = page.as_of - timedelta(microseconds=us)
+            types = page.event_types if narrow else None
+            return page, store.read_store(spark, path, after=after, types=types).drop(CORRUPT)
         raw = read_event_table(spark, path, merge_schema)
         if controls.get("as_of") is None:
             controls["as_of"] = latest_from_footers(spark, path)

@@ -47,3 +47,25 @@ def test_ingest_log_and_compact_commands(spark):
     assert spark.read.parquet(f"{d}/bad").count() == 1
     _run(spark, ["compact", "--source", f"{d}/table", "--target", f"{d}/compact"])
     assert spark.read.parquet(f"{d}/compact").count() == 1
+
+
+def test_store_commands(spark, capsys):
+    d = _local(spark, "cli_store")
+    os.makedirs(f"{d}/log")
+    day = 86400.0
+    rows = [{"event_id": f"U{k}", "event_type": ["login", "purchase"][k % 2], "timestamp": k // 10 * day + k} for k in range(40)]
+    rows.append({"user_id": "U99", "event_type": "login", "timestamp": "1970-01-04T00:00:39Z"})
+    with open(f"{d}/log/a.json", "w") as f:
+        f.write("\n".join(json.dumps(r) for r in rows) + "\nbroken\nhalf")
+    ingest = ["ingest-store", "--log", f"{d}/log", "--table", f"{d}/store", "--checkpoint", f"{d}/ck", "--mixed", "--available-now"]
+    _run(spark, ingest)
+    _run(spark, ["compact", "--source", f"{d}/store"])
+    from eventscope.streaming import store
+    assert store.read_store(spark, f"{d}/store").count() == 41
+    assert store.read_store(spark, f"{d}/store", kind=store.MALFORMED).count() == 1
+    _run(spark, ["dashboard", "--table", f"{d}/store", "--out", f"{d}/dash", "--window", "24h", "--bucket", "1h"])
+    kpis = json.loads(capsys.readouterr().out.strip().splitlines()[-1])["kpis"]
+    assert kpis["total_events"] == 11
+    _run(spark, ["dashboard", "--table", f"{d}/store", "--out", f"{d}/scan", "--page", "scan", "--window", "24h"])
+    status = spark.read.parquet(f"{d}/scan/data_status").first()
+    assert 41 in tuple(status) and 11 in tuple(status)
