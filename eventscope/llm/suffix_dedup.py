@@ -5,10 +5,12 @@ the corpus.  Equal windows must be brought together without sorting the corpus i
 place, so every window is dealt by its anchor (:mod:`eventscope.llm.anchors`): equal
 windows have equal anchors, and consecutive windows with one anchor form a short string.
 
-1. Tasks count anchors; those seen twice or more set a bit in a filter (its size follows
-   their number up to ``most_bits``; a false bit costs work, never a result).
-2. Strings of repeated anchors, equal ones merged in each task, go to the task of their
-   anchor with the place of their first occurrence.
+1. Tasks count anchors, with the least and the greatest hash of their strings; those seen twice
+   or more set a bit in a filter (its size follows their number up to ``most_bits``; a false bit
+   costs work, never a result), those with different strings in another.
+2. The places of the strings of repeated anchors, equal ones merged in each task, go to the
+   task of their anchor.  Bytes travel only for anchors with different strings: the windows of
+   equal strings are equal one by one, so their earliest place says it all.
 3. There the strings of anchors with different strings are suffix-sorted in two stages:
    suffixes smaller than their successor are sorted directly, all others are induced by
    scanning the first-byte buckets in order; adjacent common prefixes of ``length`` or more
@@ -67,7 +69,8 @@ def _strings(batch: pa.RecordBatch, length: int):
 
 
 def _count(batches: Iterator[pa.RecordBatch], length: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """(anchor, seen more than once here, different strings here) of a task."""
+    """(anchor, seen more than once here, different strings here, least and greatest hash of the
+    strings) of a task."""
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
@@ -81,9 +84,11 @@ def _count(batches: Iterator[pa.RecordBatch], length: int, most: int = 1 << 22)
         s[several] = s[several][inner]
         first = np.flatnonzero(np.append(True, ~same))
         kinds = np.append(True, ~same | (s[1:] != s[:-1])).astype(np.int32)
+        signed = s.view(np.int64)
         return pa.RecordBatch.from_arrays(
             [pa.array(a[first].view(np.int64)), pa.array((np.diff(np.append(first, len(a))) > 1).astype(np.int32) + 1),
-             pa.array(np.add.reduceat(kinds, first), pa.int32())], names=["anchor", "seen", "kinds"])
+             pa.array(np.add.reduceat(kinds, first), pa.int32()), pa.array(np.minimum.reduceat(signed, first)),
+             pa.array(np.maximum.reduceat(signed, first))], names=["anchor", "seen", "kinds", "least", "most"])
 
     for batch in batches:
         for data, first, last, anchor, _, _ in _strings(batch, length):
@@ -111,14 +116,15 @@ def _earliest(anchor, string, doc, copy, place) -> np.ndarray:
 
 
 def _deal(batches: Iterator[pa.RecordBatch], length: int, wanted, bits: int, hot,
-          most: int = 24 << 20) -> Iterator[pa.RecordBatch]:
-    """Different strings of repeated anchors with their first occurrence; equal ones are
-    merged over ``most`` bytes of them before they are handed on."""
+          most: int = 24 << 20, several: tuple | None = None) -> Iterator[pa.RecordBatch]:
+    """Different strings of repeated anchors with their first occurrence and number of windows;
+    the bytes where an anchor has ``several`` (a filter and its bits; None: all).  Equal strings are merged over ``most`` bytes of them
+    before they are handed on."""
     held: list[tuple] = []
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        anchor, string, doc, copy, place, lens, flat = (np.concatenate(x) for x in zip(*held))
+        anchor, string, doc, copy, place, n, lens, flat = (np.concatenate(x) for x in zip(*held))
         begin = np.cumsum(lens) - lens
         one = _earliest(anchor, string, doc, copy, place)
         for k in range(0, len(one), 1 << 15):
@@ -127,7 +133,8 @@ def _deal(batches: Iterator[pa.RecordBatch], length: int, wanted, bits: int, hot
             texts = pa.Array.from_buffers(pa.binary(), len(mine), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(chosen)])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(anchor[mine].view(np.int64)), pa.array(doc[mine]), pa.array(copy[mine]),
-                 pa.array(place[mine]), texts], names=["anchor", "doc", "copy", "place", "string"])
+                 pa.array(place[mine]), pa.array(n[mine].astype(np.int16)), texts],
+                names=["anchor", "doc", "copy", "place", "n", "string"])
 
     for batch in batches:
         doc, copy = np.asarray(batch.column(0)), np.asarray(batch.column(1))
@@ -135,8 +142,11 @@ def _deal(batches: Iterator[pa.RecordBatch], length: int, wanted, bits: int, hot
             keep = passes(wanted.value, anchor, bits)
             first, last, anchor, row, place = (x[keep] for x in (first, last, anchor, row, place))
             prefix = prefix_hash(data)
+            bytes_too = passes(several[0].value, anchor, several[1]) if several else np.ones(len(anchor), bool)
             if hot is not None:
                 split = passes(hot.value, anchor)
+                # a window dealt by its own hash has one string
+                bytes_too = np.append(bytes_too[~split], np.zeros(int((last - first + 1)[split].sum()), bool))
                 n = (last - first + 1)[split]
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 alone = np.repeat(first[split], n) + step
@@ -149,10 +159,10 @@ def _deal(batches: Iterator[pa.RecordBatch], length: int, wanted, bits: int, hot
             end = last + length
             string = span_hashes(prefix, first, end)
             one = _earliest(anchor, string, doc[row], copy[row], place)
-            lens = (end - first)[one]
+            lens = np.where(bytes_too, end - first, 0)[one]
             flat, _ = _gather(data, first[one], lens)
-            held.append((anchor[one], string[one], doc[row[one]], copy[row[one]], place[one], lens, flat))
-            size += len(flat)
+            held.append((anchor[one], string[one], doc[row[one]], copy[row[one]], place[one], (last - first + 1)[one], lens, flat))
+            size += len(flat) + 48 * len(one)
             if size >= most:
                 yield from flush()
                 held, size = [], 0
@@ -282,20 +292,20 @@ def _width(length: int) -> int:
     return -(-(length - K + 1) // 8)
 
 
-def _firsts(anchor, doc, copy, place, texts: pa.Array, length: int) -> pa.RecordBatch:
-    """First occurrences of the windows of some whole anchors' strings."""
+def _firsts(anchor, doc, copy, place, n, texts: pa.Array, length: int) -> pa.RecordBatch:
+    """First occurrences of the windows of some whole anchors' strings (of n windows each);
+    an anchor without bytes has one string, whose earliest place holds them all."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
     offsets = offsets - offsets[0]
     string = span_hashes(prefix_hash(data), offsets[:-1], offsets[1:])
     one = _earliest(anchor, string, doc, copy, place)
-    anchor, doc, copy, place = anchor[one], doc[one], copy[one], place[one]
+    anchor, doc, copy, place, n = anchor[one], doc[one], copy[one], place[one], n[one].astype(np.int64)
     begin, lens = offsets[:-1][one], np.diff(offsets)[one]
     shared = np.zeros(len(one), bool)
     same = anchor[1:] == anchor[:-1]
     shared[1:] |= same
     shared[:-1] |= same
-    n = lens - length + 1
     flags = np.ones(n.sum(), bool)
     many = np.flatnonzero(shared)
     if len(many):    # an anchor with a single string has no two equal windows
@@ -323,9 +333,9 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
     def close(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts).combine_chunks()
-        anchor, doc, copy, place = (table[k].to_numpy() for k in range(4))
-        texts = table[4].chunk(0) if table[4].num_chunks else pa.array([], pa.binary())
-        return _firsts(anchor, doc, copy, place, texts, length)
+        anchor, doc, copy, place, n = (table[k].to_numpy() for k in range(5))
+        texts = table[5].chunk(0) if table[5].num_chunks else pa.array([], pa.binary())
+        return _firsts(anchor, doc, copy, place, n, texts, length)
 
     for batch in batches:
         step = max(1, int(batch.num_rows * SORT_BYTES / max(1, batch.nbytes)))
@@ -409,17 +419,21 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1 << 17, most_
         texts = saved(texts.withColumn("copy", F.row_number().over(again).cast("long")), "numbered-texts")
     else:
         texts = texts.withColumn("copy", F.lit(0).cast("long"))
-    counts = saved(texts.select("text").mapInArrow(lambda it: _count(it, length), "anchor long, seen int, kinds int")
-                   .groupBy("anchor").agg(F.sum("seen").alias("seen"), F.sum("kinds").alias("kinds"))
+    counts = saved(texts.select("text").mapInArrow(lambda it: _count(it, length), "anchor long, seen int, kinds int, least long, most long")
+                   .groupBy("anchor").agg(F.sum("seen").alias("seen"), F.sum("kinds").alias("kinds"),
+                                          (F.min("least") != F.max("most")).alias("several"))
                    .where("seen > 1"), "repeated-anchors")
-    n, kinds, most = counts.agg(F.count("*"), F.sum("kinds"), F.max("kinds")).first()
+    n, n_several, kinds, many, most = counts.agg(
+        F.count("*"), F.count_if("several"), F.sum("kinds"), F.sum(F.when(F.col("several"), F.col("kinds"))), F.max("kinds")).first()
     bits = min(max(20, (16 * n).bit_length()), most_bits)
     wanted = hash_filter(counts, "anchor", bits)
+    several_bits = min(max(20, (16 * n_several).bit_length()), most_bits)
+    several = hash_filter(counts.where("several"), "anchor", several_bits)
     split = hash_filter(counts.where(F.col("kinds") > hot), "anchor") if (most or 0) > hot else None
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(kinds or 0) * 140 // (32 << 20)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-((kinds or 0) * 40 + (many or 0) * 140) // (32 << 20)))
     strings = (texts.select("doc", "copy", "text")
-               .mapInArrow(lambda it: _deal(it, length, wanted, bits, split),
-                           "anchor long, doc long, copy long, place long, string binary")
+               .mapInArrow(lambda it: _deal(it, length, wanted, bits, split, several=(several, several_bits)),
+                           "anchor long, doc long, copy long, place long, n short, string binary")
                .repartition(parts, "anchor").sortWithinPartitions("anchor"))
     firsts = saved(strings.mapInArrow(lambda it: _resolve(it, length), "doc long, copy long, place long, bits binary"),
                    "first-windows")

@@ -144,3 +144,34 @@ def test_small_sorts_and_merges(spark, monkeypatch):
                 seen.add(raw[i:i + 100])
                 want.add((k, i))
     assert got[200] == want and got[1 << 30] == want
+
+
+def test_bytes_travel_only_for_anchors_with_different_strings(spark, monkeypatch):
+    """Copies of whole texts are settled by their places; the results are those of all bytes."""
+    import random
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(12)]
+    rows = [(k, texts[k % 12]) for k in range(60)] + [(100 + k, texts[k][:150] + word() + texts[k][200:]) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in suffix_dedup.remove_repeats(docs).collect())
+    sent = []
+    real = suffix_dedup._gather
+    monkeypatch.setattr(suffix_dedup, "_gather", lambda d, b, n: (sent.append(int(n.sum())), real(d, b, n))[1])
+    batch = pa.RecordBatch.from_pylist([{"doc": i, "copy": 0, "text": t} for i, t in rows[:60]])
+    every = type("Every", (), {"value": np.full((1 << 20 >> 3) + 4096, 255, np.uint8)})
+    none = type("None_", (), {"value": np.zeros((1 << 20 >> 3) + 4096, np.uint8)})
+    dealt = pa.Table.from_batches(list(suffix_dedup._deal(iter([batch]), 100, every, 20, None, several=(none, 20)))).sort_by("anchor")
+    assert sum(sent) == 0 and dealt.num_rows > 0
+    firsts = pa.Table.from_batches(list(suffix_dedup._resolve(iter(dealt.to_batches()), 100))).to_pylist()
+    places = {(r["doc"], r["place"] + i) for r in firsts for i in np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8))).tolist()}
+    assert places == {(k, i) for k in range(12) for i in range(len(texts[k]) - 99)}
+    seen, want = set(), []
+    for i, t in rows:
+        raw, gone = t.encode(), set()
+        for at in range(len(raw) - 99):
+            if raw[at:at + 100] in seen:
+                gone |= set(range(at, at + 100))
+            seen.add(raw[at:at + 100])
+        want.append((i, len(raw), len(gone)))
+    assert [r[:3] for r in got] == want
