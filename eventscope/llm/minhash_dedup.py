@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -181,59 +181,63 @@ def _open_pairs(around: DataFrame, texts: DataFrame, shingle: int, percent: int)
 
     With D(x) the shingles that x and the head do not share, x and y differ in
     |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles, and a link allows c (|x| + |y|) of them,
-    c = (100 - percent) / (100 + percent).  One of the two is not linked to the head
-    (else they were in one component), so its |D| is above c (|it| + |head|), and the other,
-    y, must share at least t(y) = (|D(y)| + c (|head| - |y|)) / 2 elements with it.  Few
-    copies do: shingles that no other member changed cannot be shared, and of those that
-    are left, only the rarest (all but t - 1) need to meet, in pairs that have enough of
-    them.  So a large group of loosely
-    alike texts is not compared pair by pair, and no link is lost.
+    c = (100 - percent) / (100 + percent).  So a link needs (e(x) + e(y)) / 2 common
+    elements, where the excess e(x) is |D(x)| - c |x|.  One of the two is not linked to the
+    head (else they were in one component) and is far: e > c |head|.  Elements that no other
+    member has cannot be common; the rest are ordered, rarest first.  The first common
+    element of a link has the others behind it, on both sides: it lies in the prefix that
+    the smallest possible need leaves, and what follows it is enough for this pair's need.
+    Of two far members the one of smaller excess has the other's at least, hence the shorter
+    prefix.  So a large group of loosely alike texts is not compared pair by pair, and no
+    link is lost.
     """
     id_type = around.schema["doc_id"].dataType.simpleString()
     several = around.groupBy("head").agg(F.count("*").alias("members")).where("members > 1").select("head")
-    apart = saved(
+    apart = (
         around.join(several, "head", "left_semi")
         .join(texts.select("doc_id", F.col("text").alias("ta")), "doc_id")
         .join(texts.select(F.col("doc_id").alias("head"), F.col("text").alias("tb")), "head")
         .select("head", "doc_id", "root", "ta", "tb")
         .mapInArrow(lambda it: _differences(it, shingle),
-                    f"head {id_type}, doc_id {id_type}, root {id_type}, n long, n_head long, apart array<long>"),
-        "differences")
-    # whole numbers: |D| (100 + percent) against (100 - percent) sizes
+                    f"head {id_type}, doc_id {id_type}, root {id_type}, n long, n_head long, apart array<long>"))
+    # whole numbers: excesses and needs are multiplied by 100 + percent
     up, down = 100 + percent, 100 - percent
-    size = F.size("apart").cast("long")
-    far = up * size > down * (F.col("n") + F.col("n_head"))
-    least = F.greatest(F.ceil((up * size + down * (F.col("n_head") - F.col("n"))) / F.lit(2.0 * up) - 1e-9), F.lit(1))
-    rows = apart.select("head", "doc_id", "root", "n", size.alias("d"), far.alias("far"), least.alias("least"),
-                        F.explode("apart").alias("element"))
+    apart = saved(apart.select("head", "doc_id", "root", (down * F.col("n_head")).alias("border"),
+                               (up * F.size("apart").cast("long") - down * F.col("n")).alias("excess"),
+                               "apart").withColumn("far", F.col("excess") > F.col("border")), "differences")
+    lowest = apart.groupBy("head").agg(F.min("excess").alias("lowest"))
+    rows = apart.join(lowest, "head").select(
+        "head", "doc_id", "root", "border", "excess", "lowest", "far", F.explode("apart").alias("element"))
     common = (rows.groupBy("head", "element").agg(
         F.sum(F.col("far").cast("long")).alias("often"), F.count("*").alias("all"))
         .where("often > 0 AND all > 1"))
     shared = saved(rows.join(common, ["head", "element"]), "shared-differences")
     own = Window.partitionBy("head", "doc_id")
 
-    def usable(frame: DataFrame) -> DataFrame:
-        return frame.withColumn("useful", F.count("*").over(own))
+    def ranked(frame: DataFrame) -> DataFrame:
+        """``left``: how many common elements a pair can have whose first is this one."""
+        return (frame.withColumn("useful", F.count("*").over(own))
+                .withColumn("left", F.col("useful") - F.row_number().over(own.orderBy("often", "element")) + 1))
 
-    def prefix(frame: DataFrame) -> DataFrame:
-        return (frame.withColumn("place", F.row_number().over(own.orderBy("often", "element")))
-                .where(F.col("place") <= F.col("useful") - F.col("least") + 1))
+    def prefix(frame: DataFrame, partner: Column) -> DataFrame:
+        """Elements with enough behind them for a partner whose excess is at least ``partner``."""
+        return frame.where(F.col("left") * F.lit(2 * up) >= F.col("excess") + partner)
 
     def side(frame: DataFrame, x: str) -> DataFrame:
         return frame.select("head", "element", F.col("doc_id").alias(x),
-                            *[F.col(c).alias(f"{c}_{x}") for c in ("root", "n", "d", "useful")])
+                            *[F.col(c).alias(f"{c}_{x}") for c in ("root", "excess", "left")])
 
-    # of the elements that either could share, at least as many as this pair must share
-    enough = (F.lit(2 * up) * F.least("useful_a", "useful_b")
-              >= up * (F.col("d_a") + F.col("d_b")) - down * (F.col("n_a") + F.col("n_b")))
-    distant = usable(shared.where("far"))
+    enough = F.lit(2 * up) * F.least("left_a", "left_b") >= F.col("excess_a") + F.col("excess_b")
     # two members far from the head: elements that at least two far members have
-    short = prefix(usable(shared.where("far AND often > 1")))
-    near = prefix(usable(shared.where("NOT far")))
-    both = side(short, "a").join(side(short, "b"), ["head", "element"]).where("b < a AND root_a <> root_b")
-    mixed = side(near, "a").join(side(distant, "b"), ["head", "element"]).where("root_a <> root_b")
-    return (both.where(enough).select("a", "b").unionByName(mixed.where(enough).select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct())
+    distant = ranked(shared.where("far AND often > 1"))
+    both = (side(prefix(distant, F.col("excess")), "a").join(side(prefix(distant, F.col("border")), "b"),
+                                                            ["head", "element"])
+            .where("excess_a < excess_b OR (excess_a = excess_b AND a < b)"))
+    near = ranked(shared.where("NOT far"))
+    mixed = side(prefix(near, F.col("border")), "a").join(
+        side(prefix(ranked(shared.where("far")), F.col("lowest")), "b"), ["head", "element"])
+    return (both.unionByName(mixed).where("root_a <> root_b").where(enough)
+            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
 
 def components(links: DataFrame, name: str = "stars") -> DataFrame:
