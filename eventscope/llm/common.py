@@ -6,6 +6,7 @@ Texts reach Python as Arrow batches; the operators look at the raw UTF-8 buffers
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,17 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def released(out: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``out``, and when a task is through with it, freed memory goes back to the system:
+    Spark uses worker processes again, and each would keep the peak of its largest task."""
+    yield from out
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):    # not the GNU allocator
+        pass
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written under the shared checkpoint folder and read back (cuts lineage)."""
     path = work_path(df.sparkSession, "llm", name)

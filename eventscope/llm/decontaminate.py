@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventscope.llm.common import (ALNUM_WORDS_LOWER, blocks, bound_batches, hash_filter, passes,
-                                   prefix_hash, roll, saved, span_hashes, word_spans)
+                                   prefix_hash, released, roll, saved, span_hashes, word_spans)
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RUNS = "array<struct<pos:int,words:string>>"
@@ -115,13 +115,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, shingle:
     parts = windows.select("words", "n", "k").distinct().withColumn(
         "parts", _shingles("words", F.col("n"), F.col("k")))
     shared = hash_filter(parts.select(F.explode("parts.shingle").alias("shingle")).distinct()
-                         .mapInArrow(_hash_shingles, "h long"), "h", bits)
+                         .mapInArrow(lambda it: released(_hash_shingles(it)), "h long"), "h", bits)
     needed = {r["k"]: r["least"] for r in  # at most `shingle` rows
               windows.groupBy("k").agg(F.min(F.col("n") - F.col("k") + 1).alias("least")).collect()}
     id_type = docs.schema["doc_id"].dataType.simpleString()
     found = saved(
         docs.select("doc_id", F.col("text").cast("string").alias("text"))
-        .mapInArrow(lambda it: _runs(it, shared, needed, bits),
+        .mapInArrow(lambda it: released(_runs(it, shared, needed, bits)),
                     f"doc_id {id_type}, n_words long, runs {_RUNS}")
         .withColumn("row", F.monotonically_increasing_id()), "runs")
     runs = found.select("row", F.explode("runs").alias("run")).select(

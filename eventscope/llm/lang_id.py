@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventscope.llm.common import blocks, bound_batches, codepoints, segment_sums
+from eventscope.llm.common import blocks, bound_batches, codepoints, released, segment_sums
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -82,7 +82,7 @@ def train(labelled: DataFrame, bits: int = 16, smoothing: float = 0.5,
         raise ValueError(f"{len(langs)} languages x 2^{bits} buckets exceed {max_model_bytes} bytes")
     counts = np.full((len(langs), 1 << bits), smoothing, np.float64)
     summed = (rows.where("text IS NOT NULL")
-              .mapInArrow(lambda it: _count(it, bits), "lang string, bucket int, n long")
+              .mapInArrow(lambda it: released(_count(it, bits)), "lang string, bucket int, n long")
               .groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     table = summed.toArrow()
     if table.num_rows:
@@ -139,7 +139,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray],
                 [*(batch.column(c) for c in stay), pa.array(names, pa.string()), pa.array(sure)],
                 names=[*stay, "lang_pred", "score"])
 
-    return kept.mapInArrow(score, out)
+    return kept.mapInArrow(lambda it: released(score(it)), out)
 
 
 def save_model(spark, model: tuple[list[str], np.ndarray, np.ndarray], path: str) -> None:

@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventscope.llm.common import (SPACE_WORDS_LOWER, blocks, bound_batches, hash_filter, mix64,
-                                   passes, prefix_hash, roll, saved, seeded, span_hashes, word_spans)
+                                   passes, prefix_hash, released, roll, saved, seeded, span_hashes,
+                                   word_spans)
 
 MINIMA, BANDS, ROWS = 128, 64, 6
 _EMPTY = np.zeros(0, np.uint64)
@@ -198,7 +199,7 @@ def _open_pairs(around: DataFrame, texts: DataFrame, shingle: int, percent: int)
         .join(texts.select("doc_id", F.col("text").alias("ta")), "doc_id")
         .join(texts.select(F.col("doc_id").alias("head"), F.col("text").alias("tb")), "head")
         .select("head", "doc_id", "root", "ta", "tb")
-        .mapInArrow(lambda it: _differences(it, shingle),
+        .mapInArrow(lambda it: released(_differences(it, shingle)),
                     f"head {id_type}, doc_id {id_type}, root {id_type}, n long, n_head long, apart array<long>"))
     # whole numbers: excesses and needs are multiplied by 100 + percent
     up, down = 100 + percent, 100 - percent
@@ -272,7 +273,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     bound_batches(spark)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    nodes = saved(texts.mapInArrow(lambda it: _sign(it, shingle),
+    nodes = saved(texts.mapInArrow(lambda it: released(_sign(it, shingle)),
                                    f"doc_id {id_type}, n_shingles long, one long, two long, sig binary"), "signatures")
     linked = nodes.where("doc_id IS NOT NULL AND n_shingles > 0")
     heads = saved(linked.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("doc_id")), "set-heads")
@@ -298,7 +299,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     # only texts of candidates are shuffled: the fixed-size filter first, then the join
     candidates = saved(texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
                        .select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-                       .mapInArrow(needed, f"doc_id {id_type}, text string")
+                       .mapInArrow(lambda it: released(needed(it)), f"doc_id {id_type}, text string")
                        .join(ids, "doc_id", "left_semi"), "candidate-texts")
     signatures = first.select("doc_id", "sig")
 
@@ -310,7 +311,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         full = (alike.join(candidates.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
                 .join(candidates.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
                 .select("a", "b", "ta", "tb"))
-        return full.mapInArrow(lambda it: _confirm(it, shingle, percent), f"a {id_type}, b {id_type}").distinct()
+        return full.mapInArrow(lambda it: released(_confirm(it, shingle, percent)), f"a {id_type}, b {id_type}").distinct()
 
     spokes = members.where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
     links = saved(confirmed(spokes), "links")

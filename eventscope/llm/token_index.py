@@ -37,14 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eventscope.llm.common import blocks, bound_batches, mix64, saved
+from eventscope.llm.common import blocks, bound_batches, mix64, released, saved
 from eventscope.llm.files import read_bytes, write_bytes
 from eventscope.session import work_path
 
 END_ID = 2
 SHARD_BYTES = 32 << 20
 BUCKET_KEYS = 2048
-KEPT_PIECES = 300_000
+KEPT_PIECES = 100_000
 RECORD = np.dtype([("print", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n", "<u8")])
 
 _SPACE = np.zeros(256, bool)
@@ -62,7 +62,7 @@ _SPECIAL = re.compile(rb"<\|(startoftext|endoftext)\|>", re.I)
 class Encoder:
     """Encodes blocks of texts with a tokenizer file; remembers pieces, up to a limit."""
 
-    def __init__(self, path: str, most: int = 1 << 20):
+    def __init__(self, path: str, most: int = 1 << 18):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -181,7 +181,7 @@ def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, end_i
             copy = copy + 1 if x == last else 0
             last = x
             copies.append(copy)
-        for lo, hi, data, offsets in blocks(batch, "text", 4 << 20):
+        for lo, hi, data, offsets in blocks(batch, "text", 2 << 20):
             out, n = enc.block(data, offsets, end_id)
             keys.append((ids.slice(lo, hi - lo), np.array(copies[lo:hi], np.int64)))
             counts.append(n)
@@ -207,7 +207,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataF
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = (docs.select("doc_id", F.col("text").cast("string").alias("text"))
             .repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-            .mapInArrow(lambda it: _write(it, tokenizer, folder, end_id, wide),
+            .mapInArrow(lambda it: released(_write(it, tokenizer, folder, end_id, wide)),
                         f"path string, doc_id {id_type}, copy long, offset long, n long, part int, number int"))
     rows = saved(rows, "token-rows")
     # shards lie in the order of their range partition and of their writing there: running sums
@@ -384,4 +384,4 @@ def read_back(keys: DataFrame, index: DataFrame, catalogue: DataFrame) -> DataFr
     return (lookup(keys, index).join(shards, "shard")
             .select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "path", "offset", "n", "width")
             .repartitionByRange(parts, "start").sortWithinPartitions("start")
-            .mapInArrow(_read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long"))
+            .mapInArrow(lambda it: released(_read(it)), f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long"))
