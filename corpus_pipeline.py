@@ -6,9 +6,10 @@ return the columns of ``documents``.
 
 language_id     rows whose text has a learned language with a probability of one half or
                 more stay; NULL, letterless and undecided texts go
-near_dedup      of each group of near copies (five-word shingles, similarity 0.8) the
-                smallest doc_id stays; of rows that repeat an id one stays; rows without an
-                id stay
+near_dedup      of each group of near copies (five-word shingles, similarity 0.8) the row of the
+                smallest doc_id stays (NULL last; of equal ids the smallest text digest); rows
+                are linked by their texts alone, so unlike texts of one id all stay, and copies
+                without an id go; rows without words are linked with nothing and stay
 decontaminate   rows of which a twentieth or more is benchmark windows go; each row is judged by
                 its own text, whatever its doc_id
 mix_sources     rows are taken as often as the mix of their source says (0, 1 or 2 times)
@@ -40,14 +41,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = saved(minhash_dedup.near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80), "groups")
-    # the removed ids are the smaller side, and a written table whose size Spark knows
-    gone = saved(groups.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "removed-ids")
-    out = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*docs.columns)
-    again = groups.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if again.limit(1).count():
-        out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
-    return out
+    # each row is a node of its own, whatever its doc_id: numbered once, in a written table
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
+    groups = minhash_dedup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), shingle=5, percent=80)
+    ranks = rows.select(F.col(row).alias("at"), F.struct(
+        F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("digest"), F.col(row).alias("at")).alias("rank"))
+    members = saved(groups.select(F.col("doc_id").alias("at"), F.col("component_id").alias("group"))
+                    .join(ranks, "at").select("group", "rank"), "group-members")
+    # written, so that the join has a plain exchange on both sides, which Spark may split at a large group
+    first = saved(members.groupBy("group").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
+                  .where("n > 1").select("group", "first"), "group-firsts")
+    # the removed rows are the smaller side, and a written table whose size Spark knows
+    gone = saved(members.join(first, "group").where("rank.at <> first.at")
+                 .select(F.col("rank.at").alias("gone")), "removed-rows")
+    return rows.join(gone, rows[row] == gone["gone"], "left_anti").select(*[rows[f"`{c}`"] for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
