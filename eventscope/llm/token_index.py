@@ -44,7 +44,7 @@ from eventscope.session import work_path
 END_ID = 2
 SHARD_BYTES = 32 << 20
 BUCKET_KEYS = 2048
-KEPT_PIECES = 100_000
+KEPT_PIECES = 300_000
 RECORD = np.dtype([("print", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n", "<u8")])
 
 _SPACE = np.zeros(256, bool)
@@ -62,7 +62,7 @@ _SPECIAL = re.compile(rb"<\|(startoftext|endoftext)\|>", re.I)
 class Encoder:
     """Encodes blocks of texts with a tokenizer file; remembers pieces, up to a limit."""
 
-    def __init__(self, path: str, most: int = 1 << 18):
+    def __init__(self, path: str, most: int = 1 << 19):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -181,7 +181,7 @@ def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, end_i
             copy = copy + 1 if x == last else 0
             last = x
             copies.append(copy)
-        for lo, hi, data, offsets in blocks(batch, "text", 2 << 20):
+        for lo, hi, data, offsets in blocks(batch, "text", 4 << 20):
             out, n = enc.block(data, offsets, end_id)
             keys.append((ids.slice(lo, hi - lo), np.array(copies[lo:hi], np.int64)))
             counts.append(n)
