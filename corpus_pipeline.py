@@ -7,7 +7,7 @@ return the columns of ``documents``.
 language_id     rows whose text has a learned language with a probability of one half or
                 more stay; NULL, letterless and undecided texts go
 near_dedup      of each group of near copies (five-word shingles, similarity 0.8) the row of the
-                smallest doc_id stays (NULL last; of equal ids the smallest text digest); rows
+                smallest doc_id stays (NULL last; of equal ids the smallest text hash); rows
                 are linked by their texts alone, so unlike texts of one id all stay, and copies
                 without an id go; rows without words are linked with nothing and stay
 decontaminate   rows of which a twentieth or more is benchmark windows go; each row is judged by
@@ -41,23 +41,33 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # each row is a node of its own, whatever its doc_id: numbered once, in a written table
-    row = "__row"
-    while row in docs.columns:
-        row += "_"
-    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
-    groups = minhash_dedup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), shingle=5, percent=80)
-    ranks = rows.select(F.col(row).alias("at"), F.struct(
-        F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("digest"), F.col(row).alias("at")).alias("rank"))
-    members = saved(groups.select(F.col("doc_id").alias("at"), F.col("component_id").alias("group"))
-                    .join(ranks, "at").select("group", "rank"), "group-members")
+    # a node is a hash of (doc_id, text), whatever rows share the id; rows whose hash two different
+    # (doc_id, text) share, as a second hash tells, are linked with nothing and stay
+    cols = [docs[f"`{c}`"] for c in docs.columns]
+    key, other = F.xxhash64(docs["doc_id"], docs["text"]), F.xxhash64(F.lit("other"), docs["doc_id"], docs["text"])
+    keys = saved(docs.select(key.alias("key"), other.alias("other"), docs["doc_id"].alias("id")).groupBy("key").agg(
+        F.count("*").alias("rows"), F.min("other").alias("low"), F.max("other").alias("high"),
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("rank")), "row-keys")
+    clash = saved(keys.where("low <> high").select("key"), "clashing-keys")
+    nodes = docs.select(key.alias("key"), docs["text"].alias("text")).join(clash, "key", "left_anti")
+    groups = minhash_dedup.near_duplicates(nodes.select(F.col("key").alias("doc_id"), "text"), shingle=5, percent=80)
+    members = saved(groups.where("n_shingles > 0").select(F.col("doc_id").alias("key"), F.col("component_id").alias("group"))
+                    .distinct().join(keys, "key").select("group", "rows", F.struct("rank", "key").alias("place")),
+                    "group-members")
     # written, so that the join has a plain exchange on both sides, which Spark may split at a large group
-    first = saved(members.groupBy("group").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
+    first = saved(members.groupBy("group").agg(F.min("place").alias("first"), F.count("*").alias("n"))
                   .where("n > 1").select("group", "first"), "group-firsts")
-    # the removed rows are the smaller side, and a written table whose size Spark knows
-    gone = saved(members.join(first, "group").where("rank.at <> first.at")
-                 .select(F.col("rank.at").alias("gone")), "removed-rows")
-    return rows.join(gone, rows[row] == gone["gone"], "left_anti").select(*[rows[f"`{c}`"] for c in docs.columns])
+    # the removed keys are the smaller side, and a written table whose size Spark knows
+    gone = saved(members.join(first, "group").where("place.key <> first.key").select(F.col("place.key").alias("gone")),
+                 "removed-keys")
+    out = docs.join(gone, key == gone["gone"], "left_anti")
+    again = saved(members.where("rows > 1").select(F.col("place.key").alias("again")), "repeated-keys")
+    if again.limit(1).count():    # of rows equal in id and text the first by all their columns stays
+        whole = F.struct(*cols)
+        one = (out.join(again, key == again["again"], "left_semi").groupBy(key.alias("key"))
+               .agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*"))
+        out = out.join(again, key == again["again"], "left_anti").unionByName(one)
+    return out
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
