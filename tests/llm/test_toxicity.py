@@ -120,3 +120,66 @@ def test_registered_query_catches_labelled_toxic_documents(spark):
     known = spark.read.parquet(f"{SF}/labels.parquet")
     rows = out.join(known, "doc_id").where("held_out").collect()
     assert np.mean([r["predicted"] == r["toxic"] for r in rows]) >= 0.9
+
+
+def kneser_ney(texts, column):
+    """{class: P(last byte | bytes before)} by the textbook, string by string."""
+    out = {}
+    for k in (0, 1):
+        table = {}
+        for text, toxic, calibrate in texts:
+            if toxic == bool(k) and not (column == "part" and calibrate):
+                for g in set(spelled(text)):
+                    raw = g.to_bytes(8, "big").lstrip(b"\0")
+                    table[raw] = table.get(raw, 0) + 1
+        levels = {}
+        for n in range(X.ORDER, 0, -1):
+            levels[n] = {s: c for s, c in table.items() if len(s) == n}
+            for s in levels.get(n + 1, {}):
+                levels[n][s[1:]] = levels[n].get(s[1:], 0) + 1
+        cuts = {n: X.discounts(np.array([[sum(c == j for c in levels[n].values())] for j in (1, 2, 3, 4)]))[:, 0] for n in levels}
+
+        def p(s, levels=levels, cuts=cuts):
+            if not s:
+                return 1 / 255
+            n = len(s)
+            mine = [c for t, c in levels[n].items() if t[:-1] == s[:-1]]
+            if not mine:
+                return p(s[1:], levels, cuts)
+            c, cut = levels[n].get(s, 0), cuts[n]
+            return (c - cut[min(c, 3)] + sum(cut[min(x, 3)] for x in mine) * p(s[1:], levels, cuts)) / sum(mine)
+        out[k] = p
+    return out
+
+
+def test_each_class_has_a_whole_kneser_ney_model(spark):
+    docs, _ = corpus(60)
+    texts = [(t, k % 5 == 0, k % 4 == 0) for k, t in docs]
+    rows = spark.createDataFrame(texts, "text string, toxic boolean, calibrate boolean")
+    model = X.ClassRatios(X.store_model(X.log_ratios(X.count_texts(rows)), 3), keep=1)
+    asked = sorted(set(spelled(docs[5][1] + " skvernshaq éa rotinexx ba unseen")))      # seen n-grams and unseen ones
+    got = model.places(np.array(asked, np.uint64))
+    for j, column in ((0, "part"), (1, "all")):
+        p = kneser_ney(texts, column)
+        strings = [g.to_bytes(8, "big").lstrip(b"\0") for g in asked]
+        assert got[:, j] == pytest.approx([np.log(p[1](s)) - np.log(p[0](s)) for s in strings], abs=1e-4)
+        for k in (0, 1):        # a probability of every next byte
+            assert sum(p[k](b" ro" + bytes([b])) for b in range(1, 256)) == pytest.approx(1)
+
+
+def test_llr_is_the_mean_ratio_of_all_words(spark):
+    docs, labels = corpus(120)
+    out = {r["doc_id"]: r for r in judged(spark, docs + [(9000, "zzq ba"), (9001, "zzq"), (9002, "ba")], labels)}
+    assert out[9000]["llr"] == pytest.approx((out[9001]["llr"] + out[9002]["llr"]) / 2)
+    assert out[9001]["llr"] != 0      # a word of unseen n-grams has a likelihood in both classes
+
+
+def test_texts_of_repeated_rows_teach_once(spark):
+    docs = [(1, "a b"), (1, "a b"), (2, "a b"), (3, "c"), (1, "d"), (None, "a b"), (4, None)]
+    labels = [(1, 1), (2, 0), (3, 0), (4, 1)]
+    texts = X.training_texts(spark.createDataFrame(docs, "doc_id long, text string"),
+                             spark.createDataFrame(labels, "doc_id long, toxic int"))
+    fold = lambda k: zlib.crc32(str(k).encode()) % 5 == 0
+    want = {(t, dict(labels)[k] == 1) for k, t in docs if k is not None and t is not None and not fold(k)}
+    got = [(r["text"], r["toxic"]) for r in texts.collect()]
+    assert len(got) == len(want) and set(got) == want
