@@ -159,9 +159,13 @@ def read_store(spark: SparkSession, path: str, after=None, until=None, types: li
     return rows if types is None else rows.where(F.col("event_type").isin(types))
 
 
-def compact(spark: SparkSession, path: str, file_bytes: int = 256 << 20) -> None:
+def compact(spark: SparkSession, path: str, file_bytes: int = 256 << 20, file_rows: int = 1 << 19) -> None:
     """Rewrite the live batches as sized files, sorted by time inside each type.
 
+    One task sorts and writes about ``file_bytes`` of files or ``file_rows`` rows, whichever is
+    less: a few bytes of a file may be some hundred in memory.  Rows alike in type and time, as
+    malformed ones are, lie in as many parts as others do.
+
     One commit record puts the new folder in the old ones' place; a compaction that fails
     changes nothing.  Old folders stay for readers that have begun; ``vacuum`` removes them.
     """
@@ -170,14 +174,18 @@ def compact(spark: SparkSession, path: str, file_bytes: int = 256 << 20) -> None
     if not old:
         return
     folders = [f"{path}/data/batch={b}" for b in old]
-    parts = max(1, -(-sum(table_bytes(spark, f) for f in folders) // file_bytes))
+    n = spark.read.schema(INDEX_SCHEMA).parquet(*[f"{path}/index/batch={b}" for b in old]).agg(F.sum("rows")).first()[0] or 0
+    parts = max(1, -(-sum(table_bytes(spark, f) for f in folders) // file_bytes), -(-n // file_rows))
     schema = T.StructType([*STORED.fields, T.StructField("kind", T.StringType())])
     files = [f for f in folders if any(s.isDirectory() for s in _fs(spark, f)[0].listStatus(_fs(spark, f)[1]))]
-    rows = (spark.read.schema(schema).option("basePath", f"{path}/data").parquet(*files) if files
-            else spark.createDataFrame([], schema))
     order = [F.col("kind"), F.col("event_type").asc_nulls_last(), F.col("ts").asc_nulls_last()]
+    rows = spark.createDataFrame([], schema)
+    if files:
+        place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+        rows = (spark.read.schema(schema).option("basePath", f"{path}/data").parquet(*files)
+                .withColumn("_place", place).repartitionByRange(parts, *order, "_place").drop("_place"))
     name = f"c{uuid.uuid4().hex}"
-    _write(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), path, name)
+    _write(rows.sortWithinPartitions(*order), path, name)
     _commit(spark, path, name, name, old)
 
 

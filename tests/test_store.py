@@ -161,3 +161,24 @@ def test_replaced_log_survives_a_failed_write(spark):
     write_event_log(frame("f"), base, "overwrite")
     assert not os.path.exists(before)
     assert stream_event_log(spark, base).isStreaming
+
+
+def test_compaction_tasks_are_bounded_by_rows_also_of_equal_ones(spark):
+    path = _local(spark)
+    for n in (0, 1):
+        values = [_event(k, t=5.0) for k in range(n, 600, 2)] + ["{}"] * 400 + [_event(k, "purchase", t=float(k)) for k in range(300)]
+        store.write_batch(_records(spark, values), path, n)
+    rows = lambda: [sorted(map(str, store.read_store(spark, path, kind=k).drop("batch").collect()))
+                    for k in (store.EVENT, store.MALFORMED)]
+    before = rows()
+    store.compact(spark, path, file_rows=200)
+    index = store.file_index(spark, path).unionByName(store.file_index(spark, path, store.MALFORMED)).collect()
+    assert sum(r["rows"] for r in index) == 2000 and max(r["rows"] for r in index) <= 400
+    assert rows() == before
+
+
+def test_compaction_of_a_store_without_rows(spark):
+    path = _local(spark)
+    store.write_batch(_records(spark, []), path, 0)
+    store.compact(spark, path)
+    assert store.read_store(spark, path).count() == 0
