@@ -17,9 +17,14 @@ PLACE_BITS = 22     # blocks are shorter than this; a longer text is cut into pi
 def runs(data: np.ndarray, offsets: np.ndarray, length: int, k: int
          ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First window start, last window start, anchor hash and text number of all runs."""
+    return placed_runs(data, offsets, length, k)[:4]
+
+
+def placed_runs(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """The :func:`runs`, and where the anchor of each lies."""
     empty = np.zeros(0, np.int64)
     if len(data) < length:
-        return empty, empty, np.zeros(0, np.uint64), empty
+        return empty, empty, np.zeros(0, np.uint64), empty, empty
     _, down = powers(len(data) + 1)
     prefix = prefix_hash(data)
     n = len(data) - k + 1
@@ -43,4 +48,4 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, k: int
     last = inside.copy()
     last[:-1] &= (anchor[1:] != anchor[:-1]) | ~inside[1:] | (text[1:] != text[:-1])
     lo, hi = np.flatnonzero(first), np.flatnonzero(last)
-    return lo, hi, h[anchor[lo]], text[lo]
+    return lo, hi, h[anchor[lo]], text[lo], anchor[lo]

@@ -8,7 +8,10 @@ windows have equal anchors, and consecutive windows with one anchor form a short
 1. Tasks count anchors, with the least and the greatest hash of their strings; those seen twice
    or more set a bit in a filter (its size follows their number up to ``most_bits``; a false bit
    costs work, never a result), those with different strings in another.
-2. The places of the strings of repeated anchors, equal ones merged in each task, go to the
+   Then the *sides* of their runs are counted, the anchor with the (length - K) / 2 bytes before it
+   and with those after it: equal windows hold one of the two, so a run whose sides are both
+   seen once has no repeat and goes no further.
+2. The places of the strings of the other runs, equal ones merged in each task, go to the
    task of their anchor.  Bytes travel only for anchors with different strings: the windows of
    equal strings are equal one by one, so their earliest place says it all.
 3. There the strings of anchors with different strings are suffix-sorted in two stages:
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eventscope.llm.anchors import runs
+from eventscope.llm.anchors import placed_runs, runs  # noqa: F401
 from eventscope.llm.common import (BLOCK_BYTES, blocks, bound_batches, hash_filter, passes,
                                    prefix_hash, saved, span_hashes)
 
@@ -61,11 +64,57 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int
 
 
 def _strings(batch: pa.RecordBatch, length: int):
-    """Per block: bytes, running hash, runs (first, last window, anchor), row, place in text."""
+    """Per block: bytes, runs (first, last window, anchor), row, place in text, where the anchor lies."""
     for lo, _, whole, offsets in blocks(batch, "text", LOOK_BYTES):
         for at, data, offs in _pieces(whole, offsets, length):
-            first, last, anchor, text = runs(data, offs, length, K)
-            yield data, first, last, anchor, lo + text, at + first - offs[text]
+            first, last, anchor, text, where = placed_runs(data, offs, length, K)
+            yield data, first, last, anchor, lo + text, at + first - offs[text], where
+
+
+def _sides(prefix: np.ndarray, first: np.ndarray, last: np.ndarray, where: np.ndarray, length: int
+           ) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(runs, hash of the side) before the anchor and after it, of runs with a window that holds it.
+
+    A window whose anchor is at least half of its other bytes in holds the side before, others
+    the side after."""
+    half = (length - K) // 2
+    before, after = np.flatnonzero(where - first >= half), np.flatnonzero(where - last < half)
+    return [(before, span_hashes(prefix, where[before] - half, where[before] + K)),
+            (after, ~span_hashes(prefix, where[after], where[after] + K + half))]
+
+
+def _count_sides(batches: Iterator[pa.RecordBatch], length: int, wanted, bits: int, most: int = 1 << 22
+                 ) -> Iterator[pa.RecordBatch]:
+    """(the upper 48 bits of a side's hash, seen once or more often here) of runs of repeated anchors."""
+    held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        side, n = np.unique(np.concatenate(held) >> np.uint64(16), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(side.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))],
+                                          names=["side", "seen"])
+
+    for batch in batches:
+        for data, first, last, anchor, _, _, where in _strings(batch, length):
+            keep = passes(wanted.value, anchor, bits)
+            held += [h for _, h in _sides(prefix_hash(data), first[keep], last[keep], where[keep], length)]
+            size += sum(len(h) for h in held[-2:])
+            if size >= most:
+                yield flush()
+                held, size = [], 0
+    if size:
+        yield flush()
+
+
+def _may_repeat(data: np.ndarray, first, last, anchor, where, length: int, wanted, bits: int, sides: tuple | None) -> np.ndarray:
+    """Which runs have a repeated anchor and, with ``sides`` (a filter and its bits), a repeated side."""
+    keep = passes(wanted.value, anchor, bits)
+    if sides is None or not keep.any():
+        return keep
+    at = np.flatnonzero(keep)
+    keep = np.zeros(len(anchor), bool)
+    for of, h in _sides(prefix_hash(data), first[at], last[at], where[at], length):
+        keep[at[of[passes(sides[0].value, h >> np.uint64(16) << np.uint64(16), sides[1])]]] = True
+    return keep
 
 
 def _count(batches: Iterator[pa.RecordBatch], length: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
@@ -91,7 +140,7 @@ def _count(batches: Iterator[pa.RecordBatch], length: int, most: int = 1 << 22)
              pa.array(np.maximum.reduceat(signed, first))], names=["anchor", "seen", "kinds", "least", "most"])
 
     for batch in batches:
-        for data, first, last, anchor, _, _ in _strings(batch, length):
+        for data, first, last, anchor, _, _, _ in _strings(batch, length):
             if len(first):
                 held.append((anchor, span_hashes(prefix_hash(data), first, last + length)))
                 size += len(first)
@@ -116,7 +165,7 @@ def _earliest(anchor, string, doc, copy, place) -> np.ndarray:
 
 
 def _deal(batches: Iterator[pa.RecordBatch], length: int, wanted, bits: int, hot,
-          most: int = 24 << 20, several: tuple | None = None) -> Iterator[pa.RecordBatch]:
+          most: int = 24 << 20, several: tuple | None = None, sides: tuple | None = None) -> Iterator[pa.RecordBatch]:
     """Different strings of repeated anchors with their first occurrence and number of windows;
     the bytes where an anchor has ``several`` (a filter and its bits; None: all).  Equal strings are merged over ``most`` bytes of them
     before they are handed on."""
@@ -138,8 +187,8 @@ def _deal(batches: Iterator[pa.RecordBatch], length: int, wanted, bits: int, hot
 
     for batch in batches:
         doc, copy = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        for data, first, last, anchor, row, place in _strings(batch, length):
-            keep = passes(wanted.value, anchor, bits)
+        for data, first, last, anchor, row, place, where in _strings(batch, length):
+            keep = _may_repeat(data, first, last, anchor, where, length, wanted, bits, sides)
             first, last, anchor, row, place = (x[keep] for x in (first, last, anchor, row, place))
             prefix = prefix_hash(data)
             bytes_too = passes(several[0].value, anchor, several[1]) if several else np.ones(len(anchor), bool)
@@ -358,8 +407,8 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield close(held)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int, wanted, bits: int, keep_bytes: bool
-         ) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], length: int, wanted, bits: int, keep_bytes: bool,
+         sides: tuple | None = None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         listed = batch.column(3)
         if isinstance(listed, pa.ChunkedArray):
@@ -374,8 +423,8 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, wanted, bits: int, keep
         for lo, hi, data, offsets in blocks(batch, "text", LOOK_BYTES):
             edge = np.zeros(len(data) + 1, np.int32)
             for at, part, offs in _pieces(data, offsets, length):
-                first, last, anchor, _ = runs(part, offs, length, K)
-                keep = passes(wanted.value, anchor, bits)
+                first, last, anchor, _, where = placed_runs(part, offs, length, K)
+                keep = _may_repeat(part, first, last, anchor, where, length, wanted, bits, sides)
                 edge[at + first[keep]] += 1
                 edge[at + last[keep] + 1] -= 1
             repeat = np.cumsum(edge[:-1]) > 0
@@ -429,10 +478,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1 << 17, most_
     wanted = hash_filter(counts, "anchor", bits)
     several_bits = min(max(20, (16 * n_several).bit_length()), most_bits)
     several = hash_filter(counts.where("several"), "anchor", several_bits)
+    seen_sides = saved(texts.select("text").mapInArrow(lambda it: _count_sides(it, length, wanted, bits), "side long, seen int")
+                       .groupBy("side").agg(F.sum("seen").alias("seen")).where("seen > 1")
+                       .select(F.shiftleft("side", 16).alias("side")), "repeated-sides")
+    side_bits = min(max(20, (16 * seen_sides.count()).bit_length()), most_bits)
+    sides = (hash_filter(seen_sides, "side", side_bits), side_bits)
     split = hash_filter(counts.where(F.col("kinds") > hot), "anchor") if (most or 0) > hot else None
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-((kinds or 0) * 40 + (many or 0) * 140) // (32 << 20)))
     strings = (texts.select("doc", "copy", "text")
-               .mapInArrow(lambda it: _deal(it, length, wanted, bits, split, several=(several, several_bits)),
+               .mapInArrow(lambda it: _deal(it, length, wanted, bits, split, several=(several, several_bits), sides=sides),
                            "anchor long, doc long, copy long, place long, n short, string binary")
                .repartition(parts, "anchor").sortWithinPartitions("anchor"))
     firsts = saved(strings.mapInArrow(lambda it: _resolve(it, length), "doc long, copy long, place long, bits binary"),
@@ -440,6 +494,6 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1 << 17, most_
     by_doc = firsts.groupBy("doc", "copy").agg(F.collect_list(F.struct("place", "bits")).alias("firsts"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     out = (texts.join(by_doc, ["doc", "copy"], "left").select("doc_id", "doc", "text", "firsts")
-           .mapInArrow(lambda it: _cut(it, length, wanted, bits, keep_bytes),
+           .mapInArrow(lambda it: _cut(it, length, wanted, bits, keep_bytes, sides),
                        f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
     return out if keep_bytes else out.drop("kept")

@@ -175,3 +175,28 @@ def test_bytes_travel_only_for_anchors_with_different_strings(spark, monkeypatch
             seen.add(raw[at:at + 100])
         want.append((i, len(raw), len(gone)))
     assert [r[:3] for r in got] == want
+
+
+def test_runs_without_a_repeated_side_go_no_further(spark):
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    phrase, passage = noise(50), noise(130)
+    alone = [noise(150) + phrase + noise(150) for _ in range(6)]       # too little in common for a window
+    twice = [noise(90) + passage + noise(70) for _ in range(2)]
+    batch = lambda texts: pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int64()), pa.array(texts)], names=["doc", "copy", "text"])
+
+    class Every:
+        value = np.full((1 << 20 >> 3) + 4096, 255, np.uint8)
+
+    def dealt(texts):
+        counted = pa.Table.from_batches(list(suffix_dedup._count_sides(iter([batch(texts)]), 100, Every, 20)))
+        kept = [(s << 16,) for s, n in zip(counted["side"].to_pylist(), counted["seen"].to_pylist()) if n > 1]
+        kept = [(s - (1 << 64) if s >= 1 << 63 else s,) for s, in kept]
+        sides = (suffix_dedup.hash_filter(spark.createDataFrame(kept, "side long"), "side", 20), 20)
+        return [sum(b.num_rows for b in suffix_dedup._deal(iter([batch(texts)]), 100, Every, 20, None, sides=s)) for s in (None, sides)]
+
+    without, with_sides = dealt(alone)
+    assert without > 6 and with_sides == 0
+    without, with_sides = dealt(twice)
+    assert 0 < with_sides < without
