@@ -40,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventscope.llm.common import (blocks, bound_batches, byte_table, hash_filter, passes, prefix_hash, saved,
-                                   segment_sums, seeded, span_hashes, word_spans)
+from eventscope.llm.common import (blocks, bound_batches, byte_table, hash_filter, passes, prefix_hash, released,
+                                   saved, segment_sums, seeded, span_hashes, word_spans)
 from eventscope.session import work_path
 
 #: Terms of ``[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+`` of the text with A-Z lower-cased.
@@ -83,7 +83,7 @@ def term_vectors(rows: DataFrame, shared=None) -> DataFrame:
     """(doc_id, n, terms, tfs) of the rows (text, doc_id) with at least one term."""
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return (rows.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "doc_id")
-            .mapInArrow(lambda it: _vectors(it, shared), f"doc_id {id_type}, n long, terms array<long>, tfs array<int>")
+            .mapInArrow(lambda it: released(_vectors(it, shared)), f"doc_id {id_type}, n long, terms array<long>, tfs array<int>")
             .where("n > 0"))
 
 
@@ -325,11 +325,11 @@ def build_index(docs: DataFrame, terms: DataFrame) -> Index:
     vocabulary = spark.sparkContext.broadcast((hashes, weights))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     shards = vectors.mapInArrow(
-        lambda it: _shards(it, vocabulary, documents, length),
+        lambda it: released(_shards(it, vocabulary, documents, length)),
         f"doc_ids array<{id_type}>, " + ", ".join(f"{c} binary" for c in KINDS))
     path = work_path(spark, "llm", "search-shards")
-    # a shard's row is some MB: few of them may wait in a writer
-    shards.write.option("parquet.block.row.count.limit", 4).parquet(path)
+    # a shard's row is some MB: one at a time waits in a writer, and a reader opens one
+    shards.write.option("parquet.block.row.count.limit", 1).parquet(path)
     shards = spark.read.schema(shards.schema).parquet(path)
     return Index(shards, hashes, weights, id_type)
 
@@ -351,7 +351,7 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     def best(floors: dict[int, int], probe: bool) -> DataFrame:
         shared = spark.sparkContext.broadcast(
             (index.weights, [(coords, tfs, floors.get(i, 0)) for i, (_, coords, tfs) in enumerate(packed)]))
-        found = index.shards.mapInArrow(lambda it: _search(it, shared, k, arrow_type, probe),
+        found = index.shards.mapInArrow(lambda it: released(_search(it, shared, k, arrow_type, probe)),
                                         f"query int, doc_id {index.id_type}, score long")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
