@@ -33,10 +33,11 @@ from pyspark.sql.window import Window
 from eventscope.llm.common import saved
 
 WEIGHTS = (5, 2, 1)
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def quotas(sizes: dict, weights: dict, share: float, repeats: int) -> dict:
@@ -171,27 +172,27 @@ def mix(docs: DataFrame, sources: Column, share: float = 1.5, repeats: int = 2,
     point order, NULL last, and repeat.  More than ``most_patterns`` patterns are an error,
     as their sums are routed on the driver.
     """
-    rows, table = _copies(docs, sources, ["doc_id"], share, repeats, weights, seed, bucket_rows, most_patterns)
-    return rows.select("row.doc_id", "pattern", "size", "copies"), table
+    pattern, size, rank = _judged(sources, seed)
+    sized = saved(docs.select(F.struct("doc_id", size).alias("row"), pattern, size, rank), "sizes")
+    plan, fill, table = _routed(sized, share, repeats, weights, bucket_rows, most_patterns)
+    rows = _copies(sized.select("row", "pattern", "rank", (F.col("size") > 0).alias("worded")), plan, fill, F.col("row.size"))
+    return rows.select("row.doc_id", "pattern", "row.size", "copies"), table
 
 
-def _copies(docs: DataFrame, sources: Column, carried: list[str], share: float = 1.5, repeats: int = 2,
-            weights: tuple[int, ...] = WEIGHTS, seed: int = 11, bucket_rows: int = 4096,
-            most_patterns: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """row (the ``carried`` columns), pattern, size and copies of every row; and the sources.
-
-    Rows are written once with a number of their own, so that copies stay with their row
-    whatever its doc_id.
-    """
-    spark = docs.sparkSession
+def _judged(sources: Column, seed: int) -> tuple[Column, Column, Column]:
+    """pattern, size and rank of a row."""
+    doc_key, text = F.col("doc_id").cast("string"), F.col("text").cast("string")
     members = F.array_sort(F.array_distinct(sources))    # NULL sorts last
     # the text is hashed with the id, so that rows of one id (or none) spread over the buckets
-    sized = saved(docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.monotonically_increasing_id().alias("key"),
-        F.col("doc_id").cast("string").alias("doc_key"),
-        F.coalesce(members, F.array().cast("array<string>")).alias("pattern"),
-        word_count(F.col("text").cast("string")).alias("size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("rank")), "sizes")
+    return (F.coalesce(members, F.array().cast("array<string>")).alias("pattern"), word_count(text).alias("size"),
+            F.xxhash64(F.lit(seed), doc_key, text).alias("rank"))
+
+
+def _routed(sized: DataFrame, share: float = 1.5, repeats: int = 2, weights: tuple[int, ...] = WEIGHTS,
+            bucket_rows: int = 4096, most_patterns: int = 100_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows with pattern, size and rank: a row per pattern with its whole copies and buckets, one
+    per pattern whose words run out inside a bucket (``cut``), and the sources."""
+    spark = sized.sparkSession
     sums = sized.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     patterns = sums.limit(most_patterns + 1).collect()
     if len(patterns) > most_patterns:
@@ -215,20 +216,12 @@ def _copies(docs: DataFrame, sources: Column, carried: list[str], share: float =
     # one row per pattern, at most `most_patterns`
     plan = F.broadcast(spark.createDataFrame(
         rules, "pattern array<string>, copies long, room long, buckets long"))
-    dealt = (sized.join(plan, "pattern").withColumn("bucket", F.pmod(F.col("rank"), F.col("buckets"))))
+    dealt = sized.join(plan, "pattern").withColumn("bucket", F.pmod(F.col("rank"), F.col("buckets")))
     order = Window.partitionBy("pattern").orderBy("bucket")
     fill = (dealt.groupBy("pattern", "room", "bucket").agg(F.sum("size").alias("words"))
             .withColumn("before", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
             .where("before <= room AND room < before + words")
             .select("pattern", F.col("bucket").alias("cut"), (F.col("room") - F.col("before")).alias("left")))
-    dealt = dealt.join(F.broadcast(fill), "pattern", "left")    # again one row per pattern
-    columns = ["row", "pattern", "size", "copies"]
-    whole = dealt.where("bucket <> cut OR cut IS NULL").withColumn(
-        "copies", F.col("copies") + F.when((F.col("bucket") < F.col("cut")) & (F.col("size") > 0), 1).otherwise(0)).select(*columns)
-    edge = dealt.where("bucket = cut")
-    filled = edge.select("pattern", "key", "doc_key", "rank", "size", "copies", F.col("left").alias("room")).groupBy(
-        "pattern").applyInPandas(_fill, "key long, copies long")
-    filled = edge.drop("copies").join(filled, "key")    # the rows of one bucket a pattern
     routed = [0] * len(names)
     for f in flow:
         for s, words in f.items():
@@ -236,11 +229,37 @@ def _copies(docs: DataFrame, sources: Column, carried: list[str], share: float =
     table = spark.createDataFrame(
         [(s, int(sizes[k]), float(target[k]), int(routed[k])) for s, k in at.items()],
         "source string, source_size long, target double, routed long")
-    return whole.unionByName(filled.select(*columns)), table
+    return plan, fill, table
 
 
-def mixed_documents(docs: DataFrame, sources: Column, **how) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken."""
-    rows, _ = _copies(docs, sources, docs.columns, **how)
+def _copies(rows: DataFrame, plan: DataFrame, fill: DataFrame, size: Column) -> DataFrame:
+    """row, pattern and copies of ``rows`` (row, pattern, rank and worded); ``size`` finds the words
+    of a row.  Only the rows of the buckets filled document by document are written, with a number of
+    their own, so that copies stay with their row whatever its doc_id."""
+    dealt = (rows.join(plan, "pattern").withColumn("bucket", F.pmod(F.col("rank"), F.col("buckets")))
+             .join(F.broadcast(fill), "pattern", "left"))    # again one row per pattern
+    whole = dealt.where("bucket <> cut OR cut IS NULL").withColumn(
+        "copies", F.col("copies") + F.when((F.col("bucket") < F.col("cut")) & F.col("worded"), 1).otherwise(0))
+    edge = saved(dealt.where("bucket = cut").select(
+        "row", "pattern", "rank", "copies", size.alias("size"), F.col("left").alias("room"),
+        F.monotonically_increasing_id().alias("key")), "last-buckets")
+    filled = edge.select("pattern", "key", F.col("row.doc_id").cast("string").alias("doc_key"), "rank", "size", "copies",
+                         "room").groupBy("pattern").applyInPandas(_fill, "key long, copies long")
+    filled = edge.drop("copies").join(filled, "key")    # the rows of one bucket a pattern
+    columns = ["row", "pattern", "copies"]
+    return whole.select(*columns).unionByName(filled.select(*columns))
+
+
+def mixed_documents(docs: DataFrame, sources: Column, seed: int = 11, **how) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken.
+
+    No copy of the texts is written: ``docs`` is read for the sizes, for the buckets filled document by
+    document and for the result, and must give the same rows each time, as a written table does.
+    """
+    pattern, size, rank = _judged(sources, seed)
+    plan, fill, _ = _routed(saved(docs.select(pattern, size, rank), "sizes"), **how)
+    worded = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False)).alias("worded")
+    rows = _copies(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), pattern, rank, worded),
+                   plan, fill, word_count(F.col("row.text").cast("string")))
     return (rows.where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
             .select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))

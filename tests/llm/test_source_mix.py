@@ -139,3 +139,27 @@ def test_documents_without_words_stay_within_the_repeats(spark):
         b = {r["source"]: r for r in sources.collect()}["b"]
         assert b["target"] == 2 * b["source_size"] == sum(r["size"] * r["copies"] for r in got if r["pattern"] == ["b"])
         assert all(0 <= r["copies"] <= 2 for r in got)
+
+
+def test_mixed_documents_write_no_copy_of_the_texts(spark, monkeypatch, tmp_path):
+    """Work tables hold no texts but those of the bucket that is filled document by document."""
+    rng = random.Random(6)
+    words = lambda: " ".join(f"{rng.getrandbits(48):x}" for _ in range(rng.randrange(1, 300)))
+    data = [(k % 500, words() if k % 50 else None, rng.choice("aab")) for k in range(1000)]
+    spark.createDataFrame(data, "doc_id long, text string, source string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    tables = []
+    whole = source_mix.saved
+    monkeypatch.setattr(source_mix, "saved", lambda df, name: tables.append(whole(df, name)) or tables[-1])
+    out = [tuple(r) for r in mixed_documents(docs, F.array("source"), bucket_rows=20).collect()]
+    held = sum(t.select(F.sum(F.length(F.to_json(F.struct("*")))).alias("n")).first()["n"] for t in tables)
+    assert 10 * held < 2 * sum(len(t or "") for _, t, _ in data)
+    # the rows taken are those of the mix by ids
+    taken, _ = mix(docs, F.array("source"), bucket_rows=20)
+    got, want = {}, {}
+    for d, t, s in out:
+        got[d, s, len((t or "").split())] = got.get((d, s, len((t or "").split())), 0) + 1
+    for r in taken.where("copies > 0").collect():
+        key = r["doc_id"], r["pattern"][0], r["size"]
+        want[key] = want.get(key, 0) + r["copies"]
+    assert got == want
