@@ -133,8 +133,9 @@ def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int],
 
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     """The bucket in which a pattern's words run out: documents in seeded order, each taken
-    if it still fits.  A document without words fills nothing and is not taken once more."""
-    rows = rows.sort_values(["rank", "doc_key", "size", "key"], kind="stable")
+    if it still fits.  A document without words fills nothing and is not taken once more.
+    Tells how many rows of a (rank, print) are taken once more."""
+    rows = rows.sort_values(["rank", "doc_key", "size", "print"], kind="stable")
     sizes = rows["size"].to_numpy()
     left, extra = int(rows["room"].iloc[0]) if len(rows) else 0, np.zeros(len(rows), np.int64)
     for k, size in enumerate(sizes):
@@ -158,8 +159,7 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
             extra[take[j - 1]] = 1
         if i:
             extra[give[i - 1]] = 0
-    rows["copies"] = rows["copies"] + extra
-    return rows[["key", "copies"]]
+    return rows.assign(extra=extra).groupby(["rank", "print"], as_index=False)["extra"].sum()
 
 
 def mix(docs: DataFrame, sources: Column, share: float = 1.5, repeats: int = 2,
@@ -173,9 +173,10 @@ def mix(docs: DataFrame, sources: Column, share: float = 1.5, repeats: int = 2,
     as their sums are routed on the driver.
     """
     pattern, size, rank = _judged(sources, seed)
-    sized = saved(docs.select(F.struct("doc_id", size).alias("row"), pattern, size, rank), "sizes")
+    sized = saved(docs.select(F.struct("doc_id", size).alias("row"), pattern, size, rank,
+                              F.monotonically_increasing_id().alias("print")), "sizes")
     plan, fill, table = _routed(sized, share, repeats, weights, bucket_rows, most_patterns)
-    rows = _copies(sized.select("row", "pattern", "rank", (F.col("size") > 0).alias("worded")), plan, fill, F.col("row.size"))
+    rows = _copies(sized.select("row", "pattern", "rank", "print", (F.col("size") > 0).alias("worded")), plan, fill, F.col("row.size"))
     return rows.select("row.doc_id", "pattern", "row.size", "copies"), table
 
 
@@ -233,19 +234,20 @@ def _routed(sized: DataFrame, share: float = 1.5, repeats: int = 2, weights: tup
 
 
 def _copies(rows: DataFrame, plan: DataFrame, fill: DataFrame, size: Column) -> DataFrame:
-    """row, pattern and copies of ``rows`` (row, pattern, rank and worded); ``size`` finds the words
-    of a row.  Only the rows of the buckets filled document by document are written, with a number of
-    their own, so that copies stay with their row whatever its doc_id."""
+    """row, pattern and copies of ``rows`` (row, pattern, rank, print and worded); ``size`` finds the words
+    of a row.  Rows that agree in rank and print are equal, or one: which of them is taken does not matter."""
     dealt = (rows.join(plan, "pattern").withColumn("bucket", F.pmod(F.col("rank"), F.col("buckets")))
              .join(F.broadcast(fill), "pattern", "left"))    # again one row per pattern
     whole = dealt.where("bucket <> cut OR cut IS NULL").withColumn(
         "copies", F.col("copies") + F.when((F.col("bucket") < F.col("cut")) & F.col("worded"), 1).otherwise(0))
-    edge = saved(dealt.where("bucket = cut").select(
-        "row", "pattern", "rank", "copies", size.alias("size"), F.col("left").alias("room"),
-        F.monotonically_increasing_id().alias("key")), "last-buckets")
-    filled = edge.select("pattern", "key", F.col("row.doc_id").cast("string").alias("doc_key"), "rank", "size", "copies",
-                         "room").groupBy("pattern").applyInPandas(_fill, "key long, copies long")
-    filled = edge.drop("copies").join(filled, "key")    # the rows of one bucket a pattern
+    edge = dealt.where("bucket = cut")
+    filled = saved(edge.select("pattern", F.col("row.doc_id").cast("string").alias("doc_key"), "rank", "print",
+                               size.alias("size"), F.col("left").alias("room")).groupBy("pattern")
+                   .applyInPandas(_fill, "rank long, print long, extra long"), "last-buckets")
+    # the rows of one bucket a pattern; of equal rows as many as the fill took
+    place = F.row_number().over(Window.partitionBy("rank", "print").orderBy("rank"))
+    filled = edge.join(filled, ["rank", "print"]).withColumn(
+        "copies", F.col("copies") + F.when(place <= F.col("extra"), 1).otherwise(0))
     columns = ["row", "pattern", "copies"]
     return whole.select(*columns).unionByName(filled.select(*columns))
 
@@ -257,9 +259,12 @@ def mixed_documents(docs: DataFrame, sources: Column, seed: int = 11, **how) ->
     document and for the result, and must give the same rows each time, as a written table does.
     """
     pattern, size, rank = _judged(sources, seed)
+    text = F.col("text").cast("string")
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
     plan, fill, _ = _routed(saved(docs.select(pattern, size, rank), "sizes"), **how)
-    worded = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False)).alias("worded")
-    rows = _copies(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), pattern, rank, worded),
-                   plan, fill, word_count(F.col("row.text").cast("string")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), pattern, rank,
+                       F.xxhash64(F.lit("row"), others, text).alias("print"),
+                       F.coalesce(text.rlike(WORD), F.lit(False)).alias("worded"))
+    rows = _copies(rows, plan, fill, word_count(F.col("row.text").cast("string")))
     return (rows.where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
             .select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))

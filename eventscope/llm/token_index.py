@@ -181,7 +181,7 @@ def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, end_i
             copy = copy + 1 if x == last else 0
             last = x
             copies.append(copy)
-        for lo, hi, data, offsets in blocks(batch, "text", 4 << 20):
+        for lo, hi, data, offsets in blocks(batch, "text", 1 << 20):
             out, n = enc.block(data, offsets, end_id)
             keys.append((ids.slice(lo, hi - lo), np.array(copies[lo:hi], np.int64)))
             counts.append(n)
