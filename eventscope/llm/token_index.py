@@ -29,6 +29,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,8 @@ END_ID = 2
 SHARD_BYTES = 32 << 20
 BUCKET_KEYS = 2048
 KEPT_PIECES = 300_000
+BLOCK_BYTES = 4 << 20     # texts whose pieces are looked up together
+PART_BYTES = 1 << 20      # texts cut into pieces and laid out together
 RECORD = np.dtype([("print", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n", "<u8")])
 
 _SPACE = np.zeros(256, bool)
@@ -71,19 +74,30 @@ class Encoder:
         for piece, k in self.tok.get_vocab().items():
             self.ends[k] = piece.endswith("</w>")
         self.most = most
-        self._forget()
+        self._clear()
 
-    def _forget(self) -> None:
+    def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.len = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.uses = np.zeros(1 << 12, np.int32)    # blocks that had the piece
+
+    def forget(self, most: int) -> None:
+        """Forgets the pieces that one block alone had, then the rarest, down to ``most``."""
+        uses = self.uses[:len(self.known)]
+        kept = np.sort(np.argsort(-uses, kind="stable")[:min(most, np.count_nonzero(uses > 1))])
+        words, uses, lens = list(self.known), uses[kept] // 2, self.len[kept]
+        flat = self.ids[np.repeat(self.at[kept] - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())]
+        self._clear()
+        self._store([words[k] for k in kept.tolist()], lens, flat)
+        self.uses[:len(kept)] = uses
 
     def _store(self, words: list[bytes], lens: np.ndarray, flat: np.ndarray) -> None:
         k, n = len(self.known), len(words)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.append(self.ids, np.zeros_like(self.ids))
         while k + n > len(self.at):
-            self.at, self.len = np.append(self.at, np.zeros_like(self.at)), np.append(self.len, np.zeros_like(self.len))
+            self.at, self.len, self.uses = (np.append(x, np.zeros_like(x)) for x in (self.at, self.len, self.uses))
         self.ids[self.used:self.used + len(flat)] = flat
         self.at[k:k + n] = self.used + np.cumsum(lens) - lens
         self.len[k:k + n] = lens
@@ -95,7 +109,8 @@ class Encoder:
         # a run of letters is one piece, and a piece ends with an end-of-word token: such
         # words are encoded in one text and told apart by those tokens
         simple = [k for k, t in enumerate(texts) if t.isalpha()]
-        ids = np.array(self.tok.encode(" ".join(texts[k] for k in simple), add_special_tokens=False).ids, np.uint32)
+        line = " ".join([texts[k] for k in simple])
+        ids = np.array(self.tok.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
         if len(ends) == len(simple) and (not len(ids) or ends[-1] == len(ids)):
             self._store([words[k] for k in simple], np.diff(np.append(0, ends)), ids)
@@ -107,29 +122,46 @@ class Encoder:
             self._store([words[k] for k in rest], np.array([len(x) for x in found]),
                         np.array([i for x in found for i in x], np.uint32))
 
-    def block(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a block, end ids included, and the number of each text's."""
-        raw = data.tobytes()
-        low = np.frombuffer(raw.translate(_LOW), np.uint8)
-        inside = np.frombuffer(raw.translate(_BLANK), np.uint8) == 0
-        kind = np.frombuffer(raw.translate(_KIND), np.uint8)
-        begin = inside.copy()
-        begin[1:] &= ~inside[:-1] | ((kind[1:] | kind[:-1]) == 3)
-        begin[offsets[:-1][offsets[:-1] < len(data)]] = True
-        begin &= inside
-        places = np.flatnonzero(begin)
-        kept = low[inside]
-        seen = np.cumsum(inside, dtype=np.int32)
-        cuts = np.append(seen[places] - 1, len(kept)).astype(np.int32)
-        pieces = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(cuts), pa.py_buffer(kept)])
-        coded = pieces.dictionary_encode()
-        words = coded.dictionary.to_pylist()
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """The places of distinct pieces among the known ones; new ones are learned."""
         if len(self.known) > self.most:
-            self._forget()
-        self._learn([w for w in words if w not in self.known])
-        known = self.known
-        number = np.fromiter((known[w] for w in words), np.int64, len(words))[
-            coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+            self.forget(self.most // 2)
+        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            fresh = [words[k] for k in new.tolist()]
+            self._learn(fresh)
+            number[new] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
+        self.uses[number] += 1
+        return number
+
+    def block(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a block, end ids included, and the number of each text's.
+
+        A part of whole texts at a time is cut into pieces and laid out, as that takes many times
+        a part's size; the parts share one dictionary, as a part alone has few pieces twice.
+        """
+        parts, lo, n = [], 0, len(offsets) - 1
+        while lo < n:
+            hi = int(np.searchsorted(offsets, offsets[lo] + PART_BYTES, side="right")) - 1
+            hi = min(max(hi, lo + 1), n)
+            parts.append((data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]))
+            lo = hi
+        cut = [_pieces(*part) for part in parts]
+        coded = pa.concat_arrays([pa.array([], pa.binary()), *[pieces for _, pieces in cut]]).dictionary_encode()
+        number = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[
+            coded.indices.to_numpy(zero_copy_only=False)]
+        out, counts, at = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        for part, (places, _) in zip(parts, cut):
+            ids, lens = self._laid(*part, places, number[at:at + len(places)], end_id)
+            out.append(ids)
+            counts.append(lens)
+            at += len(places)
+        return np.concatenate(out), np.concatenate(counts)
+
+    def _laid(self, data: np.ndarray, offsets: np.ndarray, places: np.ndarray, number: np.ndarray,
+              end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of a part whose pieces start at ``places`` and have these numbers."""
         lens = self.len[number]
         total = np.append(0, np.cumsum(lens, dtype=np.int64))
         of_text = np.searchsorted(places, offsets)
@@ -140,6 +172,7 @@ class Encoder:
         slot[ends] = False
         out[ends] = end_id
         out[slot] = self.ids[np.repeat(self.at[number] - total[:-1], lens) + np.arange(total[-1])]
+        raw = data.tobytes()
         if _SPECIAL.search(raw):
             parts = np.split(out, ends[:-1] + 1)
             for k in range(len(parts)):
@@ -150,6 +183,23 @@ class Encoder:
         return out, counts
 
 
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Where the pieces of a part start, and the pieces, lower-cased."""
+    raw = data.tobytes()
+    low = np.frombuffer(raw.translate(_LOW), np.uint8)
+    inside = np.frombuffer(raw.translate(_BLANK), np.uint8) == 0
+    kind = np.frombuffer(raw.translate(_KIND), np.uint8)
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1] | ((kind[1:] | kind[:-1]) == 3)
+    begin[offsets[:-1][offsets[:-1] < len(data)]] = True
+    begin &= inside
+    places = np.flatnonzero(begin)
+    kept = low[inside]
+    seen = np.cumsum(inside, dtype=np.int32)
+    cuts = np.append(seen[places] - 1, len(kept)).astype(np.int32)
+    return places, pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(cuts), pa.py_buffer(kept)])
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -181,7 +231,7 @@ def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, end_i
             copy = copy + 1 if x == last else 0
             last = x
             copies.append(copy)
-        for lo, hi, data, offsets in blocks(batch, "text", 1 << 20):
+        for lo, hi, data, offsets in blocks(batch, "text", BLOCK_BYTES):
             out, n = enc.block(data, offsets, end_id)
             keys.append((ids.slice(lo, hi - lo), np.array(copies[lo:hi], np.int64)))
             counts.append(n)
@@ -192,7 +242,7 @@ def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, end_i
     if held:
         yield flush()
     if len(enc.known) > KEPT_PIECES:    # the worker process lives on: keep little in it
-        enc._forget()
+        enc.forget(KEPT_PIECES // 2)
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:

@@ -38,6 +38,27 @@ def test_encoder_equals_library(library, sf_small):
             assert [p.tolist() for p in parts] == [ids_of(library, t) for t in texts[:cut]]
 
 
+def test_texts_cut_in_parts_equal_library(library, monkeypatch):
+    raw = [(t or "").encode() for t in TEXTS * 3]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw]))
+    for size in (1, 64, 4096):
+        monkeypatch.setattr(token_index, "PART_BYTES", size, raising=False)
+        out, counts = Encoder(tokenizer_path()).block(data, offsets, 2)
+        assert [p.tolist() for p in np.split(out, np.cumsum(counts)[:-1])] == [ids_of(library, t) for t in TEXTS * 3]
+
+
+def test_frequent_pieces_are_learned_once(library):
+    enc, learned = Encoder(tokenizer_path(), 60), []
+    learn = enc._learn
+    enc._learn = lambda words: (learned.extend(words), learn(words))[1]
+    for k in range(20):
+        text = "of the and " + " ".join(chr(97 + k) + chr(97 + j) + "q" for j in range(26))
+        out, _ = enc.block(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), 2)
+        assert out.tolist() == ids_of(library, text)
+        assert len(enc.known) <= 60 + 29
+    assert learned.count(b"the") == learned.count(b"of") == 1
+
+
 def test_round_trip(spark, library, monkeypatch):
     monkeypatch.setattr(token_index, "BUCKET_KEYS", 7)
     rows = [(k * 3 % 50, t) for k, t in enumerate(TEXTS)] + [(None, "null id"), (6, "repeated id"), (6, TEXTS[2]), (-5, "negative")]
