@@ -20,6 +20,8 @@ BATCH_BYTES = 8 << 20   # Arrow batch the JVM hands over
 BLOCK_BYTES = 512 << 10   # texts looked at together (arrays of 8 bytes a byte); one longer
                           # text is a block of its own
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -41,10 +43,19 @@ def released(out: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written under the shared checkpoint folder and read back (cuts lineage)."""
-    path = work_path(df.sparkSession, "llm", name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written under the shared checkpoint folder and read back (cuts lineage).
+
+    Spark removes the write's shuffle files when it is done, instead of when the driver collects
+    garbage: nothing reads them again, and an operator of many writes would keep those of all.
+    """
+    spark = df.sparkSession
+    path, before = work_path(spark, "llm", name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
